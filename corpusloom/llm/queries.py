@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import contamination, langid, simhash, suffix_tree, toxicity, vectors
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,3 +21,53 @@ def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession
 @query
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Words as in contamination.words_of: ASCII letters and digits and non-ASCII characters, A-Z as a-z.
+_WORDS_SQL = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL["op4_decontaminate"] = f"""
+with d as (select doc_id, {_WORDS_SQL.format(text="text")} w from documents where doc_id is not null and text is not null),
+ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) s from d where len(w) >= 5),
+i as (select item_id, {_WORDS_SQL.format(text="text")} w from benchmark where item_id is not null and text is not null),
+s as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) s from i where len(w) >= 5),
+n as (select item_id, count(*) n_shingles from s group by item_id),
+m as (select doc_id, item_id, count(*) n_shared from ds join s using (s) group by doc_id, item_id)
+select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment
+from m join n using (item_id) where n_shared >= 0.8 * n_shingles - 1e-9"""
+
+
+@query
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.vector_groups(table(spark, sf_dir, "embeddings"))
+
+
+SQL["op9_vectors"] = """
+with recursive v as (select vec_id, embedding::double[] e from embeddings),
+u as (select vec_id, e, sqrt(list_dot_product(e, e)) s from v
+      where len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and list_dot_product(e, e) > 0),
+links as (select a.vec_id a, b.vec_id b from u a join u b on a.vec_id <> b.vec_id and len(a.e) = len(b.e)
+          and list_dot_product(a.e, b.e) / (a.s * b.s) >= 0.9),
+reach(id, other) as (select vec_id, vec_id from v union select r.id, l.b from reach r join links l on l.a = r.other),
+low as (select id, min(other) component_id from reach group by id)
+select vec_id, (select count(*) from links where a = vec_id) n_links, component_id, vec_id = component_id kept
+from v join low on id = vec_id"""
+
+
+@query
+def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.scores(table(spark, sf_dir, "documents"))
