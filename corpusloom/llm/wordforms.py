@@ -57,6 +57,19 @@ class Forms:
                 tail = np.where(more, tail * np.uint64(257) + flat[np.maximum(ends - 2 - k, 0)], tail)
             self.affixes += [_bucket(head, 10 + n, buckets), _bucket(tail, 20 + n, buckets)]
         self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), dtype=np.uint64, count=self.n)
+        self._flat, self._starts, self._sizes = flat, starts, sizes
+
+    def prefixes(self, lengths: range) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each length in bytes, (words at least that long, 64-bit codes of their first bytes)."""
+        out, code = [], np.zeros(self.n, dtype=np.uint64)
+        for n in range(1, lengths.stop):
+            byte = self._flat[np.minimum(self._starts + n, len(self._flat) - 1)]
+            code = (code ^ byte) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+            if n in lengths:
+                long = np.flatnonzero(self._sizes - 2 >= n)
+                out.append((long, code[long]))
+        return out
 
     def gram_mean(self, table: np.ndarray) -> np.ndarray:
         """Mean over each word's n-grams of the table's rows, summed over n."""
