@@ -102,6 +102,22 @@ class ItemBlock:
                 yield item_id, len(own), shared
 
 
+def item_blocks(items: DataFrame, item_col: str, item_text_col: str, block_bytes: int) -> Iterator[list[tuple[int, bytes]]]:
+    """The items with an id and a text, in blocks of bounded size; one empty block if there is none."""
+    wanted = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
+    wanted = wanted.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("binary")).distinct()
+    block: list[tuple[int, bytes]] = []
+    size, blocks = 0, 0
+    for item in wanted.toLocalIterator():
+        block.append((item[0], bytes(item[1])))
+        size += len(item[1]) + 64
+        if size >= block_bytes:
+            yield block
+            block, size, blocks = [], 0, blocks + 1
+    if block or not blocks:
+        yield block
+
+
 def contained_items(
     docs: DataFrame,
     items: DataFrame,
@@ -125,10 +141,11 @@ def contained_items(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     schema = "doc_id long, item_id long, n_shingles long, n_shared long"
 
-    def search(block: list[tuple[int, bytes]]) -> DataFrame:
+    found = None
+    for block in item_blocks(items, item_col, item_text_col, block_bytes):
         held = spark.sparkContext.broadcast(block)
 
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemBlock(held.value, width, threshold, hits), _Hashes()
             for batch in batches:
                 out: list[tuple[int, int, int, int]] = []
@@ -138,24 +155,34 @@ def contained_items(
                 cols = list(zip(*out, strict=True)) or [[]] * 4
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-        return rows.mapInArrow(run, schema)
-
-    wanted = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull())
-    wanted = wanted.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("binary")).distinct()
-    found, block, size = None, [], 0
-    for item in wanted.toLocalIterator():
-        block.append((item[0], bytes(item[1])))
-        size += len(item[1]) + 64
-        if size >= block_bytes:
-            found, block, size = search(block) if found is None else found.union(search(block)), [], 0
-    if block or found is None:
-        found = search(block) if found is None else found.union(search(block))
+        more = rows.mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_shared long")
+        found = more if found is None else found.union(more)
     best = found.withColumn("containment", F.col("n_shared") / F.col("n_shingles")).groupBy("doc_id", "item_id")
     best = best.agg(F.max(F.struct("containment", "n_shingles", "n_shared")).alias("m"))
     return best.select("doc_id", "item_id", "m.n_shingles", "m.n_shared", "m.containment")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents that contain no item, with all their columns; rows with a null id stay."""
-    bad = contained_items(docs, items, id_col, **options).select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti").select(docs.columns)
+def decontaminate(
+    docs: DataFrame,
+    items: DataFrame,
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    width: int = 5,
+    threshold: float = 0.8,
+    hits: int = 2,
+    block_bytes: int = 32 << 20,
+) -> DataFrame:
+    """The documents that contain no item, with all their columns: a filter pass for each block of items."""
+    place = docs.columns.index(text_col)
+    for block in item_blocks(items, item_col, item_text_col, block_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(block)
+
+        def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index, hashes = ItemBlock(held.value, width, threshold, hits), _Hashes()
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                yield batch.filter(pa.array([next(index.matches(words_of((t or "").encode()), hashes), None) is None for t in texts], pa.bool_()))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, simhash, suffix_tree, toxicity, vectors
+from . import contamination, langid, mixing, pii, secret_scan, simhash, suffix_tree, toxicity, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +23,16 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).drop("sources")
+
+
+@query
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.find_secrets(table(spark, sf_dir, "documents")), secret_scan.KINDS)
+
+
 @query
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -46,6 +56,29 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(pii.find_pii(table(spark, sf_dir, "documents")), pii.KINDS)
+
+
+@query
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select(columns)
+
+
+SQL["op7_warc"] = """
+with p as (select page_id, coalesce(html, '') h from pages),
+d as (select page_id, octet_length(encode(h)) payload_bytes, sha1(h) x from p),
+g as (select *, min(page_id) over (partition by x) low from d)
+select page_id, payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((cast('0x' || substr(x, 1 + 5 * (i // 4), 5) as integer) >> (15 - 5 * (i % 4))) & 31)::integer, 1)), '') payload_digest,
+  case when page_id > low then 'revisit' else 'response' end record_type,
+  case when page_id > low then low end refers_to
+from g"""
+
+
 @query
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

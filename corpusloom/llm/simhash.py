@@ -272,3 +272,19 @@ def near_duplicate_groups(
     inside = same.join(named, ["digest", "cluster"]).select("doc_id", "component_id")
     alone = coarse.join(shared, "component_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id"))
     return inside.union(alone)
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One document of each group of near-duplicates, the one with the smallest id, with all its columns.
+
+    Of rows that share id and text one stays; rows with a null id stay.
+    """
+    groups = near_duplicate_groups(docs, id_col, text_col, **options)
+    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    kept = docs.join(copies, id_col, "left_anti").select(docs.columns)
+    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
+    if twice.isEmpty():
+        return kept
+    place = F.row_number().over(Window.partitionBy(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).orderBy(*(c for c in docs.columns if c != id_col)))
+    again = kept.join(twice, id_col, "left_semi").withColumn("__place", place).where("__place = 1").select(docs.columns)
+    return kept.join(twice, id_col, "left_anti").select(docs.columns).union(again)
