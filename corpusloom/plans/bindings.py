@@ -57,3 +57,65 @@ TOTALS = f""", totals as (select "view", count(*) total from {VIEWS.format(f"(se
 STAGED = "staged as (select user_id, cast(floor(epoch(date_trunc('second', ts)) / 21600) as bigint) step, event_type label from events)"
 STAGES = STAGED + """, firsts as (select user_id, label, min(step) step from staged group by user_id, label),
   stages as (select user_id, step, list_sort(list(label)) labels from firsts group by user_id, step)"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders with their customers as records with headers; small dimensions are left to the optimizer's size rule."""
+    o, c, n = (table(spark, sf_dir, t) for t in ("orders", "customer", "nation"))
+    result = F.when(F.col("o_orderstatus") == "F", "1-0").when(F.col("o_orderstatus") == "O", "0-1").otherwise("1/2-1/2")
+    joined = o.join(c, F.col("o_custkey") == F.col("c_custkey")).join(n, F.col("c_nationkey") == F.col("n_nationkey"))
+    return joined.select(
+        F.col("o_orderkey").alias("record_id"),
+        F.date_format("o_orderdate", "yyyy.MM.dd").alias("date"),
+        result.alias("result"),
+        F.col("o_orderpriority").alias("tag"),
+        F.col("c_name").alias("player"),
+        F.col("n_name").alias("site"),
+        F.col("c_mktsegment").alias("segment"),
+        F.col("o_totalprice").alias("price"),
+        F.col("c_custkey").alias("player_id"),
+    )
+
+
+def positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem as positions: side from the return flag, label from the line status, pieces from the quantity."""
+    side = F.when(F.col("l_returnflag") == "A", "white").when(F.col("l_returnflag") == "N", "symmetric").otherwise("black")
+    p = table(spark, sf_dir, "lineitem")
+    return p.select(
+        F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("ply"), F.col("l_linestatus").alias("label"),
+        side.alias("side"), F.col("l_quantity").cast("int").alias("pieces"), F.col("l_partkey").alias("eval_key"),
+    )
+
+
+def evaluations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part as evaluations: the sign of p_size - 25 is the sign of the score; large parts are missing."""
+    size = F.col("p_size") - 25
+    winner = F.when(size == 0, "draw").when(size > 0, "white").otherwise("black")
+    p = table(spark, sf_dir, "part").where("p_size < 48")
+    return p.select(F.col("p_partkey").alias("eval_key"), size.alias("score"), winner.alias("winner"))
+
+
+RECORDS = """records as (select o_orderkey record_id, strftime(o_orderdate, '%Y.%m.%d') date,
+  case o_orderstatus when 'F' then '1-0' when 'O' then '0-1' else '1/2-1/2' end result, o_orderpriority tag, c_name player, n_name site,
+  c_mktsegment segment, o_totalprice price, c_custkey player_id
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)"""
+POSITIONS = """positions as (select l_orderkey record_id, l_linenumber ply, l_linestatus label,
+  case l_returnflag when 'A' then 'white' when 'N' then 'symmetric' else 'black' end side, cast(l_quantity as int) pieces, l_partkey eval_key from lineitem)"""
+EVALS = """evals as (select p_partkey eval_key, p_size - 25 score,
+  case when p_size = 25 then 'draw' when p_size > 25 then 'white' else 'black' end winner from part where p_size < 48)"""
+OUTCOME = """case when result = '1/2-1/2' then 'draw' when result is null or result not in ('1-0', '0-1') then 'unknown'
+  when side = 'white' then case when result = '1-0' then 'win' else 'loss' end
+  when side = 'black' then case when result = '0-1' then 'win' else 'loss' end when side = 'symmetric' then 'decisive' else 'unknown' end"""
+EVALUATED = """case when winner = 'draw' then 'draw' when winner is null then 'unknown'
+  when side in ('white', 'black') then case when winner = side then 'win' else 'loss' end when side = 'symmetric' then 'decisive' else 'unknown' end"""
+JUDGED = f"""{RECORDS}, {POSITIONS}, {EVALS}, judged as (select p.*, r.result, r.site, r.date, e.winner, e.score, {OUTCOME} outcome, {EVALUATED} evaluated
+  from positions p join records r using (record_id) left join evals e using (eval_key))"""
+
+
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions with their record's result and their evaluation, as outcomes of the favoured side."""
+    from corpusloom.functions import outcomes as O
+
+    r = records(spark, sf_dir).select("record_id", "result", "site", "date")
+    joined = positions(spark, sf_dir).join(r, "record_id").join(evaluations(spark, sf_dir), "eval_key", "left")
+    return joined.withColumns({"outcome": O.result_outcome(F.col("result"), F.col("side")), "evaluated": O.winner_outcome(F.col("winner"), F.col("side"))})
