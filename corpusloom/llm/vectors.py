@@ -8,7 +8,8 @@ own cell and to the one below, where its range partners are. In a cell the block
 distance selects candidates, the first block that admits a pair owns it, and the cosine
 of the given components, in double precision, decides. Equal vectors are one node; a
 task returns link counts and a spanning forest, never its pairs. Cells above ``chunk``
-vectors are split and their chunks compared pair by pair in tasks of their own.
+vectors are split and their chunks compared pair by pair in tasks of their own; other
+cells take their own and their neighbour's vectors in one task.
 """
 
 from __future__ import annotations
@@ -61,30 +62,43 @@ def _matrices(batch: pa.RecordBatch, dtype: str) -> Iterator[tuple[int, np.ndarr
         yield dims, rows, np.frombuffer(b"".join([vecs[r] for r in rows.tolist()]), dtype=dtype).reshape(-1, dims).astype(np.float64)
 
 
-def _pairs(v: np.ndarray, points: np.ndarray, home: np.ndarray, other: np.ndarray | None, b: int, shares: list, threshold: float):
-    """Linked positions of home x other (home x home above the diagonal if None) that block b owns."""
+def _lift(x: np.ndarray, left: bool) -> np.ndarray:
+    """Vectors of two more components, so that left @ right.T is minus the squared distance."""
+    square, one = np.einsum("ij,ij->i", x, x)[:, None], np.ones((len(x), 1))
+    return np.concatenate([2 * x, -square, -one] if left else [x, one, square], axis=1).astype(np.float32)
+
+
+def _pairs(v: np.ndarray, home: np.ndarray, other: np.ndarray | None, b: int, shares: list, threshold: float):
+    """Linked positions of home x other (home x home above the diagonal if None) that block b owns.
+
+    Single precision, with room for its error, selects candidates; the cosine of the given
+    components and the blocks' distances are in double precision.
+    """
     block, share = shares[b]
-    right = home if other is None else other
-    y = points[right][:, block]
-    yy = np.einsum("ij,ij->i", y, y)
     norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+    x = (v / norm[:, None]) @ rotation(v.shape[1])[:, block]
+    right = home if other is None else other
+    lifted, against = _lift(x[home], True), _lift(x[right], False)
     for at in range(0, len(home), 512):
-        rows = home[at : at + 512]
-        x = points[rows][:, block]
-        near = np.einsum("ij,ij->i", x, x)[:, None] + yy[None, :] - 2 * (x @ y.T) <= share + 1e-9
-        if other is None:
-            near &= np.arange(len(home))[None, :] > np.arange(at, at + len(rows))[:, None]
-        i, j = np.nonzero(near)
-        for part in range(0, len(i), 200_000):
-            p, q = rows[i[part : part + 200_000]], right[j[part : part + 200_000]]
-            d = points[p] - points[q]
+        for to in range(0 if other is not None else at, len(right), 4096):
+            near = lifted[at : at + 512] @ against[to : to + 4096].T >= -share - 1e-5
+            i, j = np.divmod(np.flatnonzero(near), near.shape[1])
+            p, q = home[at + i], right[to + j]
+            if other is None:
+                above = at + i < to + j
+                p, q = p[above], q[above]
+            linked = np.einsum("ij,ij->i", v[p], v[q]) / (norm[p] * norm[q]) >= threshold
+            p, q = p[linked], q[linked]
+            if not len(p):
+                continue
+            some, place = np.unique(np.concatenate([p, q]), return_inverse=True)
+            points = rotated(v[some])
+            d = points[place[: len(p)]] - points[place[len(p) :]]
             d *= d
             mine = d[:, block].sum(axis=1) <= share
             for earlier, most in shares[:b]:
                 mine &= d[:, earlier].sum(axis=1) > most
-            p, q = p[mine], q[mine]
-            linked = np.einsum("ij,ij->i", v[p], v[q]) / (norm[p] * norm[q]) >= threshold
-            yield p[linked], q[linked]
+            yield p[mine], q[mine]
 
 
 def vector_groups(
@@ -93,7 +107,7 @@ def vector_groups(
     vector_col: str = "embedding",
     threshold: float = 0.9,
     block_dims: int = 8,
-    chunk: int = 8192,
+    chunk: int = 16384,
 ) -> DataFrame:
     """One row a vector: vec_id, n_links, component_id, kept.
 
@@ -153,9 +167,9 @@ def vector_groups(
                         part = ((rep[inside].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(here)
                         for p in range(here):
                             mine = inside[part == p]
-                            out += [(mine, c, p, j, True) for j in [*range(p, here), *range(here, here + up)]]
+                            out += [(mine, c, p, j, True) for j in range(p, here + (up if here > 1 or up > 1 else 0))]
                             out += [(mine, c, i, p, False) for i in range(p)]
-                            out += [(mine, c - 1, i, down + p, False) for i in range(down)]
+                            out += [(mine, c - 1, i, down + p if down > 1 or here > 1 else i, False) for i in range(down)]
                     for mine, c, i, j, home in out:
                         if len(mine):
                             keys = [pa.array(np.full(len(mine), x, dtype=np.int64)) for x in (dims, b, c, i, j)]
@@ -170,16 +184,19 @@ def vector_groups(
             order = np.argsort(rep, kind="stable")
             rep, n = rep[order], n[order]
             home = group["home"].to_numpy(zero_copy_only=False)[order]
-            v = np.frombuffer(b"".join(group["vec"].to_pylist()), dtype=dtype).reshape(-1, dims).astype(np.float64)[order]
+            packed = group["vec"].combine_chunks()
+            packed = packed.chunk(0) if isinstance(packed, pa.ChunkedArray) else packed
+            first = np.frombuffer(packed.buffers()[1], dtype=np.int32)[packed.offset]
+            v = np.frombuffer(packed.buffers()[2], dtype=dtype, offset=int(first), count=len(packed) * dims)
+            v = v.reshape(-1, dims).astype(np.float64)[order]
             inner, outer = np.flatnonzero(home), np.flatnonzero(~home)
-            if not len(inner) or (i != j and not len(outer)):
-                continue
             shares = budgets(dims, threshold, block_dims)
             links, label = np.zeros(len(rep), dtype=np.int64), np.arange(len(rep))
-            for p, q in _pairs(v, rotated(v), inner, outer if len(outer) else None, b, shares, threshold):
-                np.add.at(links, p, n[q])
-                np.add.at(links, q, n[p])
-                label = merge_labels(label, p, q)
+            for side in ([None] if i == j else []) + ([outer] if len(outer) else []):
+                for p, q in _pairs(v, inner, side, b, shares, threshold):
+                    np.add.at(links, p, n[q])
+                    np.add.at(links, q, n[p])
+                    label = merge_labels(label, p, q)
             got = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(rep[got]), pa.array(links[got]), pa.array(rep[label[got]])], names=["rep", "links", "root"])
 
