@@ -28,7 +28,8 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events with six-hour buckets as steps, so that several labels share one."""
     e = table(spark, sf_dir, "events")
-    return e.select("user_id", F.floor(F.unix_timestamp("ts") / 21600).alias("step"), F.col("event_type").alias("label"))
+    bucket = F.datediff(F.to_date("ts"), F.lit("1970-01-01").cast("date")) * 4 + F.floor(F.hour("ts") / 6)  # no time zone enters
+    return e.select("user_id", bucket.cast("long").alias("step"), F.col("event_type").alias("label"))
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
