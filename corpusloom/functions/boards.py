@@ -216,3 +216,61 @@ def pins(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
     at = F.get("full", F.lit(0))
     pinned = F.substring(F.col(board), at, F.lit(1))
     return hit.select(key, "piece", "from", pinned.alias("pinned"), at.alias("at"), F.col("to").alias("king"))
+
+
+def xrays(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
+    """(key, piece, from, through, target, to): line pieces whose line passes one own line piece that moves alike."""
+    spark = boards.sparkSession
+    places = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.upper(F.substring(F.col(board), k, F.lit(1))).isin("R", "B", "Q"))
+    sliders = boards.select(key, board, F.explode(places).alias("from")).withColumn("piece", F.substring(F.col(board), F.col("from"), F.lit(1)))
+    lines = sliders.join(F.broadcast(geometry(spark).where("kind <> 'knight'")), "from")
+    white = F.col("piece") == F.upper("piece")
+
+    def moves_so(p: Column) -> Column:
+        return ((F.col("kind") == "orthogonal") & F.upper(p).isin("R", "Q")) | ((F.col("kind") == "diagonal") & F.upper(p).isin("B", "Q"))
+
+    full = F.filter("between", lambda k: F.substring(F.col(board), k, F.lit(1)) != ".")
+    target = F.substring(F.col(board), F.col("to"), F.lit(1))
+    hit = lines.where(moves_so(F.col("piece")) & (target != ".")).withColumn("full", full).where(F.size("full") == 1)
+    through = F.substring(F.col(board), F.get("full", F.lit(0)), F.lit(1))
+    hit = hit.withColumn("through", through).where(moves_so(F.col("through")) & ((F.col("through") == F.upper("through")) == white))
+    return hit.select(key, "piece", "from", "through", target.alias("target"), "to")
+
+
+def move_kinds(board: Column, uci: Column) -> dict[str, Column]:
+    """What a move does on the board before it: capture, promotion, castling, en passant."""
+
+    def place(at: int) -> Column:
+        return (8 - F.substring(uci, at + 1, 1).cast("int")) * 8 + F.instr(F.lit("abcdefgh"), F.substring(uci, at, 1))
+
+    source, target = place(1), place(3)
+    piece, taken = F.substring(board, source, F.lit(1)), F.substring(board, target, F.lit(1))
+    passing = piece.isin("P", "p") & (file_of(source) != file_of(target)) & (taken == ".")
+    return {
+        "piece": piece,
+        "capture": (taken != ".") | passing,
+        "promotion": F.length(uci) == 5,
+        "castling": piece.isin("K", "k") & (F.abs(file_of(target) - file_of(source)) == 2),
+        "en_passant": passing,
+    }
+
+
+def tracks(moves: Column) -> Column:
+    """Which piece each move moves: the place it stood on in the start position, 0 for none.
+
+    The state is the number of the piece on each of the 64 squares.
+    """
+
+    def place(m: Column, at: int) -> Column:
+        return (8 - F.substring(m, at + 1, 1).cast("int")) * 8 + F.instr(F.lit("abcdefgh"), F.substring(m, at, 1))
+
+    squares = F.transform(F.sequence(F.lit(1), F.lit(64)), lambda k: F.when(F.substring(F.lit(START), k, F.lit(1)) != ".", k).otherwise(0))
+    zero = F.struct(squares.alias("on"), F.array().cast("array<int>").alias("out"))
+
+    def step(a: Column, m: Column) -> Column:
+        source, target = place(m, 1), place(m, 3)
+        moved = F.element_at(a["on"], source)
+        on = F.transform(a["on"], lambda p, k: F.when(k + 1 == target, moved).when(k + 1 == source, 0).otherwise(p))
+        return F.struct(on.alias("on"), F.concat(a["out"], F.array(moved)).alias("out"))
+
+    return F.aggregate(moves, zero, step, lambda a: a["out"])

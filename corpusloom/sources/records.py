@@ -85,3 +85,23 @@ def markers(records: DataFrame, known: list[str]) -> DataFrame:
     plies = token.withColumn("ply", F.sum(move.cast("int")).over(upto)).where(F.startswith("token", F.lit("{")))
     labels = known_labels(F.regexp_replace("token", "[{}]", ""), known)
     return plies.select("file", "game_index", "ply", F.explode(labels).alias("label"))
+
+
+def read_blank_line_records(spark: SparkSession, path: str) -> DataFrame:
+    """Records split at blank lines before a tag, whole files at a time: for small files of loose form."""
+    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][gG][nN]").text(path)
+    parts = F.posexplode(F.split("value", r"\r?\n\s*\r?\n(?=\[)"))
+    rows = files.select(F.col("_metadata.file_path").alias("file"), parts.alias("place", "raw")).where(F.col("raw").rlike(r"^\s*\["))
+    return rows.select("file", (F.col("place") + 1).alias("game_index"), F.rtrim("raw").alias("raw"))
+
+
+ANNOTATED = (
+    "game_index long, headers map<string,string>, parse_errors array<string>, move_uci_sequence array<string>, "
+    "positions array<struct<ply_index:int,fullmove_number:int,move_san:string,move_uci:string,fen:string,side_to_move:string,piece_count:int>>"
+)
+
+
+def read_annotated(spark: SparkSession, path: str) -> DataFrame:
+    """Annotated records from JSON lines; those with parse errors are marked and give no facts."""
+    rows = spark.read.schema(ANNOTATED).json(path)
+    return rows.withColumn("status", F.when(F.size(F.coalesce("parse_errors", F.array())) > 0, "reject").otherwise("ok"))

@@ -150,3 +150,46 @@ def test_record_stream(spark, tmp_path):
     q = stream.select(stream.headers["Event"].alias("e")).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c"))
     q.option("path", str(tmp_path / "out")).trigger(availableNow=True).start().awaitTermination()
     assert sorted(r.e for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+
+
+def test_rules_rows_and_parents(spark):
+    from corpusloom.operators import rules as U
+
+    known = [U.Rule("bn", {"B": (1, 1), "N": (1, 1)}, parents=("minors",)), U.Rule("minors", {"B": (0, 2), "N": (0, 2)}, {"B": (0, 2), "N": (0, 2)})]
+    fens = [(1, "4k3/8/8/8/8/8/8/2B1K1N1 w"), (2, "2b1k1n1/8/8/8/8/8/8/4K3 w"), (3, "4k3/8/8/8/8/8/8/2B1K3 w"), (4, "4k3/8/8/8/8/8/8/2R1K3 w")]
+    boards = spark.createDataFrame(fens, "id int, fen string").withColumn("board", B.expand_fen(F.col("fen")))
+    first = {r.id: (r.m.stem, r.m.side) if r.m else None for r in boards.withColumn("m", U.first_match(known, F.col("board"))).collect()}
+    assert first == {1: ("bn", "white"), 2: ("bn", "black"), 3: ("minors", "symmetric"), 4: None}
+    labels = sorted((r.id, r.label) for r in U.all_labels(boards, known, "board").collect())
+    assert labels == [(1, "bn"), (1, "minors"), (2, "bn"), (2, "minors"), (3, "minors")]
+
+
+def test_moves_keep_piece_identity(spark):
+    moves = ["e2e4", "d7d5", "e4d5", "d8d5", "e1e2"]
+    tracks = one(spark, B.tracks(F.array(*map(F.lit, moves))))
+    assert tracks == [B.square("e2"), B.square("d7"), B.square("e2"), B.square("d8"), B.square("e1")]
+    kinds = B.move_kinds(F.lit(B.START), F.lit("b1c3"))
+    assert [one(spark, kinds[k]) for k in ("piece", "capture", "promotion", "castling", "en_passant")] == ["N", False, False, False, False]
+
+
+def test_xray_through_own_rook(spark):
+    boards = spark.createDataFrame([(1, "4k3/8/8/8/4R3/8/4Q3/4K3 w"), (2, "4k3/8/8/8/4N3/8/4Q3/4K3 w")], "id int, fen string").withColumn("board", B.expand_fen(F.col("fen")))
+    assert {(r.id, r.piece, r.through, r.target) for r in B.xrays(boards, "id").collect()} >= {(1, "Q", "R", "k")}
+    assert not [r for r in B.xrays(boards, "id").collect() if r.id == 2]
+
+
+def test_loose_records_and_annotated(spark, tmp_path):
+    (tmp_path / "a.pgn").write_text('[Event "a"]\n\n1. e4 *\n\n[Event "b"]\r\n\r\n*\r\n\r\n[Event "c"]\n\n*\n')
+    assert [r.game_index for r in records.read_blank_line_records(spark, str(tmp_path)).orderBy("game_index").collect()] == [1, 2, 3]
+    (tmp_path / "x.json").write_text('{"game_index": 1, "headers": {"Event": "a"}, "parse_errors": []}\n{"game_index": 2, "parse_errors": ["bad"]}\n')
+    assert [(r.game_index, r.status) for r in records.read_annotated(spark, str(tmp_path / "x.json")).collect()] == [(1, "ok"), (2, "reject")]
+
+
+def test_openings_and_exports(spark):
+    from corpusloom.operators import exports as X
+
+    df = spark.createDataFrame([("C20", False, "B00"), (None, True, "B00"), (None, False, "B00")], "t string, c boolean, f string")
+    assert [r.o for r in df.select(X.opening_label(F.col("t"), F.col("c"), F.col("f")).alias("o")).collect()] == ["C20", None, "B00"]
+    assert [r.o for r in df.select(X.opening_label(F.col("t"), F.col("c"), F.col("f"), force=True).alias("o")).collect()] == ["B00", None, "B00"]
+    scored = X.score_pending(spark.range(3), lambda b: b.assign(score=b["id"] * 2.0), "id long, score double")
+    assert sorted((r.id, r.score) for r in scored.collect()) == [(0, 0.0), (1, 2.0), (2, 4.0)]
