@@ -89,7 +89,7 @@ def markers(records: DataFrame, known: list[str]) -> DataFrame:
 
 def read_blank_line_records(spark: SparkSession, path: str) -> DataFrame:
     """Records split at blank lines before a tag, whole files at a time: for small files of loose form."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][gG][nN]").text(path)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][gG][nN]").text(path, wholetext=True)
     parts = F.posexplode(F.split("value", r"\r?\n\s*\r?\n(?=\[)"))
     rows = files.select(F.col("_metadata.file_path").alias("file"), parts.alias("place", "raw")).where(F.col("raw").rlike(r"^\s*\["))
     return rows.select("file", (F.col("place") + 1).alias("game_index"), F.rtrim("raw").alias("raw"))
