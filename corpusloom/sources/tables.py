@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SUMMARY = "pgn string, cql string, output_pgn string, pair_output_pgn string, status string, match_count int, returncode int, duration_seconds double, timed_out string, missing_output string, stdout_bytes long, stderr_bytes long, error string"
+SUMMARY = "source string, rule string, output_pgn string, pair_output_pgn string, status string, match_count int, returncode int, duration_seconds double, timed_out string, missing_output string, stdout_bytes long, stderr_bytes long, error string"
 FACTS = "schema_version int, kind string, source_pgn string, source_group string, game_key string, result string, stem string, max_run_length int, position_count int, ply_index int, run_length int, material_side string, eco_base string"
 CATALOG = "stem string, label string, group string, description string, color string"
 COUNTS = "ending string, first_game_count int, all_marker_count int"
