@@ -37,11 +37,13 @@ def value_of(span: Column) -> Column:
     return F.when(span["kind"] == KINDS[0], F.regexp_extract(span["text"], ASSIGN, 1)).otherwise(span["text"])
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float] | None:
+def train(samples: DataFrame, smoothing: float = 0.5, drawn: float = 5.0) -> list[float] | None:
     """Log ratios of character transitions from samples (value, label); 1 marks random strings.
 
     A flat table of (n + 1) x (n + 1) entries for the n characters of ALPHABET, 0 standing
-    for the start and for any other character. None without both labels.
+    for the start and for any other character. Transitions are drawn towards the
+    characters' own shares by ``drawn`` counts, so that a character that a model hardly
+    ever saw is rare after any other. None without both labels.
     """
     n = len(ALPHABET) + 1
     text = F.concat(F.lit("\u0000"), F.col("value"))
@@ -49,13 +51,18 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float] | None:
     pairs = samples.where(F.length("value") > 0).select("label", pair.alias("pair"))
     code = [F.position(F.substring("pair", k, 1), F.lit(ALPHABET)) for k in (1, 2)]
     counted = pairs.groupBy("label", code[0].alias("a"), code[1].alias("b")).count().collect()  # 2 n^2 rows at most
-    counts = {label: [[smoothing] * n for _ in range(n)] for label in (0, 1)}
-    for r in counted:
-        counts[r["label"]][r["a"]][r["b"]] += r["count"]
     if {r["label"] for r in counted} != {0, 1}:
         return None
-    sums = {label: [sum(row) for row in rows] for label, rows in counts.items()}
-    return [math.log(counts[1][a][b] / sums[1][a]) - math.log(counts[0][a][b] / sums[0][a]) for a in range(n) for b in range(n)]
+    logs = []
+    for label in (1, 0):
+        move, single = [[0] * n for _ in range(n)], [smoothing] * n
+        for r in counted:
+            if r["label"] == label:
+                move[r["a"]][r["b"]] += r["count"]
+                single[r["b"]] += r["count"]
+        whole = sum(single)
+        logs.append([math.log((move[a][b] + drawn * single[b] / whole) / (sum(move[a]) + drawn)) for a in range(n) for b in range(n)])
+    return [random - ordinary for random, ordinary in zip(*logs, strict=True)]
 
 
 def log_ratio(value: Column, table: list[float]) -> Column:
