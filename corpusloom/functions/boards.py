@@ -24,7 +24,10 @@ def epd(fen: Column) -> Column:
 
 
 def count_of(board: Column, pieces: str) -> Column:
-    return F.regexp_count(board, F.lit(f"[{pieces}]"))
+    """How many of the pieces named are on the board; A-Z and a-z name a side."""
+    named = {"A-Z": "KQRBNP", "a-z": "kqrbnp"}.get(pieces, pieces)
+    rest = F.translate(board, named, "") if len(named) > 1 else F.replace(board, F.lit(named), F.lit(""))
+    return F.length(board) - F.length(rest)
 
 
 def square(name: str) -> int:
