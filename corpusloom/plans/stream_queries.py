@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,9 @@ from .catalog import query
 
 def _shared(spark: SparkSession) -> str:
     """A fresh folder below the shared checkpoint folder, a local one only where none is set."""
-    import tempfile
-
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/stream-{uuid.uuid4().hex}"
 
 
