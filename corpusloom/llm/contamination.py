@@ -173,7 +173,11 @@ def decontaminate(
     hits: int = 2,
     block_bytes: int = 32 << 20,
 ) -> DataFrame:
-    """The documents that contain no item, with all their columns: a filter pass for each block of items."""
+    """The documents that contain no item, with all their columns: a filter pass for each block of items.
+
+    Null texts contain nothing and stay, as do rows with a null id; repeated rows stay or go
+    alike. Without items all documents stay; an empty table stays empty.
+    """
     place = docs.columns.index(text_col)
     for block in item_blocks(items, item_col, item_text_col, block_bytes):
         held = docs.sparkSession.sparkContext.broadcast(block)

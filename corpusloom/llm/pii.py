@@ -110,7 +110,8 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_chars", threshold: float = 0.6, reach: int = 40) -> DataFrame:
     """The documents with every span of personal data replaced by the name of its kind.
 
-    All columns stay; ``size_col``, if there, is the new length. Null texts stay null.
+    All columns stay; ``size_col``, if there, is the new length of changed texts. Null texts
+    stay null, empty ones empty; repeated rows are changed alike; an empty table stays empty.
     """
     text = F.col(text_col)
     base = base_spans(text)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import xxhash
 
@@ -28,42 +30,56 @@ def number_words(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[s
 
 
 class Forms:
-    """Feature buckets of distinct words: n-grams of 1 to 3 bytes with word marks, affixes, the word."""
+    """Feature buckets of distinct words: n-grams of 1 to 3 bytes with word marks, affixes, the word.
+
+    Features are computed when first asked for, for lists of some ten thousand words.
+    """
 
     def __init__(self, words: list[str], buckets: int):
-        raw = [w.encode() for w in words]
-        flat = np.frombuffer(b"<" + b"><".join(raw) + b">", dtype=np.uint8).astype(np.uint64)
-        sizes = np.array([len(r) + 2 for r in raw], dtype=np.int64)
-        ends = np.cumsum(sizes)
-        starts = ends - sizes
-        self.n = len(words)
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []  # (buckets, first place of each word)
+        self._raw = [w.encode() for w in words]
+        self._flat = np.frombuffer(b"<" + b"><".join(self._raw) + b">", dtype=np.uint8)
+        self._sizes = np.array([len(r) + 2 for r in self._raw], dtype=np.int64)
+        self._ends = np.cumsum(self._sizes)
+        self._starts = self._ends - self._sizes
+        self.n, self.buckets = len(words), buckets
+
+    @cached_property
+    def grams(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(buckets, first place of each word) for each length."""
+        flat, out = self._flat.astype(np.uint64), []
         for n in (1, 2, 3):
             code = np.zeros(len(flat) - n + 1, dtype=np.uint64)
             for k in range(n):
                 code = code * np.uint64(257) + flat[k : len(flat) - n + 1 + k]
             inside = np.ones(len(code), dtype=bool)
             for k in range(1, n):
-                cut = ends[:-1] - k
-                inside[cut] = False
-            self.grams.append((_bucket(code[inside], n, buckets), starts - (n - 1) * np.arange(self.n)))
-        self.affixes: list[np.ndarray] = []
+                inside[self._ends[:-1] - k] = False
+            out.append((_bucket(code[inside], n, self.buckets), self._starts - (n - 1) * np.arange(self.n)))
+        return out
+
+    @cached_property
+    def affixes(self) -> list[np.ndarray]:
+        """Buckets of the first and last 1 to 4 bytes."""
+        flat, out = self._flat.astype(np.uint64), []
         for n in (1, 2, 3, 4):
-            size = np.minimum(n, sizes - 2)
+            size = np.minimum(n, self._sizes - 2)
             head = tail = np.zeros(self.n, dtype=np.uint64)
             for k in range(n):
                 more = k < size
-                head = np.where(more, head * np.uint64(257) + flat[np.minimum(starts + 1 + k, len(flat) - 1)], head)
-                tail = np.where(more, tail * np.uint64(257) + flat[np.maximum(ends - 2 - k, 0)], tail)
-            self.affixes += [_bucket(head, 10 + n, buckets), _bucket(tail, 20 + n, buckets)]
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, raw), dtype=np.uint64, count=self.n)
-        self._flat, self._starts, self._sizes = flat, starts, sizes
+                head = np.where(more, head * np.uint64(257) + flat[np.minimum(self._starts + 1 + k, len(flat) - 1)], head)
+                tail = np.where(more, tail * np.uint64(257) + flat[np.maximum(self._ends - 2 - k, 0)], tail)
+            out += [_bucket(head, 10 + n, self.buckets), _bucket(tail, 20 + n, self.buckets)]
+        return out
+
+    @cached_property
+    def hashes(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh64_intdigest, self._raw), dtype=np.uint64, count=self.n)
 
     def prefixes(self, lengths: range) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each length in bytes, (words at least that long, 64-bit codes of their first bytes)."""
         out, code = [], np.zeros(self.n, dtype=np.uint64)
         for n in range(1, lengths.stop):
-            byte = self._flat[np.minimum(self._starts + n, len(self._flat) - 1)]
+            byte = self._flat[np.minimum(self._starts + n, len(self._flat) - 1)].astype(np.uint64)
             code = (code ^ byte) * np.uint64(0x9E3779B97F4A7C15)
             code ^= code >> np.uint64(29)
             if n in lengths:

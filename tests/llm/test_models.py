@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from corpusloom.llm import langid, toxicity
+from corpusloom.llm import langid, toxicity, wordforms
 
 SYLLABLES = {"aa": ["ba", "lo", "mi", "ru"], "bb": ["sch", "ung", "ver", "ein"]}
 
@@ -61,11 +61,11 @@ def test_gru_gradients_match_differences():
     y = np.array([1.0, 0.0, 1.0])
 
     def loss():
-        z = net.forward(ids, sizes, net.inputs(words)[1])
+        z = net.forward(ids, sizes, net.inputs(words))
         return float(np.sum(np.log1p(np.exp(z)) - y * z))
 
     keep = {}
-    forms, x = net.inputs(words)
+    forms, x = wordforms.Forms(words, toxicity.BUCKETS), net.inputs(words)
     z = net.forward(ids, sizes, x, keep)
     d = (1 / (1 + np.exp(-z)) - y).astype(np.float32)
     grads, d_x = net.gradients(ids, x, keep, d)
