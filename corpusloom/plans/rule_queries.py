@@ -85,5 +85,5 @@ def board_xrays(spark: SparkSession, d: str) -> DataFrame:
 
 @query("piece_tracks", None)
 def piece_tracks(spark: SparkSession, d: str) -> DataFrame:
-    t = _uci(spark, d).select("user_id", F.explode(B.tracks(F.slice("m", 1, 20))).alias("piece"))
+    t = _uci(spark, d).select("user_id", F.explode(B.tracks(F.col("m"))).alias("piece"))
     return t.where("piece > 0").groupBy("user_id", "piece").agg(F.count("*").alias("moves"))

@@ -280,7 +280,7 @@ def _uci(spark: SparkSession, d: str) -> DataFrame:
 
 @query("replay_moves", None)
 def replay_moves(spark: SparkSession, d: str) -> DataFrame:
-    return _uci(spark, d).select("user_id", F.posexplode(B.replay(F.slice("m", 1, 20))).alias("ply", "board"))
+    return _uci(spark, d).select("user_id", F.posexplode(B.replay(F.col("m"))).alias("ply", "board"))
 
 
 @query("retag", f"with {_HEAD} select o_orderkey, array_to_string(list_transform(list_append(tags, 'ECO'), lambda t: t), ' ') tags from heads")

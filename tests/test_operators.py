@@ -99,6 +99,41 @@ def test_replay_special_moves(spark):
     assert last(["a2a8q"])[0] == "Q"
 
 
+def test_replay_and_tracks_fold_all_moves(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from corpusloom.plans.rule_queries import piece_tracks
+    from corpusloom.plans.text_queries import replay_moves
+
+    start = datetime(2024, 1, 1)
+    rows = [(k, start + timedelta(minutes=k), k % 3) for k in range(150)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long").write.parquet(f"{tmp_path}/events.parquet")
+    boards, moves = {}, {}
+    for user in range(3):
+        board, on = B.START, [k + 1 if p != "." else 0 for k, p in enumerate(B.START)]
+        for ply, e in enumerate(range(user, 150, 3)):
+            a, b, c, d = e * 7 % 8, e * 5 % 8 + 1, (e * 3 + 1) % 8, (e * 11 + 3) % 8 + 1
+            source, target = (8 - b) * 8 + a, (8 - d) * 8 + c
+            cells = list(board)
+            piece, taken = cells[source], cells[target]
+            cells[source] = "."
+            cells[target] = piece
+            if piece in "Pp" and a != c and taken == ".":
+                cells[source // 8 * 8 + c] = "."
+            if piece in "Kk" and a == 4 and b == d and abs(a - c) == 2:
+                cells[target + 1 if c > a else target - 2] = "."
+                cells[target - 1 if c > a else target + 1] = "R" if piece == "K" else "r"
+            board = boards[user, ply] = "".join(cells)
+            moved = on[source]
+            on[source] = 0
+            on[target] = moved
+            if moved:
+                moves[user, moved] = moves.get((user, moved), 0) + 1
+    got = {(r.user_id, r.ply): r.board for r in replay_moves(spark, str(tmp_path)).collect()}
+    assert len(got) == 150 and got == boards
+    assert {(r.user_id, r.piece): r.moves for r in piece_tracks(spark, str(tmp_path)).collect()} == moves
+
+
 def test_record_scan(spark, tmp_path):
     text = '﻿preamble\n\n[Event "a"]\n[Site "s"]\n[Event "b"]\n\n1. e4 {x} e5 1-0\n\n[Event "c"]\r\n[Site "t"]\n\n1. d4 (1. c4) {y x} *\n'
     (tmp_path / "one.pgn").write_text(text)
