@@ -79,15 +79,17 @@ def log_ratio(value: Column, table: list[float]) -> Column:
 
 
 def labelled_samples(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """(value, label) from the ``sample_docs`` documents with the smallest hash of their id.
+    """(value, label), drawn by label: from ``sample_docs`` documents each, those with the smallest hash of their id.
 
-    Values of the fixed patterns are label 1, all other identifiers of these texts label 0.
+    Values of the fixed patterns are label 1, from the documents that hold any, however
+    rare these are; the other identifiers of a draw of all documents are label 0.
     """
-    ids = docs.where(F.col(id_col).isNotNull()).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.join(ids, id_col, "left_semi").select(text.alias("text"))
-    found = rows.select("text", base_spans(F.col("text")).alias("base"))
-    random = found.select(F.explode("base").alias("s")).select(value_of(F.col("s")).alias("value"), F.lit(1).alias("label"))
+    known = docs.where(F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    hold = known.select(id_col, F.xxhash64("text").alias("tie"), base_spans(F.col("text")).alias("base")).where(F.size("base") > 0)
+    hold = hold.select(id_col, "tie", F.transform("base", value_of).alias("values")).orderBy(F.xxhash64(id_col), id_col, "tie").limit(sample_docs)
+    random = hold.select(F.explode("values").alias("value"), F.lit(1).alias("label"))
+    ids = known.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
+    found = known.join(ids, id_col, "left_semi").select("text", base_spans(F.col("text")).alias("base"))
     plain = F.filter(matches(F.col("text"), IDENTIFIER, 9, "word"), lambda s: F.length(s["text"]) < 60)
     plain = found.select(F.explode(clear_of(plain, F.col("base"))).alias("s")).select(F.col("s.text").alias("value"), F.lit(0).alias("label"))
     return random.union(plain)
@@ -105,8 +107,8 @@ def find_secrets(
 
     base holds the fixed patterns' matches; spans also the strings of 20 characters or more,
     clear of those, whose log ratio reaches ``threshold``, as kind ``markov``. Without
-    ``samples`` the models are trained on at most ``sample_docs`` of the documents (the
-    fit's bound); without examples of both kinds nothing is added. Null texts count as
+    ``samples`` the models are trained on at most ``sample_docs`` documents that hold a fixed
+    pattern's match and as many of all documents (the fit's bound); without examples of both kinds nothing is added. Null texts count as
     empty. Repeated rows are returned each; other columns are not read; an empty table
     gives an empty result.
     """

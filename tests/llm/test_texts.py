@@ -8,6 +8,7 @@ import re
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.llm import contamination, mixing, pii, secret_scan, suffix_tree, warc
 
@@ -76,6 +77,22 @@ def test_markov_models_add_random_strings(spark):
     assert found == {1: [("markov", strings[299])], 2: [], 3: []}
 
 
+def test_markov_models_learn_from_rare_secrets(spark):
+    rng = random.Random(5)
+    draw = lambda: "".join(rng.choices(secret_scan.ALPHABET[:62], k=24))
+    words = ["customer_account_identifier", "configurationParameterName", "responseHandlerFactory", "international", "temperature_measurement"]
+    texts = [(k, " ".join(rng.choices(words, k=8))) for k in range(3000)]
+    first = spark.range(3000).orderBy(F.xxhash64("id")).limit(100).collect()
+    outside = sorted(set(range(3000)) - {r.id for r in first})
+    for k in outside[:40]:
+        texts[k] = (k, f"token = {draw()}")
+    lone = draw()
+    texts[outside[50]] = (outside[50], f"see {lone} here")
+    found = {r.doc_id: [(s.kind, s.text) for s in r.spans] for r in secret_scan.find_secrets(docs_of(spark, texts), sample_docs=100).collect()}
+    assert found[outside[50]] == [("markov", lone)]
+    assert not any(found[k] for k in outside[51:])
+
+
 def test_pii_checks_and_redaction(spark):
     texts = [(1, "my IBAN is DE89370400440532013000 now"), (2, "DE89370400440532013001 is not"), (3, "call (555) 123-4567 now"), (4, "size (555) 123-4567"), (5, None), (6, "mail a.b@c.org, é +1 (743) 555-3824!")]
     found = {r.doc_id: [(s.kind, s.text) for s in r.spans] for r in pii.find_pii(docs_of(spark, texts)).collect()}
