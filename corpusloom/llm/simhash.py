@@ -14,6 +14,7 @@ tasks of their own.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -216,6 +217,94 @@ def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label:
     return merge_labels(label, left[i], right[j]) if i.size else label
 
 
+def _prefix_size(n: int, threshold: float) -> int:
+    """How many first members of a set of n meet those of any set at the threshold, in any one order."""
+    return n - math.ceil(threshold * n - 1e-9) + 1
+
+
+def _meetings(component: np.ndarray, rep: np.ndarray, n: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
+    """Rows a and b of pairs of different components, left with right, whose sizes and places allow the threshold."""
+    x, out = left[:, None], [np.empty((2, 0), dtype=np.int64)]
+    for j in range(0, len(right), 4096):
+        y = right[None, j : j + 4096]
+        most = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])
+        p, q = np.nonzero((component[x] != component[y]) & (most >= threshold * (n[x] + n[y] - most) - 1e-9))
+        out.append(np.sort(np.stack([rep[left[p]], rep[y[0, q]]]), axis=0))
+    return np.concatenate(out, axis=1)
+
+
+def prefix_links(texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float, space: str, drawn: int = 20_000, chunk: int = 4096) -> DataFrame:
+    """Links (a, b) of components that hold texts at the threshold, exact over all pairs of components.
+
+    texts: (doc_id, text); nodes: (doc_id, component) of the texts to compare. In any one
+    order of shingles, two sets at the threshold share one of their first
+    n - ceil(threshold * n) + 1. The order is by hash, with the shingles last that are
+    common in a draw of ``drawn`` texts: the draw changes work only, never the pairs.
+    """
+
+    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t.lower().split(), shingle, True).view(np.int64) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["h"])
+
+    raw = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
+    share = min(1.0, drawn / max(1, nodes.count()))
+    often = raw.select("text").sample(share, SEED).mapInArrow(hashed, "h long").groupBy("h").count().where("count >= 10")
+    often = [r["h"] for r in often.orderBy(F.desc("count"), "h").limit(50_000).collect()]
+    common = np.sort(np.array(often, dtype=np.int64).view(np.uint64))
+
+    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, firsts = [], []
+            for t in batch.column(1).to_pylist():
+                h = shingle_hashes(t.lower().split(), shingle, True)
+                last = np.isin(h, common, assume_unique=True)
+                sizes.append(len(h))
+                firsts.append(np.concatenate([h[~last], h[last]])[: _prefix_size(len(h), threshold) if len(h) else 0].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["rep", "n", "first"])
+
+    cells = raw.mapInArrow(prefixes, "rep long, n int, first array<long>").join(nodes.withColumnRenamed("doc_id", "rep"), "rep")
+    cells = cells.select("component", "rep", "n", F.posexplode("first").alias("at", "h"))
+    whole = Window.partitionBy("h")
+    met = cells.withColumns({"chunks": F.ceil(F.count("*").over(whole) / chunk).cast("int"), "low": F.min("component").over(whole), "high": F.max("component").over(whole)})
+    met = met.where("low < high").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    met = met.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "rep", "n", "at")
+
+    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        held = 0
+        for (_, i, j), group in sorted_groups(batches, ["h", "i", "j"]):
+            own, component, rep, n, at = (group[k].to_numpy() for k in ("own", "component", "rep", "n", "at"))
+            right = np.flatnonzero(own == j)
+            for left in np.array_split(np.flatnonzero(own == i), max(1, len(own) // 512)):
+                found.append(_meetings(component, rep, n, at, left, right, threshold))
+                held += found[-1].shape[1]
+                if held > 100_000 or len(found) > 10_000:
+                    a, b = np.concatenate(found, axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+                    found, held = [], 0
+        if found:
+            a, b = np.concatenate(found, axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    pairs = met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(pair, "a long, b long")
+    pairs = stash(pairs.distinct(), space, "pairs")
+
+    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingle_hashes(t.lower().split(), shingle, True).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
+
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    kept = raw.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles array<long>")
+    kept = stash(kept.join(nodes.withColumnRenamed("doc_id", "rep"), "rep"), space, "sets")
+    left, right = (kept.select(F.col("rep").alias(k), F.col("component").alias(f"c{k}"), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
+    both = F.size(F.array_intersect("sa", "sb"))
+    near = both >= threshold * (F.size("sa") + F.size("sb") - both)
+    return pairs.join(left, "a").join(right, "b").where(near).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+
+
 def near_duplicate_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -231,7 +320,8 @@ def near_duplicate_groups(
     Fingerprints of the distinct ``width``-word runs within ``radius`` bits give coarse
     groups; in these, equal texts are merged and all other pairs are verified by the exact
     Jaccard similarity of their ``shingle``-word sets, in pairs of chunks of ``chunk``
-    texts. component_id is the smallest doc_id reachable over verified links. Null texts
+    texts. Pairs that the fingerprints miss are found by ``prefix_links``, so every pair of
+    texts at the threshold is linked. component_id is the smallest doc_id reachable over verified links. Null texts
     count as empty; texts without words are one group. Rows with a null doc_id are left out.
     """
     space = workspace(docs.sparkSession)
@@ -269,9 +359,14 @@ def near_duplicate_groups(
     links = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link, "a long, b long")
     found = components(links, space, "verified")
     named = reps.join(found, reps["rep"] == found["node"], "left").select("digest", "cluster", F.coalesce("component", "rep").alias("component_id"))
-    inside = same.join(named, ["digest", "cluster"]).select("doc_id", "component_id")
-    alone = coarse.join(shared, "component_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id"))
-    return inside.union(alone)
+    inside = same.join(named, ["digest", "cluster"]).select("doc_id", "component_id", F.col("digest"))
+    alone = coarse.join(shared, "component_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("digest"))
+    first = stash(inside.union(alone), space, "first")
+    once = first.where("digest is null").select("doc_id", F.col("component_id").alias("component"))
+    once = once.union(first.where("digest is not null").groupBy("digest").agg(F.min("doc_id"), F.min("component_id")).drop("digest"))
+    more = prefix_links(texts, stash(once.distinct(), space, "nodes"), shingle, threshold, space)
+    merged = components(more, space, "merged")
+    return first.join(merged, first["component_id"] == merged["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -87,6 +87,42 @@ def test_near_duplicates_are_verified(spark):
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4, 5, 7]
 
 
+def test_lone_pairs_at_the_threshold(spark):
+    rng = random.Random(11)
+    texts, pairs = [], []
+
+    def shingles(words):
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+
+    def similarity(a, b):
+        a, b = shingles(a), shingles(b)
+        return len(a & b) / len(a | b)
+
+    for k in range(60):
+        base = [f"w{rng.randrange(10**5)}" for _ in range(rng.randrange(60, 900))]
+        edited = list(base)
+        if k % 3 == 0:
+            places = list(range(2, len(base), 5))
+            rng.shuffle(places)
+            for at in places:
+                tried = edited[:at] + [f"z{at}"] + edited[at + 1 :]
+                if similarity(base, tried) < 0.8:
+                    break
+                edited = tried
+        elif k % 3 == 1:
+            edited += [f"z{i}" for i in range(int(0.24 * (len(base) - 4)))]
+        else:
+            edited = base[: len(base) - int(0.19 * (len(base) - 4))]
+        assert 0.8 <= similarity(base, edited) < 0.86
+        texts += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited))]
+        pairs += [(2 * k, 2 * k), (2 * k + 1, 2 * k)]
+    below = [f"v{i}" for i in range(500)]
+    texts += [(1000, " ".join(below)), (1001, " ".join(below[:390]))]  # similarity 0.778
+    pairs += [(1000, 1000), (1001, 1001)]
+    got = simhash.near_duplicate_groups(docs_of(spark, texts)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == pairs
+
+
 def test_empty_tables(spark):
     assert simhash.simhash_groups(docs_of(spark, [])).count() == 0
     assert simhash.drop_near_duplicates(docs_of(spark, [])).count() == 0
