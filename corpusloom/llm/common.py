@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,6 +47,18 @@ def drop_stash(spark: SparkSession, space: str, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def bounded_slices(batch: pa.RecordBatch, column: int, rows: int = 2048, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bound in rows and in bytes of a text column; a longer text stands alone."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(lengths)
+    at = 0
+    while at < batch.num_rows:
+        past = ends[at - 1] if at else 0
+        upto = min(at + rows, max(at + 1, int(np.searchsorted(ends, past + size, side="right"))), batch.num_rows)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """Groups of rows with equal keys from batches that come sorted by those integer keys.
 

@@ -75,16 +75,35 @@ class Forms:
     def hashes(self) -> np.ndarray:
         return np.fromiter(map(xxhash.xxh64_intdigest, self._raw), dtype=np.uint64, count=self.n)
 
-    def prefixes(self, lengths: range) -> list[tuple[np.ndarray, np.ndarray]]:
-        """For each length in bytes, (words at least that long, 64-bit codes of their first bytes)."""
-        out, code = [], np.zeros(self.n, dtype=np.uint64)
-        for n in range(1, lengths.stop):
-            byte = self._flat[np.minimum(self._starts + n, len(self._flat) - 1)].astype(np.uint64)
-            code = (code ^ byte) * np.uint64(0x9E3779B97F4A7C15)
-            code ^= code >> np.uint64(29)
-            if n in lengths:
-                long = np.flatnonzero(self._sizes - 2 >= n)
-                out.append((long, code[long]))
+    @cached_property
+    def edges(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(words at least that long, 64-bit codes) of the first 2 to 8 and the last 2 to 4 bytes."""
+        out = []
+        for lengths, start, step, tag in ((range(2, 9), self._starts + 1, 1, 1), (range(2, 5), self._ends - 2, -1, 2)):
+            code = np.full(self.n, tag, dtype=np.uint64)
+            for n in range(1, lengths.stop):
+                byte = self._flat[np.clip(start + step * (n - 1), 0, len(self._flat) - 1)].astype(np.uint64)
+                code = (code ^ byte) * np.uint64(0x9E3779B97F4A7C15)
+                code ^= code >> np.uint64(29)
+                if n in lengths:
+                    long = np.flatnonzero(self._sizes - 2 >= n)
+                    out.append((long, code[long]))
+        return out
+
+    def edge_sum(self, table: np.ndarray) -> np.ndarray:
+        """Sum of the table's rows of each word's first and last bytes."""
+        out = np.zeros((self.n, table.shape[1]), dtype=np.float32)
+        for word, code in self.edges:
+            out[word] += table[(code % np.uint64(len(table))).astype(np.int64)]
+        return out
+
+    def edge_gradient(self, by_word: np.ndarray, rows: int) -> np.ndarray:
+        """The gradient of edge_sum's table."""
+        out = np.zeros((rows, by_word.shape[1]), dtype=np.float32)
+        word = np.concatenate([w for w, _ in self.edges])
+        code = (np.concatenate([c for _, c in self.edges]) % np.uint64(rows)).astype(np.int64)
+        for d in range(by_word.shape[1]):
+            out[:, d] = np.bincount(code, weights=by_word[word, d], minlength=rows)
         return out
 
     def gram_mean(self, table: np.ndarray) -> np.ndarray:

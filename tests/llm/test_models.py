@@ -55,8 +55,8 @@ def test_forward_backward_matches_enumeration():
 
 def test_gru_gradients_match_differences():
     rng = np.random.default_rng(2)
-    net = toxicity.BiGru(toxicity.Odds(["a", "b"], np.array([0, 1, 2, 3]), np.array([1, 0])))
-    words = ["a", "b", "cc", "dd"]
+    net = toxicity.BiGru(["a", "cc"])
+    words = ["a", "b", "cc", "ddé"]
     ids, sizes = rng.integers(0, 4, (5, 3)), np.array([5, 3, 1])
     y = np.array([1.0, 0.0, 1.0])
 
@@ -69,8 +69,8 @@ def test_gru_gradients_match_differences():
     z = net.forward(ids, sizes, x, keep)
     d = (1 / (1 + np.exp(-z)) - y).astype(np.float32)
     grads, d_x = net.gradients(ids, x, keep, d)
-    grads["char"] = forms.gram_gradient(d_x[:, toxicity.ODDS :], toxicity.BUCKETS)
-    for name in ("out", "att", "att_out", "in_f", "in_b", "in_bias_f", "move_f", "move_b", "char"):
+    grads |= net.input_gradients(net.own(words), forms, d_x)
+    for name in ("out", "att", "att_out", "in_f", "in_b", "in_bias_f", "move_f", "move_b", "word", "char", "edge"):
         flat, g = net.p[name].reshape(-1), grads[name].reshape(-1)
         for k in np.argsort(-np.abs(g))[:3]:
             old = flat[k]
@@ -82,6 +82,31 @@ def test_gru_gradients_match_differences():
             assert abs((up - down) / 2e-2 - g[k]) < 2e-2 * max(1, abs(g[k])), name
 
 
+def test_score_is_that_of_the_highest_window():
+    rng = random.Random(4)
+    net = toxicity.BiGru(["lo", "ba"], seed=1)
+    net.blank = 0.1
+    texts = [sentence(rng, "aa", n).split() for n in (1, 5, 63, 64, 65, 130, 700)] + [[]]
+    got = net.scores(texts)
+    for words, s in zip(texts, got, strict=True):
+        n, best = len(words), -np.inf
+        starts = [0] if n <= toxicity.WINDOW else [*range(0, n - toxicity.WINDOW, toxicity.STRIDE), n - toxicity.WINDOW]
+        for a in starts:
+            window = words[a : a + toxicity.WINDOW]
+            x, ids = net.inputs(window or ["_"]), np.arange(max(1, len(window)))[:, None]
+            best = max(best, float(net.forward(ids, np.array([len(window)]), x)[0]))
+        assert abs(s - (1 / (1 + np.exp(-best)) if words else 0.1)) < 1e-5
+
+
+def test_fit_windows_of_long_texts():
+    words = [f"w{k}" for k in range(5000)]
+    text = " ".join(words)
+    drawn = toxicity._fit_windows(text, 10)
+    assert len(drawn) == 10 and drawn == toxicity._fit_windows(text, 10) and all(len(w) == toxicity.WINDOW for w in drawn)
+    assert toxicity._fit_windows(None, 10) == [[]] == toxicity._fit_windows("", 10)
+    assert len(toxicity._fit_windows(" ".join(words[:200]), 10)) == 4
+
+
 def test_windows_cover_and_overlap():
     owner, first, n = toxicity.windows(np.array([0, 10, 64, 65, 200]))
     for text, size in enumerate((0, 10, 64, 65, 200)):
@@ -100,11 +125,13 @@ def test_toxicity_on_held_out_texts(spark):
             words[rng.randrange(60)] = rng.choice(["vile", "nasty", "xkbad" + rng.choice(SYLLABLES["aa"])])
         rows.append((k, " ".join(words), "aa", 0))
         labels.append((k, 1, int(toxic)))
-    rows += [(900, "", "aa", 0), (901, None, None, 0), (902, "lo " * 3000 + "vile nasty vile " + "mi " * 3000, "aa", 0), (903, "!!!", "aa", 0)]
+    rows += [(900, "", "aa", 0), (901, None, None, 0), (902, "lo " * 3000 + "vile nasty vile " + "mi " * 3000, "aa", 0)]
+    rows += [(903, "!!!", "aa", 0), (904, "", "aa", 0), (905, None, "aa", 0), (None, rows[0][1], "aa", 0)]
+    labels += [(904, 1, 0), (905, 1, 0), (3, 1, 0)]  # labelled texts without words, an id with both labels
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, predicted int")
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     got = {r.doc_id: r for r in toxicity.score(docs, marks).collect()}
-    assert len(got) == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
+    assert toxicity.score(docs, marks).count() == len(rows) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got.values())
     held = [k for k in range(500) if got[k].held_out]
     assert sum(got[k].predicted == (k % 3 == 0) for k in held) >= 0.95 * len(held)
     assert got[902].predicted == 1 and got[900].predicted == 0 and got[901].predicted == 0
