@@ -9,6 +9,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +17,32 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class WordHashes(dict):
+    """Word hashes, computed once; emptied when it has grown large."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
+
+
+def shingle_codes(words: list[bytes], width: int, hashes: WordHashes) -> np.ndarray:
+    """A 64-bit code of every run of ``width`` words, from the words' hashes."""
+    n = len(words) - width + 1
+    if n <= 0:
+        return np.empty(0, dtype=np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
+    code = np.full(n, width, dtype=np.uint64)
+    for k in range(width):
+        code = code * _MIX + h[k : k + n]
+        code ^= code >> np.uint64(29)
+    return code
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -16,42 +16,19 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import WordHashes, bounded_slices, shingle_codes
+
 #: Words are runs of ASCII letters and digits and of non-ASCII bytes; A-Z count as a-z.
 _KEEP = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_KEEP).split() if text else []
 
 
-class _Hashes(dict):
-    """Word hashes, computed once; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def shingle_codes(words: list[bytes], width: int, hashes: _Hashes) -> np.ndarray:
-    """A 64-bit code of every run of ``width`` words, from the words' hashes."""
-    n = len(words) - width + 1
-    if n <= 0:
-        return np.empty(0, dtype=np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), dtype=np.uint64, count=len(words))
-    code = np.zeros(n, dtype=np.uint64)
-    for k in range(width):
-        code = code * _MIX + h[k : k + n]
-        code ^= code >> np.uint64(29)
-    return code
-
-
 class ItemBlock:
     """Sketches and words of a bounded number of items."""
 
@@ -61,7 +38,7 @@ class ItemBlock:
         codes, owners = [], []
         for item_id, text in items:
             words = words_of(text)
-            own = np.unique(shingle_codes(words, width, _Hashes()))
+            own = np.unique(shingle_codes(words, width, WordHashes()))
             if not len(own):
                 continue
             most = 2 ** int(len(own)).bit_length() - 1  # the partition's largest size
@@ -86,7 +63,7 @@ class ItemBlock:
         owners = np.concatenate([self.owners[a:b] for a, b in zip(first.tolist(), last.tolist(), strict=True)])
         return np.flatnonzero(np.bincount(owners, minlength=len(self.items)) >= self.need)
 
-    def matches(self, words: list[bytes], hashes: _Hashes) -> Iterator[tuple[int, int, int]]:
+    def matches(self, words: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, int, int]]:
         """(item_id, shingles of the item, those in the document) of the items contained."""
         codes = shingle_codes(words, self.width, hashes)
         if not len(codes) or not len(self.distinct):
@@ -146,7 +123,7 @@ def contained_items(
         held = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, hashes = ItemBlock(held.value, width, threshold, hits), _Hashes()
+            index, hashes = ItemBlock(held.value, width, threshold, hits), WordHashes()
             for batch in batches:
                 out: list[tuple[int, int, int, int]] = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -183,7 +160,7 @@ def decontaminate(
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, hashes = ItemBlock(held.value, width, threshold, hits), _Hashes()
+            index, hashes = ItemBlock(held.value, width, threshold, hits), WordHashes()
             for batch in batches:
                 texts = batch.column(place).to_pylist()
                 yield batch.filter(pa.array([next(index.matches(words_of((t or "").encode()), hashes), None) is None for t in texts], pa.bool_()))

@@ -14,7 +14,6 @@ tasks of their own.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -105,10 +104,21 @@ def _forest(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, l
     return label
 
 
-def hamming_links(reps: DataFrame, radius: int = 3, chunk: int = 4096) -> DataFrame:
+def _first_near(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, first: np.ndarray, radius: int) -> None:
+    """Lower first[p] to the smallest position q < p within radius bits, of pairs of left and right."""
+    for a in range(0, len(left), 512):
+        for b in range(0, len(right), 4096):
+            i, j = np.nonzero(np.bitwise_count(left[a : a + 512, None] ^ right[None, b : b + 4096]) <= radius)
+            p, q = x[a + i], y[b + j]
+            np.minimum.at(first, np.maximum(p, q), np.minimum(p, q))
+
+
+def hamming_links(reps: DataFrame, radius: int = 3, chunk: int = 4096, actual: bool = False) -> DataFrame:
     """Links (a, b) between fingerprints within ``radius`` bits, as spanning forests by cell.
 
-    reps: distinct rows (rep, fp). The links' components equal those of all pairs.
+    reps: distinct rows (rep, fp). The links' components equal those of all pairs. With
+    ``actual``, rows are pairs within the radius themselves, each fingerprint's first in
+    each cell, for callers that verify pairs.
     radius: at most 63; parts are the power of two that leaves one step a part.
     """
     parts = 1
@@ -155,7 +165,10 @@ def hamming_links(reps: DataFrame, radius: int = 3, chunk: int = 4096) -> DataFr
             label = np.arange(len(rep))
             for p, q in {(i, j), (j, i)}:
                 x, y = np.flatnonzero(part == p), np.flatnonzero((part == q) & own)
-                label = _forest(fp[x], fp[y], x, y, label, radius)
+                if actual:
+                    _first_near(fp[x], fp[y], x, y, label, radius)
+                else:
+                    label = _forest(fp[x], fp[y], x, y, label, radius)
             linked = np.flatnonzero(label != np.arange(len(rep)))
             out_a += rep[linked].tolist()
             out_b += rep[label[linked]].tolist()
@@ -174,7 +187,8 @@ def simhash_groups(
 
     component_id is the smallest doc_id reachable over links of ``radius`` bits or fewer.
     Null and empty texts and texts without words have fingerprint zero and link like any
-    other. Repeated rows each get a row. A null doc_id gets its fingerprint and a null
+    other. Very long texts are hashed whole, a bounded number of shingles at a time; a bit
+    set in exactly half of the hashes is 0. Repeated rows each get a row. A null doc_id gets its fingerprint and a null
     component, and links nothing. Equal fingerprints are one node, so groups of copies of
     any size cost one row in the join. An empty table gives an empty result; other
     columns are not read.
@@ -189,197 +203,3 @@ def simhash_groups(
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"),
     )
-
-
-def _similar(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, label: np.ndarray, threshold: float) -> np.ndarray:
-    """Link sets of left and right positions whose Jaccard similarity reaches the threshold.
-
-    Overlaps are sums of products of 0/1 matrices over slices of the shingles, so memory
-    stays bounded for long texts.
-    """
-    sizes = np.array([len(s) for s in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    kept = often[code] > 1
-    owner, code = owner[kept], np.unique(code[kept], return_inverse=True)[1]
-    order = np.argsort(code, kind="stable")
-    owner, code = owner[order], code[order]
-    step = max(1, 8_000_000 // max(1, len(sets)))
-    both = np.zeros((len(left), len(right)), dtype=np.float64)
-    for at in range(0, int(code[-1]) + 1 if len(code) else 0, step):
-        a, b = np.searchsorted(code, [at, at + step])
-        have = np.zeros((len(sets), min(step, int(code[-1]) + 1 - at)), dtype=np.float32)
-        have[owner[a:b], code[a:b] - at] = 1
-        both += have[left] @ have[right].T
-    union = sizes[left][:, None] + sizes[right][None, :] - both
-    near = (both >= threshold * union) & ((union > 0) | (sizes[left][:, None] + sizes[right][None, :] == 0))
-    i, j = np.nonzero(near)
-    return merge_labels(label, left[i], right[j]) if i.size else label
-
-
-def _prefix_size(n: int, threshold: float) -> int:
-    """How many first members of a set of n meet those of any set at the threshold, in any one order."""
-    return n - math.ceil(threshold * n - 1e-9) + 1
-
-
-def _meetings(component: np.ndarray, rep: np.ndarray, n: np.ndarray, at: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> np.ndarray:
-    """Rows a and b of pairs of different components, left with right, whose sizes and places allow the threshold."""
-    x, out = left[:, None], [np.empty((2, 0), dtype=np.int64)]
-    for j in range(0, len(right), 4096):
-        y = right[None, j : j + 4096]
-        most = np.minimum(n[x] - at[x], n[y] - at[y]) + np.minimum(at[x], at[y])
-        p, q = np.nonzero((component[x] != component[y]) & (most >= threshold * (n[x] + n[y] - most) - 1e-9))
-        out.append(np.sort(np.stack([rep[left[p]], rep[y[0, q]]]), axis=0))
-    return np.concatenate(out, axis=1)
-
-
-def prefix_links(texts: DataFrame, nodes: DataFrame, shingle: int, threshold: float, space: str, drawn: int = 20_000, chunk: int = 4096) -> DataFrame:
-    """Links (a, b) of components that hold texts at the threshold, exact over all pairs of components.
-
-    texts: (doc_id, text); nodes: (doc_id, component) of the texts to compare. In any one
-    order of shingles, two sets at the threshold share one of their first
-    n - ceil(threshold * n) + 1. The order is by hash, with the shingles last that are
-    common in a draw of ``drawn`` texts: the draw changes work only, never the pairs.
-    """
-
-    def hashed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t.lower().split(), shingle, True).view(np.int64) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.int64), *found]))], names=["h"])
-
-    raw = texts.select("doc_id", F.col("text").cast("binary").alias("text"))
-    share = min(1.0, drawn / max(1, nodes.count()))
-    often = raw.select("text").sample(share, SEED).mapInArrow(hashed, "h long").groupBy("h").count().where("count >= 10")
-    often = [r["h"] for r in often.orderBy(F.desc("count"), "h").limit(50_000).collect()]
-    common = np.sort(np.array(often, dtype=np.int64).view(np.uint64))
-
-    def prefixes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, firsts = [], []
-            for t in batch.column(1).to_pylist():
-                h = shingle_hashes(t.lower().split(), shingle, True)
-                last = np.isin(h, common, assume_unique=True)
-                sizes.append(len(h))
-                firsts.append(np.concatenate([h[~last], h[last]])[: _prefix_size(len(h), threshold) if len(h) else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), pa.array(firsts, pa.list_(pa.int64()))], names=["rep", "n", "first"])
-
-    cells = raw.mapInArrow(prefixes, "rep long, n int, first array<long>").join(nodes.withColumnRenamed("doc_id", "rep"), "rep")
-    cells = cells.select("component", "rep", "n", F.posexplode("first").alias("at", "h"))
-    whole = Window.partitionBy("h")
-    met = cells.withColumns({"chunks": F.ceil(F.count("*").over(whole) / chunk).cast("int"), "low": F.min("component").over(whole), "high": F.max("component").over(whole)})
-    met = met.where("low < high").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    met = met.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "component", "rep", "n", "at")
-
-    def pair(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        held = 0
-        for (_, i, j), group in sorted_groups(batches, ["h", "i", "j"]):
-            own, component, rep, n, at = (group[k].to_numpy() for k in ("own", "component", "rep", "n", "at"))
-            right = np.flatnonzero(own == j)
-            for left in np.array_split(np.flatnonzero(own == i), max(1, len(own) // 512)):
-                found.append(_meetings(component, rep, n, at, left, right, threshold))
-                held += found[-1].shape[1]
-                if held > 100_000 or len(found) > 10_000:
-                    a, b = np.concatenate(found, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-                    found, held = [], 0
-        if found:
-            a, b = np.concatenate(found, axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
-    pairs = met.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(pair, "a long, b long")
-    pairs = stash(pairs.distinct(), space, "pairs")
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t.lower().split(), shingle, True).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["rep", "shingles"])
-
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    kept = raw.join(wanted, "doc_id", "left_semi").mapInArrow(sets, "rep long, shingles array<long>")
-    kept = stash(kept.join(nodes.withColumnRenamed("doc_id", "rep"), "rep"), space, "sets")
-    left, right = (kept.select(F.col("rep").alias(k), F.col("component").alias(f"c{k}"), F.col("shingles").alias(f"s{k}")) for k in ("a", "b"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    near = both >= threshold * (F.size("sa") + F.size("sb") - both)
-    return pairs.join(left, "a").join(right, "b").where(near).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
-
-
-def near_duplicate_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    shingle: int = 5,
-    threshold: float = 0.8,
-    radius: int = 7,
-    width: int = 2,
-    chunk: int = 256,
-) -> DataFrame:
-    """(doc_id, component_id) of documents whose shingle sets are similar, for deduplication.
-
-    Fingerprints of the distinct ``width``-word runs within ``radius`` bits give coarse
-    groups; in these, equal texts are merged and all other pairs are verified by the exact
-    Jaccard similarity of their ``shingle``-word sets, in pairs of chunks of ``chunk``
-    texts. Pairs that the fingerprints miss are found by ``prefix_links``, so every pair of
-    texts at the threshold is linked. component_id is the smallest doc_id reachable over verified links. Null texts
-    count as empty; texts without words are one group. Rows with a null doc_id are left out.
-    """
-    space = workspace(docs.sparkSession)
-    coarse = stash(simhash_groups(docs, id_col, text_col, width, True, radius), space, "coarse").where("doc_id is not null")
-    shared = coarse.groupBy("component_id").agg(F.count("*").alias("n")).where("n > 1").select("component_id")
-    members = coarse.join(shared, "component_id", "left_semi").select("doc_id", F.col("component_id").alias("cluster"))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_hashes(t.lower().split(), shingle, True).view(np.int64) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], names=["cluster", "rep", "shingles"])
-
-    same = stash(texts.join(members, "doc_id").select("doc_id", "cluster", "text", F.sha2("text", 256).alias("digest")), space, "members")
-    reps = same.groupBy("cluster", "digest").agg(F.min("doc_id").alias("rep"))
-    firsts = same.join(reps.select(F.col("rep").alias("doc_id"), "digest"), ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id"])
-    firsts = firsts.select("cluster", F.col("doc_id").alias("rep"), F.col("text").cast("binary"))
-    sized = reps.groupBy("cluster").agg(F.ceil(F.count("*") / chunk).cast("int").alias("chunks"), F.count("*").alias("texts"))
-    rows = firsts.mapInArrow(sets, "cluster long, rep long, shingles array<long>").join(sized.where("texts > 1").drop("texts"), "cluster")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "shingles")
-
-    def link(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, i, j), group in sorted_groups(batches, ["cluster", "i", "j"]):
-            rep = group["rep"].to_numpy()
-            order = np.argsort(rep, kind="stable")
-            rep, part = rep[order], group["own"].to_numpy()[order]
-            found = [np.asarray(s, dtype=np.int64) for s in group["shingles"].to_numpy()[order]]
-            label = np.arange(len(rep))
-            label = _similar(found, np.flatnonzero(part == i), np.flatnonzero(part == j), label, threshold)
-            linked = np.flatnonzero(label != np.arange(len(rep)))
-            yield pa.RecordBatch.from_arrays([pa.array(rep[linked], pa.int64()), pa.array(rep[label[linked]], pa.int64())], names=["a", "b"])
-
-    links = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j").mapInArrow(link, "a long, b long")
-    found = components(links, space, "verified")
-    named = reps.join(found, reps["rep"] == found["node"], "left").select("digest", "cluster", F.coalesce("component", "rep").alias("component_id"))
-    inside = same.join(named, ["digest", "cluster"]).select("doc_id", "component_id", F.col("digest"))
-    alone = coarse.join(shared, "component_id", "left_anti").select("doc_id", F.col("doc_id").alias("component_id"), F.lit(None).cast("string").alias("digest"))
-    first = stash(inside.union(alone), space, "first")
-    once = first.where("digest is null").select("doc_id", F.col("component_id").alias("component"))
-    once = once.union(first.where("digest is not null").groupBy("digest").agg(F.min("doc_id"), F.min("component_id")).drop("digest"))
-    more = prefix_links(texts, stash(once.distinct(), space, "nodes"), shingle, threshold, space)
-    merged = components(more, space, "merged")
-    return first.join(merged, first["component_id"] == merged["node"], "left").select("doc_id", F.coalesce("component", "component_id").alias("component_id"))
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the smallest id, with all its columns.
-
-    Of rows that share id and text one stays; rows with a null id stay.
-    """
-    groups = near_duplicate_groups(docs, id_col, text_col, **options)
-    copies = groups.where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    kept = docs.join(copies, id_col, "left_anti").select(docs.columns)
-    twice = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").select(id_col)
-    if twice.isEmpty():
-        return kept
-    place = F.row_number().over(Window.partitionBy(id_col, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)).orderBy(*(c for c in docs.columns if c != id_col)))
-    again = kept.join(twice, id_col, "left_semi").withColumn("__place", place).where("__place = 1").select(docs.columns)
-    return kept.join(twice, id_col, "left_anti").select(docs.columns).union(again)

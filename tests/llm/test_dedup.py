@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from corpusloom.llm import simhash, vectors
+from corpusloom.llm import near_copies, simhash, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, rep string"
 
@@ -82,7 +82,7 @@ def test_near_duplicates_are_verified(spark):
     near[200] = "changed"
     far[0:200] = [f"v{k}" for k in range(200)]
     texts = [(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base).upper()), (4, " ".join(far)), (5, None), (6, ""), (7, "x"), (1, " ".join(base)), (None, "x")]
-    kept = simhash.drop_near_duplicates(docs_of(spark, texts))
+    kept = near_copies.drop_near_duplicates(docs_of(spark, texts))
     assert kept.columns == [c.split()[0] for c in DOCS.split(", ")]
     assert sorted((r.doc_id or -1) for r in kept.collect()) == [-1, 1, 4, 5, 7]
 
@@ -119,13 +119,43 @@ def test_lone_pairs_at_the_threshold(spark):
     below = [f"v{i}" for i in range(500)]
     texts += [(1000, " ".join(below)), (1001, " ".join(below[:390]))]  # similarity 0.778
     pairs += [(1000, 1000), (1001, 1001)]
-    got = simhash.near_duplicate_groups(docs_of(spark, texts)).collect()
+    got = near_copies.near_duplicate_groups(docs_of(spark, texts)).collect()
     assert sorted((r.doc_id, r.component_id) for r in got) == pairs
 
 
+def test_repeated_ids_lose_no_text(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    kept = near_copies.drop_near_duplicates(docs_of(spark, [(1, a), (5, b), (5, a), (7, c), (5, b), (None, a), (8, b)])).collect()
+    assert sorted((r.doc_id or -1, r.text) for r in kept) == [(-1, a), (1, a), (5, b), (7, c)]
+
+
+@pytest.mark.parametrize("options", [{}, {"chunk": 8, "chunk_shingles": 300, "drawn": 20}])
+def test_dense_groups_match_brute_force(spark, options):
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**4)}" for _ in range(90)]
+    texts = [(900, None), (901, ""), (902, " \n"), (903, "lone"), (904, "LONE"), (905, "x y"), (906, "x y z v w " * 3000), (907, "x y z v w " * 2000)]
+    for k in range(140):
+        words = list(base)
+        for _ in range(k % 8):
+            words[rng.randrange(90)] = f"z{rng.randrange(30)}"
+        texts.append((k, " ".join(words)))
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts += [(500 + k, passage + " " + " ".join(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(2, 60)))) for k in range(60)]
+
+    def shingles(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    of = {i: shingles(t) for i, t in texts}
+    want = linked(sorted(of), lambda a, b: of[a] == of[b] or len(of[a] & of[b]) >= 0.8 * len(of[a] | of[b]) - 1e-9)
+    assert len(set(want.values())) > 40
+    got = near_copies.near_duplicate_groups(docs_of(spark, texts), **options).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_empty_tables(spark):
     assert simhash.simhash_groups(docs_of(spark, [])).count() == 0
-    assert simhash.drop_near_duplicates(docs_of(spark, [])).count() == 0
+    assert near_copies.drop_near_duplicates(docs_of(spark, [])).count() == 0
     assert vectors.vector_groups(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
