@@ -5,8 +5,9 @@ occur there. Items are partitioned by their number of shingles, in powers of two
 sketch of an item is the bottom-k of its shingle hashes, with k of the partition large
 enough that an item contained in a document can miss only k - ``hits`` of them. Every
 shingle of every document is probed against the sketches, so long documents need no
-sketch of their own and no contained item is lost. Items with enough hits are verified on
-their words. Benchmarks above ``block_bytes`` are searched in blocks of that size, each a
+sketch of their own and no contained item is lost. An item shorter than a shingle is one
+shingle of its own width, and documents are probed at the widths that items have. Items
+with enough hits are verified on their words. Benchmarks above ``block_bytes`` are searched in blocks of that size, each a
 pass over the documents, so what tasks hold stays bounded.
 """
 
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_slices, shingle_codes
+from .common import WordHashes, bounded_slices, shingle_codes, stash, workspace
 
 #: Words are runs of ASCII letters and digits and of non-ASCII bytes; A-Z count as a-z.
 _KEEP = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
@@ -35,12 +36,14 @@ class ItemBlock:
     def __init__(self, items: list[tuple[int, bytes]], width: int, threshold: float, hits: int):
         self.width, self.threshold = width, threshold
         self.items: list[tuple[int, list[bytes], int]] = []
+        self.widths: set[int] = set()
         codes, owners = [], []
         for item_id, text in items:
             words = words_of(text)
-            own = np.unique(shingle_codes(words, width, WordHashes()))
-            if not len(own):
+            if not words:
                 continue
+            self.widths.add(min(width, len(words)))
+            own = np.unique(shingle_codes(words, min(width, len(words)), WordHashes()))
             most = 2 ** int(len(own)).bit_length() - 1  # the partition's largest size
             k = min(len(own), int(np.floor((1 - threshold) * most + 1e-9)) + hits)
             missing = int(np.floor((1 - threshold) * len(own) + 1e-9))
@@ -65,16 +68,17 @@ class ItemBlock:
 
     def matches(self, words: list[bytes], hashes: WordHashes) -> Iterator[tuple[int, int, int]]:
         """(item_id, shingles of the item, those in the document) of the items contained."""
-        codes = shingle_codes(words, self.width, hashes)
-        if not len(codes) or not len(self.distinct):
+        codes = np.concatenate([np.empty(0, dtype=np.uint64), *(shingle_codes(words, w, hashes) for w in sorted(self.widths))])
+        if not len(codes):
             return
-        runs = None
+        runs: dict[int, set] = {}
         for place in self.candidates(codes).tolist():
             item_id, item, _ = self.items[place]
-            if runs is None:
-                runs = {tuple(words[i : i + self.width]) for i in range(len(words) - self.width + 1)}
-            own = {tuple(item[i : i + self.width]) for i in range(len(item) - self.width + 1)}
-            shared = len(own & runs)
+            width = min(self.width, len(item))
+            if width not in runs:
+                runs[width] = {tuple(words[i : i + width]) for i in range(len(words) - width + 1)}
+            own = {tuple(item[i : i + width]) for i in range(len(item) - width + 1)}
+            shared = len(own & runs[width])
             if shared >= self.threshold * len(own) - 1e-9:
                 yield item_id, len(own), shared
 
@@ -109,8 +113,9 @@ def contained_items(
 ) -> DataFrame:
     """Pairs (doc_id, item_id, n_shingles, n_shared, containment) with containment >= threshold.
 
-    Shingles are runs of ``width`` words. Items with fewer words, or a null id, and null
-    texts match nothing. Repeated rows of a document or item give one pair each document
+    Shingles are runs of ``width`` words; an item with fewer words is one shingle, contained
+    where its words occur in a row. Items without words or with a null id and null texts
+    match nothing. Very long texts are probed whole. Repeated rows of a document or item give one pair each document
     id and item id, with the largest containment. Without items or documents the result
     is empty. Other columns are not read.
     """
@@ -124,9 +129,9 @@ def contained_items(
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemBlock(held.value, width, threshold, hits), WordHashes()
-            for batch in batches:
+            for part in (p for b in batches for p in bounded_slices(b, 1)):
                 out: list[tuple[int, int, int, int]] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     if text and doc_id is not None:
                         out += [(doc_id, *m) for m in index.matches(words_of(text), hashes)]
                 cols = list(zip(*out, strict=True)) or [[]] * 4
@@ -152,18 +157,21 @@ def decontaminate(
 ) -> DataFrame:
     """The documents that contain no item, with all their columns: a filter pass for each block of items.
 
-    Null texts contain nothing and stay, as do rows with a null id; repeated rows stay or go
+    With several blocks each pass but the last is written to the shared folder, so a task
+    holds one block. Items shorter than a shingle count as in ``contained_items``. Null texts contain nothing and stay, as do rows with a null id; repeated rows stay or go
     alike. Without items all documents stay; an empty table stays empty.
     """
-    place = docs.columns.index(text_col)
-    for block in item_blocks(items, item_col, item_text_col, block_bytes):
+    place, space = docs.columns.index(text_col), workspace(docs.sparkSession)
+    for k, block in enumerate(item_blocks(items, item_col, item_text_col, block_bytes)):
+        if k:
+            docs = stash(docs, space, f"pass{k}")
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index, hashes = ItemBlock(held.value, width, threshold, hits), WordHashes()
-            for batch in batches:
-                texts = batch.column(place).to_pylist()
-                yield batch.filter(pa.array([next(index.matches(words_of((t or "").encode()), hashes), None) is None for t in texts], pa.bool_()))
+            for part in (p for b in batches for p in bounded_slices(b, place)):
+                texts = part.column(place).to_pylist()
+                yield part.filter(pa.array([next(index.matches(words_of((t or "").encode()), hashes), None) is None for t in texts], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -46,8 +46,22 @@ def route(patterns: dict[tuple, int], quotas: dict, passes: int = 2) -> dict[tup
     """Min-cost flow of words from patterns to their sources: (pattern, source) -> words.
 
     Word k of a pattern's pass p costs p; shortest augmenting paths with potentials, on a
-    graph of patterns and sources only.
+    graph of patterns and sources only. A pattern of one source that no other pattern has
+    gives what its quota takes and needs no graph.
     """
+    shared: dict = {}
+    for p in patterns:
+        for q in dict.fromkeys(p):
+            shared[q] = shared.get(q, 0) + 1
+    alone = {p: p[0] for p in patterns if len(set(p)) == 1 and shared[p[0]] == 1}
+    simple = {(p, q): min(quotas.get(q, 0), passes * patterns[p]) for p, q in alone.items()}
+    simple = {k: n for k, n in simple.items() if n > 0}
+    patterns = {p: n for p, n in patterns.items() if p not in alone}
+    quotas = {q: n for q, n in quotas.items() if q not in alone.values()}
+    return simple | _flow(patterns, quotas, passes)
+
+
+def _flow(patterns: dict[tuple, int], quotas: dict, passes: int) -> dict[tuple[tuple, object], int]:
     names = ["s", "t", *(("p", p) for p in sorted(patterns, key=repr)), *(("q", q) for q in sorted(quotas, key=repr))]
     number = {x: i for i, x in enumerate(names)}
     graph: list[list[list]] = [[] for _ in names]  # [to, capacity, cost, place of the reverse edge]
@@ -100,7 +114,7 @@ def words_in(text_col: str) -> Column:
 
 
 def take(docs: DataFrame, flows: dict[str, int], sizes: dict[str, int], seed: int, most: int = 2, tail: int = 256) -> DataFrame:
-    """Add ``taken`` to rows (doc_id, pattern, size): whole passes and a seeded partial pass.
+    """Add ``taken`` to rows (doc_id, pattern, size, key, copy): whole passes and a seeded partial pass.
 
     flows and sizes: words by pattern. The partial pass takes documents in the order of
     their seeded hash, by a histogram of ``LEVEL_BITS`` bits of the hash a level, until the
@@ -109,7 +123,7 @@ def take(docs: DataFrame, flows: dict[str, int], sizes: dict[str, int], seed: in
     up to ``most`` times.
     """
     spark = docs.sparkSession
-    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "pattern")), 1, HASH_BITS // 4), 16, 10).cast("long")
+    draw = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "key", "copy")), 1, HASH_BITS // 4), 16, 10).cast("long")
     drawn = docs.withColumn("draw", draw)
     state = {p: [flows.get(p, 0) // n if n else 0, flows.get(p, 0) % n if n else 0] for p, n in sizes.items()}
     # Of each pattern: whole passes, words of the partial pass still to take, first hash not yet taken, bits fixed.
@@ -163,6 +177,24 @@ def take(docs: DataFrame, flows: dict[str, int], sizes: dict[str, int], seed: in
     return out.select(*docs.columns, (F.col("size") * (F.col("passes") + partial)).alias("taken"))
 
 
+def numbered_copies(rows: DataFrame) -> DataFrame:
+    """Add ``copy``, 0, 1, ... among the rows with words that share ``key``; key and part (the writing task) are columns.
+
+    Rows of one key are alike, so any numbering gives the same result. They are numbered
+    within their parts, after the counts of earlier parts: a key with many rows isn't
+    gathered in one task.
+    """
+    held = rows.where("size > 0").groupBy("key", "part").agg(F.count("*").alias("n"))
+    ordered = Window.partitionBy("key").orderBy("part")
+    before = F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = held.withColumns({"before": before, "all": F.sum("n").over(Window.partitionBy("key"))}).where("all > 1").select("key", "part", "before")
+    known = rows.join(counts, ["key", "part"], "left")
+    place = F.row_number().over(Window.partitionBy("key", "part").orderBy("size")) - 1
+    twice = known.where("before is not null and size > 0").withColumn("copy", F.col("before") + place)
+    once = known.where("before is null or size = 0").withColumn("copy", F.lit(0).cast("long"))
+    return twice.unionByName(once).drop("before", "part")
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -180,17 +212,20 @@ def mix(
     and target are those of the document's first source in code-point order. Texts that are
     null or without words have size 0 and give 0 words. A null source is a source; a null
     or empty array belongs to none and gives 0 words. No document gives more than ``most``
-    times its size. Repeated rows are documents of their own unless they share id and
-    source, then they are taken alike. Only the table of patterns is handled on the driver:
+    times its size. Every row is a document of its own, also where ids are null or repeated
+    or whole rows are: copies are numbered and drawn one by one, and results of copies that
+    are alike are the same up to their order. Very long texts are counted whole. Only the table of patterns is handled on the driver:
     more than ``max_patterns`` is an error. Reruns agree; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     many = docs.schema[sources_col].dataType.typeName() == "array"
     source = F.array_sort(F.array_distinct(sources_col)) if many else F.array(F.col(sources_col).cast("string"))
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("sources"), words_in(text_col).alias("size"))
-    sized = sized.withColumn("pattern", F.coalesce(F.to_json("sources"), F.lit("[]")))
+    text_key = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), source.alias("sources"), words_in(text_col).alias("size"), text_key.alias("th"))
+    sized = sized.withColumn("pattern", F.coalesce(F.to_json("sources"), F.lit("[]"))).withColumn("part", F.spark_partition_id())
+    sized = sized.withColumn("key", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "pattern", "th"))).drop("th")
     space = workspace(spark)
-    sized = stash(sized, space, "sizes")
+    sized = stash(numbered_copies(stash(sized, space, "rows")), space, "sizes")
     rows = sized.groupBy("pattern").agg(F.first("sources").alias("sources"), F.sum("size").alias("words")).limit(max_patterns + 1).collect()
     if len(rows) > max_patterns:
         raise ValueError(f"more than {max_patterns} membership patterns")

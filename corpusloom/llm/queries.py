@@ -42,11 +42,11 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WORDS_SQL = "regexp_extract_all(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 SQL["op4_decontaminate"] = f"""
 with d as (select doc_id, {_WORDS_SQL.format(text="text")} w from documents where doc_id is not null and text is not null),
-ds as (select distinct doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) s from d where len(w) >= 5),
-i as (select item_id, {_WORDS_SQL.format(text="text")} w from benchmark where item_id is not null and text is not null),
-s as (select distinct item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) s from i where len(w) >= 5),
+i as (select item_id, w, least(5, len(w)) k from (select item_id, {_WORDS_SQL.format(text="text")} w from benchmark where item_id is not null and text is not null) where len(w) > 0),
+ds as (select distinct doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) s from d, (select distinct k from i) where len(w) >= k),
+s as (select distinct item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) s from i),
 n as (select item_id, count(*) n_shingles from s group by item_id),
-m as (select doc_id, item_id, count(*) n_shared from ds join s using (s) group by doc_id, item_id)
+m as (select doc_id, item_id, count(*) n_shared from ds join s using (s, k) group by doc_id, item_id)
 select doc_id, item_id, n_shingles, n_shared, n_shared / n_shingles as containment
 from m join n using (item_id) where n_shared >= 0.8 * n_shingles - 1e-9"""
 

@@ -105,20 +105,28 @@ def test_pii_checks_and_redaction(spark):
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(500)}"
-    items = [(k, " ".join(word() for _ in range(rng.randrange(3, 60)))) for k in range(30)] + [(30, None), (None, "a b c d e f"), (0, "p q r s t u v"), (31, "")]
+    items = [(k, " ".join(word() for _ in range(rng.randrange(3, 60)))) for k in range(30)] + [(30, None), (None, "a b c d e f"), (0, "p q r s t u v"), (31, ""), (32, "alpha Beta gamma delta"), (33, "solo"), (34, "two Words"), (35, "!!")]
     texts = [(k, " ".join(word() for _ in range(rng.randrange(0, 400)))) for k in range(60)] + [(60, None)]
     for k in range(0, 60, 3):
         own = items[k // 2][1].split()
         for _ in range(k % 4):
             own[rng.randrange(len(own))] = "zz"
         texts[k] = (k, texts[k][1] + " X, " + " ".join(own).upper() + "! " + texts[k][1])
-    texts.append(texts[0])
+    texts += [texts[0], (61, "x alpha beta gamma delta y"), (62, "alpha beta, gamma"), (63, "SOLO."), (64, "a two words b " + "w1 " * 40000), (65, "words two")]
 
-    def runs(t):
-        w = re.findall(r"[a-z0-9]+", (t or "").lower())
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    def words(t):
+        return re.findall(r"[a-z0-9]+", (t or "").lower())
 
-    want = {(d, i) for d, t in texts for i, q in items if i is not None and (s := runs(q)) and len(s & runs(t)) >= 0.8 * len(s) - 1e-9}
+    def runs(w, k):
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    want = set()
+    for i, q in items:
+        k = min(5, len(words(q)))
+        if i is not None and k:
+            s = runs(words(q), k)
+            want |= {(d, i) for d, t in texts if len(s & runs(words(t), k)) >= 0.8 * len(s) - 1e-9}
+    assert {(61, 32), (63, 33), (64, 34)} <= want
     table = spark.createDataFrame(items, "item_id long, text string")
     for size in (32 << 20, 2000):
         got = contamination.contained_items(docs_of(spark, texts), table, block_bytes=size).collect()
@@ -188,6 +196,38 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert len(got) == 200 and all(r.taken == 0 for r in got if not r.sources)
 
 
+@pytest.mark.parametrize("same", ["id", "null", "row", "hot"])
+def test_mix_draws_copies_one_by_one(spark, same):
+    words = {"id": lambda k: f"x{k} " * 50, "null": lambda k: "x " * 50, "row": lambda k: "x " * 50, "hot": lambda k: "x " * 50}[same]
+    ids = {"id": lambda k: 7, "null": lambda k: None, "row": lambda k: 7, "hot": lambda k: k if k > 700 else 7}[same]
+    rows = [(ids(k), words(k), "a") for k in range(1000)] + [(5000 + k, "y " * 20, "b") for k in range(500)] + [(None, "", "a"), (None, None, None), (1, "z " * 90_000, "c"), (2, "c " * 30, "c")]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, source string, copy int, key string")
+    first, again = mixing.mix(df).collect(), mixing.mix(df.repartition(5)).collect()
+    key = lambda r: (r.doc_id or -1, r.size, r.taken)
+    assert len(first) == len(rows) and sorted(map(key, first)) == sorted(map(key, again))
+    sizes = collections.Counter()
+    for _, t, s in rows:
+        sizes[s] += len((t or "").split())
+    targets = brute_targets(sizes)
+    taken = collections.Counter()
+    for r in first:
+        assert (r.source_size, r.target) == (sizes[r.sources[0]], pytest.approx(targets[r.sources[0]])) and r.taken <= 2 * r.size
+        taken[r.sources[0]] += r.taken
+    assert abs(taken["a"] - targets["a"]) <= 100 and abs(taken["b"] - targets["b"]) <= 40
+
+
+def brute_targets(sizes):
+    """Raise all sources together, five, two and one words at a time, until the words are spent."""
+    order = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)}
+    low, high = 0.0, 2.0 * sum(sizes.values()) + 1
+    for _ in range(200):
+        level = (low + high) / 2
+        spent = sum(min(2 * sizes[s], level * weight[s]) for s in order)
+        low, high = (level, high) if spent < 1.5 * sum(sizes.values()) else (low, level)
+    return {s: min(2 * sizes[s], low * weight[s]) for s in order}
+
+
 def reference_scores(texts):
     tokens = [((t or "").encode().lower().split() + [None], zlib.crc32(str(i).encode()) % 5 if i is not None else None) for i, t in texts]
     c = collections.Counter()
