@@ -12,11 +12,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import bounded_slices
 from .wordforms import Adam, Forms, number_words
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -165,15 +165,22 @@ class Crf:
         return total, None
 
 
-def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, seed: int) -> Crf | None:
-    """Fit on at most ``per_label`` texts of each language, those with the smallest hash of their id."""
+def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, per_label: int, fit_chars: int, seed: int) -> Crf | None:
+    """Fit on at most ``per_label`` texts of each language, those with the smallest hash of id and text, and ``fit_chars`` characters of each.
+
+    Of a longer text a piece is drawn by its hash; rows that share id, language and text are
+    one, so what comes to the driver is bounded.
+    """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-    ranked = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), id_col).alias("h"))
+    rows = known.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(F.lit(seed), id_col, text_col).alias("h"), F.col(text_col).alias("text"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h", "id"))
-    chosen = [r["id"] for r in ranked.withColumn("place", place).where(F.col("place") <= per_label).select("id").collect()]
-    rows = known.where(F.col(id_col).isin(chosen)).select(id_col, lang_col, text_col).collect() if chosen else []
-    rows = sorted((r[1], r[0], r[2]) for r in rows)
-    pairs = [(lang, w) for lang, _, text in rows if (w := words_of(text))]
+    chosen = rows.select("id", "lang", "h").withColumn("place", place).where(F.col("place") <= per_label).drop("place").distinct().collect()
+    if not chosen:
+        return None
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], rows.select("id", "lang", "h").schema)
+    start = F.pmod(F.col("h"), F.greatest(F.length("text") - fit_chars, F.lit(0)) + 1).cast("int") + 1
+    got = rows.join(F.broadcast(ids), ["id", "lang", "h"]).select("lang", "h", F.substring(F.col("text"), start, F.lit(fit_chars)).alias("text")).dropDuplicates(["lang", "h"]).collect()
+    pairs = [(lang, w) for lang, _, text in sorted((r["lang"], r["h"], r["text"]) for r in got) if (w := words_of(text))]
     labels = sorted({lang for lang, _ in pairs})
     if not labels:
         return None
@@ -191,32 +198,32 @@ def identify(
     folds: int = 4,
     held_fold: int = 2,
     per_label: int = 300,
+    fit_chars: int = 20_000,
     seed: int = 5,
 ) -> DataFrame:
     """One row a document: doc_id, held_out, lang_pred, score.
 
     Learns from rows whose crc32(doc_id as text) mod ``folds`` is not ``held_fold`` and whose
-    language is known, at most ``per_label`` of each (the fit's bound). score is the expected
-    share of the words in lang_pred. Texts that are null or have no letter, and all texts
+    language is known, at most ``per_label`` of each and ``fit_chars`` characters of each (the
+    fit's bounds). score is the expected share of the words in lang_pred, of equal shares
+    that of the first label in order; every whole text is read, a very long one by itself. Texts that are null or have no letter, and all texts
     if nothing could be learned, get ``und`` and score 0. Rows with a null id are predicted,
     not learned from, and not held out. Repeated rows are returned each; other columns are
     not read; an empty table gives an empty result.
     """
     fold = F.crc32(F.col(id_col).cast("string")) % folds
-    model = train(docs.where(fold != held_fold), id_col, text_col, lang_col, per_label, seed)
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
-                texts = [words_of(t) for t in part["text"]]
-                some = [i for i, w in enumerate(texts) if w] if model else []
-                pred, score = np.full(len(part), "und", dtype=object), np.zeros(len(part))
-                if some:
-                    share = model.shares([texts[i] for i in some])
-                    pred[some] = np.array(model.labels, dtype=object)[share.argmax(axis=1)]
-                    score[some] = np.clip(share.max(axis=1), 0, 1)
-                yield pd.DataFrame({"doc_id": part["doc_id"], "held_out": part["held_out"], "lang_pred": pred, "score": score})
+    model = train(docs.where(fold != held_fold), id_col, text_col, lang_col, per_label, fit_chars, seed)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (p for b in batches for p in bounded_slices(b, 2, rows=4096)):
+            texts = [words_of(t) for t in part.column(2).to_pylist()]
+            some = [i for i, w in enumerate(texts) if w] if model else []
+            pred, score = np.full(len(texts), "und", dtype=object), np.zeros(len(texts))
+            if some:
+                share = model.shares([texts[i] for i in some])
+                pred[some] = np.array(model.labels, dtype=object)[share.argmax(axis=1)]
+                score[some] = np.clip(share.max(axis=1), 0, 1)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(fold == held_fold, F.lit(False)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")

@@ -2,24 +2,27 @@
 
 Two first-order character models are trained from labelled samples, one of random strings
 and one of ordinary identifiers. A string's score is the log ratio of its likelihoods;
-long strings above a threshold are added to the matches of the fixed patterns. Training
-and scoring are column expressions.
+strings above a threshold are added to the matches of the fixed patterns. The random
+strings are drawn in the forms that keys have, apart from the fixed patterns; the ordinary
+ones are identifiers of the corpus. Training and scoring are column expressions.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stash, workspace
 from .spans import characters, clear_of, count_of, joined, matches, no_spans, ordered
 
 #: The patterns of the scan, possessive where that changes no match.
 ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*+[:=]\x20*+[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}+"
 HEX = r"[0-9a-f]{16,}+"
-CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}+"
+#: Strings of 12 characters or more with a digit or, after the first character, a capital.
+CANDIDATE = r"(?=[A-Za-z+/_=-][a-z+/_=-]*+[A-Z0-9]|[0-9])[A-Za-z0-9+/_=-]{12,}+"
 IDENTIFIER = r"[A-Za-z0-9+/_=-]{6,}+"
 KINDS = ("assign", "access", "hex")
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-."
@@ -32,11 +35,6 @@ def base_spans(text: Column) -> Column:
     return ordered(assign, access, matches(text, HEX, 2, KINDS[2]))
 
 
-def value_of(span: Column) -> Column:
-    """The secret itself: the value of an assignment, else the match."""
-    return F.when(span["kind"] == KINDS[0], F.regexp_extract(span["text"], ASSIGN, 1)).otherwise(span["text"])
-
-
 def train(samples: DataFrame, smoothing: float = 0.5, drawn: float = 5.0) -> list[float] | None:
     """Log ratios of character transitions from samples (value, label); 1 marks random strings.
 
@@ -78,21 +76,28 @@ def log_ratio(value: Column, table: list[float]) -> Column:
     return F.aggregate(characters(value), start, step, lambda a: a["sum"])
 
 
-def labelled_samples(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """(value, label), drawn by label: from ``sample_docs`` documents each, those with the smallest hash of their id.
+def random_strings(spark: SparkSession, n: int, seed: int = 29) -> DataFrame:
+    """n seeded random strings of 12 to 40 characters: letters and digits, base64, hex, capitals and digits, in turn."""
+    at = spark.range(n)
+    raw = F.base64(F.unhex(F.sha2(F.concat_ws(":", F.lit(seed), "id"), 512)))
+    plain = F.regexp_replace(raw, "[+/=]", "")
+    hexed = F.sha2(F.concat_ws(":", F.lit(seed), "id"), 256)
+    form = F.when(F.col("id") % 4 == 0, plain).when(F.col("id") % 4 == 1, raw).when(F.col("id") % 4 == 2, hexed).otherwise(F.upper(plain))
+    return at.select(F.substring(form, F.lit(1), (F.pmod(F.xxhash64("id"), F.lit(29)) + 12).cast("int")).alias("value"), F.lit(1).alias("label"))
+
+
+def ordinary_identifiers(docs: DataFrame, id_col: str, text_col: str, sample_docs: int, space: str) -> DataFrame:
+    """Identifiers, clear of the fixed patterns' matches, of the ``sample_docs`` rows with the smallest hash of id and text, as label 0.
 
-    Values of the fixed patterns are label 1, from the documents that hold any, however
-    rare these are; the other identifiers of a draw of all documents are label 0.
+    The drawn texts are written first, so that the patterns run on these only.
     """
-    known = docs.where(F.col(id_col).isNotNull()).select(id_col, F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hold = known.select(id_col, F.xxhash64("text").alias("tie"), base_spans(F.col("text")).alias("base")).where(F.size("base") > 0)
-    hold = hold.select(id_col, "tie", F.transform("base", value_of).alias("values")).orderBy(F.xxhash64(id_col), id_col, "tie").limit(sample_docs)
-    random = hold.select(F.explode("values").alias("value"), F.lit(1).alias("label"))
-    ids = known.select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample_docs)
-    found = known.join(ids, id_col, "left_semi").select("text", base_spans(F.col("text")).alias("base"))
+    known = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    least = known.select("h").orderBy("h").limit(sample_docs).agg(F.max("h").alias("most"))
+    drawn = known.join(F.broadcast(least), F.col("h") <= F.col("most")).select("text").distinct().limit(sample_docs)
+    drawn = stash(drawn, space, "drawn")
     plain = F.filter(matches(F.col("text"), IDENTIFIER, 9, "word"), lambda s: F.length(s["text"]) < 60)
-    plain = found.select(F.explode(clear_of(plain, F.col("base"))).alias("s")).select(F.col("s.text").alias("value"), F.lit(0).alias("label"))
-    return random.union(plain)
+    found = drawn.select("text", base_spans(F.col("text")).alias("base"))
+    return found.select(F.explode(clear_of(plain, F.col("base"))).alias("s")).select(F.col("s.text").alias("value"), F.lit(0).alias("label"))
 
 
 def find_secrets(
@@ -102,17 +107,21 @@ def find_secrets(
     samples: DataFrame | None = None,
     threshold: float = 12.0,
     sample_docs: int = 1000,
+    sample_strings: int = 4000,
 ) -> DataFrame:
     """One row a document: doc_id, base and spans (arrays of start, rank, kind, end, text, score).
 
-    base holds the fixed patterns' matches; spans also the strings of 20 characters or more,
+    base holds the fixed patterns' matches; spans also the strings of 12 characters or more,
     clear of those, whose log ratio reaches ``threshold``, as kind ``markov``. Without
-    ``samples`` the models are trained on at most ``sample_docs`` documents that hold a fixed
-    pattern's match and as many of all documents (the fit's bound); without examples of both kinds nothing is added. Null texts count as
-    empty. Repeated rows are returned each; other columns are not read; an empty table
-    gives an empty result.
+    ``samples`` (value, label) the models are trained on ``sample_strings`` random strings
+    and the identifiers of at most ``sample_docs`` documents (the fit's bounds); without
+    examples of both kinds nothing is added. Null texts count as empty; very long texts are
+    searched whole. Repeated rows are returned each; other columns are not read; an empty
+    table gives an empty result.
     """
-    table = train(labelled_samples(docs, id_col, text_col, sample_docs) if samples is None else samples)
+    if samples is None:
+        samples = ordinary_identifiers(docs, id_col, text_col, sample_docs, workspace(docs.sparkSession)).union(random_strings(docs.sparkSession, sample_strings))
+    table = train(samples)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("base", base_spans(F.col("text")))
     if table is None:

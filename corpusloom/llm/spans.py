@@ -14,13 +14,17 @@ def no_spans() -> Column:
     return F.array().cast(SPAN)
 
 
-def matches(text: Column, pattern: str, rank: int, kind: str, score: Callable[[Column], Column] | None = None) -> Column:
+def matches(text: Column, pattern: str, rank: int, kind: str, block: int = 256) -> Column:
     """All leftmost non-overlapping matches of a pattern with their places.
 
-    Places are the running lengths of the pieces between matches and of the matches; texts
-    without a match cost one search.
+    Places are the running lengths of the pieces between matches and of the matches, summed
+    by blocks of matches first, so the work grows in proportion to them; texts without a
+    match cost one search.
     """
 
+    def size(x: Column) -> Column:
+        return F.length(x["before"]) + F.length(x["found"])
+
     def step(a: Column, x: Column) -> Column:
         start = a["at"] + F.length(x["before"])
         end = start + F.length(x["found"])
@@ -37,8 +41,24 @@ def matches(text: Column, pattern: str, rank: int, kind: str, score: Callable[[C
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     before = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(before, F.lit(1), F.size(found)), found, lambda b, m: F.struct(b.alias("before"), m.alias("found")))
-    start = F.struct(F.lit(0).alias("at"), no_spans().alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(pairs, start, step, lambda a: a["out"])).otherwise(no_spans())
+
+    def spans_of(block_: Column, at: Column) -> Column:
+        return F.aggregate(block_, F.struct(at.alias("at"), no_spans().alias("out")), step, lambda a: a["out"])
+
+    def blocks_of(pairs_: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(pairs_) - 1) / block).cast("int")), lambda k: F.slice(pairs_, k * block + 1, F.lit(block)))
+
+    def starts_of(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + size(x)))
+        return F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    # let() names a value that is used twice, so that it is worked out once
+    long = let(pairs, lambda p: let(blocks_of(p), lambda b: F.flatten(F.zip_with(b, F.slice(starts_of(b), F.lit(1), F.size(b)), spans_of))))
+    return F.when(text.rlike(pattern), long).otherwise(no_spans())
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def clear_of(spans: Column, taken: Column) -> Column:

@@ -1,9 +1,8 @@
 """WARC archives with a Zstandard dictionary in a leading skippable frame.
 
-Every task writes archives of its own rows: it holds back the first records, at most
-``dictionary_sample`` bytes, trains the dictionary on them, writes it as the skippable
-frame that readers of .warc.zst expect, and then compresses each record as a frame of its
-own. Records whose payload an earlier record holds are written as revisits. Files carry a
+The dictionary is trained on records drawn by hash from all pages, ``dictionary_sample``
+bytes at most. Every task writes archives of its own rows: the dictionary first, as the
+skippable frame that readers of .warc.zst expect, then each record as a frame of its own. Records whose payload an earlier record holds are written as revisits. Files carry a
 name of their own attempt, and only those that the written manifest lists count, so lost
 or repeated tasks leave the result as it is.
 """
@@ -22,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, workspace
+from .common import bounded_slices, stash, workspace
 
 #: Fixed values of the formats: the skippable frame that holds a dictionary, the Zstandard frame, record types.
 DICTIONARY_FRAME, ZSTD_FRAME = b"\x5d\x2a\x4d\x18", b"\x28\xb5\x2f\xfd"
@@ -67,7 +66,7 @@ def parse_record(raw: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def train_dictionary(samples: list[bytes], size: int) -> bytes:
-    """A dictionary from whole records; where there are too few to train one, their concatenated tail serves."""
+    """A dictionary from whole records; where there are too few to train one, the raw end of them serves, and none without records."""
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -114,19 +113,48 @@ def read_archive(stream, read: int = 1 << 20) -> Iterator[tuple[dict[str, str],
         yield parse_record(b"".join(parts))
 
 
-def mark_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """(page_id, url, payload, refers_to): payloads equal to that of a page with a smaller id refer to the smallest."""
-    rows = pages.select(
+def page_rows(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    return pages.select(
         F.col(id_col).cast("long").alias("page_id"),
         F.col(url_col).cast("string").alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).cast("binary").alias("payload"),
-    ).withColumn("sha", F.sha1("payload"))
+    )
+
+
+def mark_revisits(pages: DataFrame, id_col: str, url_col: str, html_col: str, least_bytes: int) -> DataFrame:
+    """(page_id, url, payload, refers_to): payloads equal to that of a page with a smaller id refer to the smallest."""
+    rows = page_rows(pages, id_col, url_col, html_col).withColumn("sha", F.sha1("payload"))
     first = rows.where(F.length("payload") >= least_bytes).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     first = first.where("n > 1").drop("n")
     known = rows.join(first, "sha", "left")
     return known.select("page_id", "url", "payload", F.when(F.col("page_id") > F.col("first"), F.col("first")).alias("refers_to"))
 
 
+def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a folder or file; Hadoop's names of object stores are known too."""
+    for hadoop, plain in (("s3a://", "s3://"), ("s3n://", "s3://"), ("wasbs://", "abfss://")):
+        if uri.startswith(hadoop):
+            uri = plain + uri.removeprefix(hadoop)
+    return fs.FileSystem.from_uri(uri)
+
+
+def sample_records(pages: DataFrame, id_col: str, url_col: str, html_col: str, date: str, records: int, size: int) -> list[bytes]:
+    """Records drawn by hash from all pages, with a bound in number and bytes; equal rows are drawn once."""
+    rows = page_rows(pages, id_col, url_col, html_col).withColumn("h", F.xxhash64("page_id", "payload"))
+    first = rows.select("h", F.length("payload").alias("n")).where(F.col("n") <= size // 8).orderBy("h").limit(records).collect()
+    most, total = None, 0
+    for r in first:
+        total += r["n"]
+        if total > size:
+            break
+        most = r["h"]
+    if most is None:
+        return []
+    drawn = rows.where((F.col("h") <= most) & (F.length("payload") <= size // 8)).dropDuplicates(["h"]).collect()
+    drawn = sorted((r["h"], r["page_id"], r["url"], bytes(r["payload"])) for r in drawn)
+    return [record_bytes(page_id, url, payload, payload_digest(payload), None, date) for _, page_id, url, payload in drawn]
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -137,61 +165,50 @@ def write_archives(
     date: str = "1970-01-01T00:00:00Z",
     level: int = 3,
     dictionary_size: int = 64 << 10,
-    dictionary_sample: int = 4 << 20,
+    dictionary_sample: int = 8 << 20,
+    dictionary_records: int = 2000,
     archive_bytes: int = 1 << 30,
 ) -> DataFrame:
     """Write one record a row to archives in ``folder``; returns (path, records, bytes) of each, lazily: write it once.
 
     Null payloads count as empty. Of equal payloads of ``least_bytes`` or more the one with
     the smallest id is a response and those with larger ids are revisits; repeated rows of
-    that id are responses too. A null id is always a response.
+    that id are responses too. A null id is always a response. The dictionary is trained on
+    at most ``dictionary_records`` records of ``dictionary_sample`` bytes together, those
+    with the smallest hashes of id and payload; it changes sizes of archives only.
     """
 
+    rows = mark_revisits(pages, id_col, url_col, html_col, least_bytes)
+    dictionary = train_dictionary(sample_records(pages, id_col, url_col, html_col, date, dictionary_records, dictionary_sample), dictionary_size)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = fs.FileSystem.from_uri(folder)
+        store, base = open_folder(folder)
         store.create_dir(base, recursive=True)
-        held: list[bytes] = []
-        size = count = 0
-        out = writer = None
+        count, out, writer = 0, None, None
         done: list[tuple[str, int, int]] = []
 
-        def start() -> None:
-            nonlocal out, writer, size, held
-            name = f"pages-{uuid.uuid4().hex}.warc.zst"
-            done.append((f"{folder}/{name}", 0, 0))
-            out = store.open_output_stream(f"{base}/{name}", compression=None)
-            writer = ArchiveWriter(out, train_dictionary(held, dictionary_size), level)
-            for record in held:
-                writer.add(record)
-            held, size = [], 0
-
         def finish() -> None:
             nonlocal out, writer, count
             out.close()
             done[-1] = (done[-1][0], count, writer.bytes)
             out, writer, count = None, None, 0
 
-        for batch in batches:
-            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                record = record_bytes(page_id, url, payload, payload_digest(payload), refers_to, date)
+        for part in (p for b in batches for p in bounded_slices(b, 2)):
+            for page_id, url, payload, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if writer is None:
+                    name = f"pages-{uuid.uuid4().hex}.warc.zst"
+                    done.append((f"{folder}/{name}", 0, 0))
+                    out = store.open_output_stream(f"{base}/{name}", compression=None)
+                    writer = ArchiveWriter(out, dictionary, level)
+                writer.add(record_bytes(page_id, url, payload, payload_digest(payload), refers_to, date))
                 count += 1
-                if writer is not None:
-                    writer.add(record)
-                    if writer.bytes >= archive_bytes:
-                        finish()
-                    continue
-                held.append(record)
-                size += len(record)
-                if size >= dictionary_sample:
-                    start()
-        if held:
-            start()
+                if writer.bytes >= archive_bytes:
+                    finish()
         if writer is not None:
             finish()
         cols = list(zip(*done, strict=True)) or [[], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["path", "records", "bytes"])
 
-    rows = mark_revisits(pages, id_col, url_col, html_col, least_bytes)
     return rows.mapInArrow(run, "path string, records long, bytes long")
 
 
@@ -209,7 +226,7 @@ def read_archives(spark: SparkSession, manifest: DataFrame, batch_rows: int = 10
         size = 0
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                store, at = fs.FileSystem.from_uri(path)
+                store, at = open_folder(path)
                 with store.open_input_stream(at, compression=None) as stream:
                     for f, payload in read_archive(stream):
                         page, first = f.get("x-page-id"), f.get("warc-refers-to")

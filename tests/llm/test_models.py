@@ -53,6 +53,25 @@ def test_forward_backward_matches_enumeration():
     assert np.allclose(sums[0], want.sum(axis=0), atol=1e-4)
 
 
+def test_predictions_match_enumerated_paths():
+    """Labels and scores of short texts against sums over all label paths, each path scored word by word."""
+    import itertools
+
+    rng = random.Random(6)
+    words = [[sentence(rng, lang, 1) for _ in range(rng.randrange(1, 7))] for lang in ("aa", "bb") * 20]
+    crf = langid.Crf(["aa", "bb", "cc"])
+    crf.fit([[sentence(rng, lang, 1) for _ in range(30)] for lang in ("aa", "bb")] * 8 + [["zzz"] * 20], [0, 1] * 8 + [2], rounds=15)
+    got = crf.shares(words)
+    for text, share in zip(words, got, strict=True):
+        e = crf.emissions(wordforms.Forms(text, crf.buckets))
+        want, total = np.zeros(3), 0.0
+        for path in itertools.product(range(3), repeat=len(text)):
+            w = np.exp(crf.p["start"][path[0]] + sum(e[t, y] for t, y in enumerate(path)) + sum(crf.p["move"][a, b] for a, b in zip(path, path[1:], strict=False)))
+            want += w * np.bincount(path, minlength=3)
+            total += w
+        assert np.allclose(share, want / total / len(text), atol=1e-3)
+
+
 def test_gru_gradients_match_differences():
     rng = np.random.default_rng(2)
     net = toxicity.BiGru(["a", "cc"])

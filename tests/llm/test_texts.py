@@ -77,20 +77,57 @@ def test_markov_models_add_random_strings(spark):
     assert found == {1: [("markov", strings[299])], 2: [], 3: []}
 
 
-def test_markov_models_learn_from_rare_secrets(spark):
-    rng = random.Random(5)
-    draw = lambda: "".join(rng.choices(secret_scan.ALPHABET[:62], k=24))
-    words = ["customer_account_identifier", "configurationParameterName", "responseHandlerFactory", "international", "temperature_measurement"]
-    texts = [(k, " ".join(rng.choices(words, k=8))) for k in range(3000)]
-    first = spark.range(3000).orderBy(F.xxhash64("id")).limit(100).collect()
-    outside = sorted(set(range(3000)) - {r.id for r in first})
-    for k in outside[:40]:
-        texts[k] = (k, f"token = {draw()}")
-    lone = draw()
-    texts[outside[50]] = (outside[50], f"see {lone} here")
-    found = {r.doc_id: [(s.kind, s.text) for s in r.spans] for r in secret_scan.find_secrets(docs_of(spark, texts), sample_docs=100).collect()}
-    assert found[outside[50]] == [("markov", lone)]
-    assert not any(found[k] for k in outside[51:])
+def planted_secrets(seed, n):
+    """Texts of prose and identifiers, the random strings planted without a keyword, and how they read."""
+    rng = random.Random(seed)
+    parts = ["user", "account", "handler", "config", "get", "value", "response", "stream", "index", "buffer", "client", "manager", "event", "status", "token", "import", "export"]
+    plain = lambda: rng.choice(["_".join, "".join, "-".join])(rng.choices(parts, k=rng.randrange(2, 5))) + rng.choice(["", "2", "64", "_v3", "V2"])
+    camel = lambda: "".join(w.title() for w in rng.choices(parts, k=rng.randrange(2, 5)))
+    forms = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", "0123456789abcdef"]
+    texts = []
+    for k in range(n):
+        words = [rng.choice([plain, camel])() for _ in range(12)] + ["2024-05-17T10:20", "call 5551234567", "page 120045", "12,500.00"]
+        secret = "".join(rng.choices(forms[k % 4], k=rng.randrange(12, 16 if k % 4 == 3 else 33))) if k % 2 == 0 else None
+        words.insert(rng.randrange(len(words)), secret or "the")
+        texts.append((k, " ".join(words), secret))
+    return texts
+
+
+def test_markov_models_find_planted_secrets(spark):
+    texts = planted_secrets(5, 1200)
+    df = docs_of(spark, [t[:2] for t in texts])
+    found = {r.doc_id: [s.text for s in r.spans if s.kind == "markov"] for r in secret_scan.find_secrets(df).collect()}
+    clear = [(k, s) for k, _, s in texts if s and not re.fullmatch("[0-9a-f]{16,}", s)]
+    caught = sum(s in found[k] for k, s in clear)
+    wrong = sum(len([x for x in found[k] if x != s]) for k, _, s in texts)
+    assert caught >= 0.9 * len(clear) and wrong <= 0.02 * 1200 * 12
+
+
+def test_added_secrets_match_python(spark):
+    rng = random.Random(3)
+    samples = [("".join(rng.choices(secret_scan.ALPHABET[:62], k=20)), 1) for _ in range(200)] + [(w, 0) for w in ["customerAccount", "response_handler", "Error404page", "x86_64-linux-gnu"] * 40]
+    table = secret_scan.train(spark.createDataFrame(samples, "value string, label int"))
+    n = len(secret_scan.ALPHABET) + 1
+
+    def ratio(value):
+        at, total = 0, 0.0
+        for c in value:
+            to = secret_scan.ALPHABET.find(c) + 1
+            total += round(table[at * n + to], 3)
+            at = to
+        return total
+
+    texts = [(0, None), (1, ""), *((k + 2, t) for k, t in enumerate(hostile(11))), *((k + 1000, t) for k, t, _ in planted_secrets(8, 100))]
+    texts.append((2000, " ".join("".join(rng.choices(secret_scan.ALPHABET[:62], k=16)) for _ in range(3000))))
+    got = {r.doc_id: r for r in secret_scan.find_secrets(docs_of(spark, texts), samples=spark.createDataFrame(samples, "value string, label int")).collect()}
+    for k, t in texts:
+        base = [(m.start(), m.end()) for _, p, ok in SECRETS for m in re.finditer(p, t or "") if ok(m)]
+        want = set()
+        for m in re.finditer(r"(?=[A-Za-z+/_=-][a-z+/_=-]*[A-Z0-9]|[0-9])[A-Za-z0-9+/_=-]{12,}", t or ""):
+            if all(m.end() <= a or b <= m.start() for a, b in base) and ratio(m[0]) >= 12:
+                want.add((m.start(), m.end()))
+        assert {(s.start, s.end) for s in got[k].spans if s.kind == "markov"} == want, t
+    assert len([s for s in got[2000].spans if s.kind == "markov"]) > 1000
 
 
 def test_pii_checks_and_redaction(spark):
@@ -102,6 +139,52 @@ def test_pii_checks_and_redaction(spark):
     assert clean[6] == "mail [EMAIL], é [PHONE]!" and clean[5] is None and clean[4] == texts[3][1]
 
 
+def reference_added(text):
+    """Further personal data by plain Python: account numbers, short cards and local phone numbers."""
+    near = lambda m, words: re.search(rf"(?i)\b(?:{words})\b", text[max(0, m.start() - 40) : m.start()])
+    base = [(m.start(), m.end()) for _, p, ok in PERSONAL for m in re.finditer(p, text) if ok(m)]
+    clear = lambda m, taken: all(m.end() <= a or b <= m.start() for a, b in taken)
+
+    def mod97(s):
+        s = s.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+
+    ibans = [m for m in re.finditer(r"(?a:\b)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?a:\b)", text) if clear(m, base) and mod97(m[0])]
+    cards = [m for m in re.finditer(PERSONAL[2][1], text) if 12 <= len(digits(m[0])) <= 13 and clear(m, base) and luhn(digits(m[0])) and near(m, "card|credit|debit|visa|karte|carte|tarjeta")]
+    taken = base + [(m.start(), m.end()) for m in ibans + cards]
+    phones = [m for m in re.finditer(r"(?:\([0-9]{3}\)\x20?|(?a:\b)[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?a:\b)", text) if clear(m, taken) and near(m, "phone|tel|call|mobile|telefon|téléphone|teléfono")]
+    return {(k, m.start(), m.end()) for k, ms in (("iban", ibans), ("card", cards), ("phone", phones)) for m in ms}
+
+
+def test_added_personal_data_matches_python(spark):
+    rng = random.Random(21)
+
+    def iban(ok):
+        body = "".join(rng.choices("0123456789", k=18))
+        check = 98 - int(body + "131400") % 97
+        return f"DE{(check if ok else check % 97 + 1):02d}" + body
+
+    def card(ok):
+        body = str(rng.randrange(10**11, 10**12))
+        return next(body + str(c) for c in range(10) if luhn(body + str(c)) == ok)
+
+    makers = [lambda: "account " + iban(True), lambda: "account " + iban(False), lambda: "card no " + card(True), lambda: "card no " + card(False), lambda: "size " + card(True),
+              lambda: "call (555) 123-4567", lambda: "part 555-123-4567", lambda: "tel 555.123.4567 x", lambda: "phone +1 (555) 123-4567", lambda: "a.b@c.org", lambda: "word " * 9, lambda: iban(True) + "x"]
+    texts = [(k, ", ".join(rng.choice(makers)() for _ in range(rng.randrange(1, 9)))) for k in range(300)] + [(300 + k, t) for k, t in enumerate(hostile(3))]
+    got = {r.doc_id: r for r in pii.find_pii(docs_of(spark, texts)).collect()}
+    for k, t in texts:
+        base = {(s.kind, s.start, s.end) for s in got[k].base}
+        assert {(s.kind, s.start, s.end) for s in got[k].spans} - base == reference_added(t), t
+    assert sum(len(r.spans) - len(r.base) for r in got.values()) > 200
+    assert pii.find_pii(docs_of(spark, [])).count() == 0 == secret_scan.find_secrets(docs_of(spark, [])).count() and pii.redact(docs_of(spark, [])).count() == 0
+
+
+def test_many_matches_in_one_text(spark):
+    text = " ".join(f"u{k}@mail.example.org" for k in range(5000))
+    row = secret_scan.digest(pii.find_pii(docs_of(spark, [(1, text)])), pii.KINDS).first()
+    assert row.n_email == 5000 and row.base_sha256 == hashlib.sha256(reference_spans(text, PERSONAL).encode()).hexdigest()
+
+
 def test_decontamination_matches_brute_force(spark):
     rng = random.Random(4)
     word = lambda: f"w{rng.randrange(500)}"
@@ -140,7 +223,7 @@ def test_decontamination_matches_brute_force(spark):
 def test_archives_round_trip(spark):
     pages = [(3, "http://a", "same"), (1, "http://b c", "same"), (2, None, "other é" * 500), (4, "u", None), (5, "u", ""), (None, "u", "same"), (1, "http://b c", "same"), (9, "x", "\r\n\r\n" * 9)]
     df = spark.createDataFrame([(*p, 1) for p in pages], "page_id long, url string, html string, sha long")
-    rows = warc.archive_round_trip(df, archive_bytes=2000, dictionary_sample=1000).collect()
+    rows = warc.archive_round_trip(df, archive_bytes=2000, dictionary_sample=9000).collect()
     got = sorted((r.page_id or -1, r.record_type, r.refers_to, r.payload_bytes, r.payload_digest) for r in rows)
     body = lambda h: (h or "").encode()
     firsts = {}
@@ -155,6 +238,9 @@ def test_archives_round_trip(spark):
     assert got == sorted(want, key=lambda r: (r[0], r[1]))
     assert {bytes(r.payload) for r in rows if r.record_type == "response"} == {body(h) for _, _, h in pages}
     assert warc.archive_round_trip(df.limit(0)).count() == 0
+    assert warc.train_dictionary([], 100) == b"" and warc.train_dictionary([b"ab", b"cd"], 3) == b"bcd"  # too few to train one
+    with_odd_names = df.withColumnRenamed("sha", "refers_to").withColumn("payload", F.lit(1)).withColumn("h", F.lit(1))
+    assert warc.archive_round_trip(with_odd_names).count() == len(pages)
     everything = warc.archive_round_trip(df, least_bytes=100).collect()
     assert all(r.record_type == "response" for r in everything)
 
