@@ -340,26 +340,102 @@ def test_base_scores_match_python(spark, block):
     assert suffix_tree.scores(docs_of(spark, [])).count() == 0
 
 
-def test_tree_learns_contexts_and_sums_to_one(spark):
-    import numpy as np
-
+def reference_tree(texts, depth=3, least=2, hot=10**9):
+    """The suffix tree by dictionaries: log10 probabilities of texts (id, words)."""
+    c, n, _ = reference_scores(texts)
+    docs = [((t or "").encode().lower().split() + [None], i is not None and zlib.crc32(str(i).encode()) % 5 != 1) for i, t in texts]
+    follow = collections.defaultdict(collections.Counter)
+    asked = collections.defaultdict(set)
+    for words, learned in docs:
+        for t in range(len(words)):
+            for k in range(1, min(depth, t) + 1):
+                asked[tuple(words[t - k : t])].add(words[t])
+                follow[tuple(words[t - k : t])][words[t]] += learned
+    runs = collections.Counter()
+    for words, learned in docs:
+        for t in range(len(words)):
+            for k in range(1, min(depth, t + 1) + 1):
+                runs[tuple(words[t - k + 1 : t + 1])] += learned
+    model = {}
+
+    def is_open(s):
+        return s in model and model[s][3]
+
+    def predict(s, x):
+        if not s:
+            return (c[x] + 0.5) / (n + 0.5 * (len(c) + 1))
+        p = predict(s[1:], x)
+        if s in model and model[s][0]:
+            kept, left, whole, _ = model[s]
+            count = follow[s][x] if follow[s][x] >= least else 0
+            p = (count + left * p) / whole
+        return p
+
+    for k in range(1, depth + 1):
+        for s in [s for s in asked if len(s) == k and runs[s] >= least and (k == 1 or is_open(s[1:]))]:
+            whole = sum(follow[s].values())
+            seen = {x: m for x, m in follow[s].items() if m >= least}
+            rest, events = whole - sum(seen.values()), len(seen)
+            prior = {x: 2 ** (-round(-64 * math.log2(predict(s[1:], x))) / 64) for x in seen}
+            gain = sum(m * math.log(m / whole / prior[x]) for x, m in seen.items())
+            if rest:
+                gain += rest * math.log(rest / whole / max(1 - sum(prior.values()), 1e-12))
+            fixed = events == 1 and rest == 0
+            if runs[s] >= hot:  # split contexts are always kept
+                model[s] = (True, max(2, rest + events), whole + events, True)
+            else:
+                model[s] = (events > 0 and gain > 0.5 * events * math.log(max(whole, 2)), 1 if fixed else max(2, rest + events), whole + events, not fixed)
+    return [sum(math.log10(predict_longest(predict, model, words, t, depth)) for t in range(len(words))) for words, _ in docs], model
+
+
+def predict_longest(predict, model, words, t, depth):
+    """The deepest context that its suffixes lead to."""
+    k = 0
+    while k < min(depth, t) and tuple(words[t - k - 1 : t]) in model:
+        k += 1
+    return predict(tuple(words[t - k : t]), words[t])
+
+
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 700, "bucket_words": 40}, {"block_bytes": 900, "bucket_words": 30, "hot_count": 60}])
+def test_tree_matches_dictionaries(spark, options):
     rng = random.Random(9)
-    texts = []
-    for k in range(400):
+    texts = [(500, None), (501, ""), (None, "a b c a b c"), (502, "a " * 3000)]
+    for k in range(150):
         words, w = [], "a"
-        for _ in range(30):
-            w = {"a": "b", "b": "c", "c": "a"}[w] if rng.random() < 0.9 else rng.choice("abc")
+        for _ in range(rng.randrange(1, 40)):
+            w = {"a": "b", "b": "c", "c": "a"}.get(w, "a") if rng.random() < 0.8 else rng.choice(["a", "b", "c", f"x{rng.randrange(60)}"])
             words.append(w)
         texts.append((k, " ".join(words)))
-    rows = suffix_tree.scores(docs_of(spark, texts)).collect()
-    held = [r for r in rows if r.held_out]
-    assert sum(r.score for r in held) > 0.6 * sum(r.base_score for r in held)
-    h = np.array([1, 2, 3], dtype=np.uint64)
-    tree = suffix_tree.Tree(h, np.array([50, 30, 20]), 100, 3)
-    tree.add(np.array([0 * 3 + 1, 1 * 3 + 2]), np.array([45, 28]))
-    tree.prune()
-    root = np.append((np.array([50, 30, 20]) + 0.5) / 102, 0.5 / 102)
-    assert tree.kept[0][:2].all()
-    for before in range(3):
-        p = [10 ** tree.log10(np.array([before, w]), np.array([1, 2, 3, 9], dtype=np.uint64), root)[1] for w in range(4)]
-        assert sum(p) == pytest.approx(1)
+    texts += [(600, texts[10][1]), (600, texts[10][1]), (601, " ".join(f"u{k}" for k in range(30))), (602, " ".join(f"u{k}" for k in range(30)))]
+    got = collections.defaultdict(list)
+    for r in suffix_tree.scores(docs_of(spark, texts), **options).collect():
+        got[r.doc_id].append(r)
+    want, model = reference_tree(texts, hot=options.get("hot_count", 10**9))
+    kept = {k: sum(len(s) == k and m[0] for s, m in model.items()) for k in (1, 2, 3)}
+    assert all(kept.values()) and sum(map(len, got.values())) == len(texts)
+    for (i, _), score in zip(texts, want, strict=True):
+        assert got[i][0].score == pytest.approx(score, abs=1e-6), i
+
+
+def test_repeated_texts_score_apart(spark):
+    rng = random.Random(10)
+    texts = [(k, " ".join(f"w{int(rng.paretovariate(0.5)) % 400}" for _ in range(60))) for k in range(300)]
+    texts += [(1000 + k, texts[k][1]) for k in range(40)]
+    rows = {r.doc_id: r for r in suffix_tree.scores(docs_of(spark, texts)).collect()}
+    twice = sorted(rows[1000 + k].score / rows[1000 + k].n_tokens for k in range(40) if not rows[k].held_out and not rows[1000 + k].held_out)
+    once = sorted(rows[k].score / rows[k].n_tokens for k in range(40, 300))
+    assert twice[0] > once[-10]
+
+
+def test_tested_contexts_sum_to_one():
+    import numpy as np
+
+    context = np.array([5, 5, 5, 9, 9, 5], dtype=np.uint64)
+    word, counts = np.array([1, 2, 3, 1, 1, 1], dtype=np.uint64), np.array([40, 8, 1, 2, 1, 5])
+    prior = np.rint(-64 * np.log2(np.array([0.3, 0.2, 0.1, 0.3, 0.3, 0.3]))).astype(np.int64)
+    codes, owner, c, rest, events, whole, kept = suffix_tree.tested(context, word, counts, prior, 2)
+    assert codes.tolist() == [5, 9] and owner.tolist() == [0, 0, 0, 1, 1, 0] and c.tolist() == [45, 8, 0, 3, 3, 45]
+    assert rest.tolist() == [1, 0] and events.tolist() == [2, 1] and whole.tolist() == [54, 3] and kept.tolist() == [True, True]
+    left = rest + events
+    p = {1: 0.3, 2: 0.2, 3: 0.1, 4: 0.4}
+    assert sum(({1: 45, 2: 8}.get(x, 0) + left[0] * q) / (whole + events)[0] for x, q in p.items()) == pytest.approx(1)
