@@ -57,12 +57,13 @@ def side_rule(own: Column, opposite: Column) -> Column:
 
 
 def rating_band(ratings: Column) -> Column:
-    """The band of the mean of the known ratings, in whole numbers."""
+    """The band of the mean of the known ratings, in whole numbers: below 1600, steps of 200, 2600 and over."""
     known = F.filter(ratings, lambda r: r.isNotNull() & (r > 0))
     total = F.aggregate(known, F.lit(0).cast("long"), lambda a, r: a + r.cast("long"))
     mean = F.floor(total / F.size(known))
-    low = (F.floor(mean / 200) * 200).cast("string")
-    return F.when(F.size(known) == 0, "unknown").when(mean < 1000, "under 1000").when(mean >= 2600, "2600 and over").otherwise(low)
+    low = (F.floor(mean / 200) * 200).cast("int")
+    step = F.concat(low.cast("string"), F.lit("-"), (low + 199).cast("string"))
+    return F.when(F.size(known) == 0, "Unknown").when(mean < 1600, "<1600").when(mean >= 2600, "2600+").otherwise(step)
 
 
 def predicates(outcome: Column, evaluation: Column) -> Mapping[str, Column]:

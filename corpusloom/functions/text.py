@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Letters with marks and their plain letters, and letters that become two.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinoooooouuuuyy"
+#: Plain letters with the marked letters that fold to them, and letters that become two.
+FOLDED = {
+    "a": "àáâãäåāăą", "c": "çćčċĉ", "d": "ðďđ", "e": "èéêëēĕėęě", "g": "ĝğġģ", "h": "ĥħ", "i": "ìíîïīĭįı", "j": "ĵ", "k": "ķ", "l": "łľĺļŀ",
+    "n": "ñńňņŋ", "o": "òóôõöøōŏő", "r": "ŕřŗ", "s": "śšşșŝ", "t": "ťţțŧ", "u": "ùúûüūŭůűų", "w": "ŵ", "y": "ýÿŷ", "z": "źžż",
+}
 DOUBLED = {"ß": "ss", "æ": "ae", "œ": "oe"}
+MARKED, PLAIN = "".join(FOLDED.values()), "".join(p * len(m) for p, m in FOLDED.items())
 
 
 def fold(text: Column) -> Column:
@@ -43,20 +46,50 @@ def strip_nested(text: Column, opening: str, closing: str) -> Column:
 
 
 #: Fixed values of movetext: numeric glyphs, move numbers, results.
-GLYPH, NUMBER, RESULTS = r"^\$[0-9]+$", r"^[0-9.]+$", ("1-0", "0-1", "1/2-1/2", "*")
+GLYPH, NUMBER, RESULTS = r"^\$", r"^[0-9.]+$", ("1-0", "0-1", "1/2-1/2", "*")
 
 
-def strip_markup(text: Column) -> Column:
-    """Drop comments in braces, to the line's end, and escaped lines, and variations."""
-    out = F.regexp_replace(text, r"\{[^}]*\}", " ")
-    out = F.regexp_replace(out, r"(?m)^%.*$", " ")
-    out = F.regexp_replace(out, r";[^\n]*", " ")
-    return strip_nested(out, "(", ")")
+def markup(text: Column, gap: str = " ") -> Column:
+    """A struct of a movetext without markup (out) and how many comments, variations and line comments went.
+
+    One fold over the pieces between markup characters, with the state that decides what a
+    character means: in a line comment only the line's end counts, in braces only the
+    closing one, in a variation parentheses and braces. What is not closed goes to the end.
+    A percent sign starts a line comment at a line's start. ``gap`` takes the place of what
+    goes. Texts without markup cost one search.
+    """
+    pieces = F.filter(F.regexp_extract_all(text, F.lit(r"\A%|\n%?|[{}();]|[^{}();\n]+"), F.lit(0)), lambda p: p != "")
+
+    def step(a: Column, p: Column) -> Column:
+        line, brace, inside = a["line"], a["brace"], a["depth"] > 0
+        plain = ~line & ~brace & ~inside
+        percent = p.isin("%", "\n%")
+        opens_line = plain & ((p == ";") | percent) | line & (p == "\n%")
+        opens_brace = ~line & ~brace & (p == "{")
+        goes = (p == "{") | (p == "(") | (p == ";") | percent
+        return F.struct(
+            F.when(line, (p == "\n%") | ~F.startswith(p, F.lit("\n"))).otherwise(opens_line).alias("line"),
+            F.when(brace, p != "}").otherwise(opens_brace).alias("brace"),
+            F.when(line | brace, a["depth"]).when(p == "(", a["depth"] + 1).when(inside & (p == ")"), a["depth"] - 1).otherwise(a["depth"]).alias("depth"),
+            F.when(plain, F.concat(a["out"], F.when(p == "\n%", F.lit("\n" + gap)).when(goes, F.lit(gap)).otherwise(p))).otherwise(a["out"]).alias("out"),
+            (a["comments"] + (opens_brace & plain).cast("int")).alias("comments"),
+            (a["variations"] + (plain & (p == "(")).cast("int")).alias("variations"),
+            (a["lines"] + opens_line.cast("int")).alias("lines"),
+        )
+
+    def state(out: Column) -> Column:
+        return F.struct(F.lit(False).alias("line"), F.lit(False).alias("brace"), F.lit(0).alias("depth"), out.alias("out"), F.lit(0).alias("comments"), F.lit(0).alias("variations"), F.lit(0).alias("lines"))
+
+    return F.when(text.rlike(r"[{(;%]"), F.aggregate(pieces, state(F.lit("")), step)).otherwise(state(text))
+
+
+def strip_markup(text: Column, gap: str = " ") -> Column:
+    return markup(text, gap)["out"]
 
 
 def move_tokens(text: Column) -> Column:
     """Tokens that are moves: no glyphs, move numbers or results."""
-    return F.filter(F.split(strip_markup(text), r"\s+"), lambda t: (t != "") & ~t.rlike(GLYPH) & ~t.rlike(NUMBER) & ~t.isin(*RESULTS))
+    return F.filter(F.split(strip_markup(text), r"[ \t\r\n]+"), lambda t: (t != "") & ~t.rlike(GLYPH) & ~t.rlike(NUMBER) & ~t.isin(*RESULTS))
 
 
 def normalize_moves(text: Column) -> Column:
@@ -78,7 +111,27 @@ def clean(text: Column) -> Column:
 def with_result(text: Column) -> Column:
     """Movetext that ends without a result gets the open one."""
     trimmed = F.rtrim(text)
-    return F.when(trimmed.rlike(r"(1-0|0-1|1/2-1/2|\*)$"), trimmed).otherwise(F.concat(trimmed, F.lit(" *")))
+    return F.when(trimmed.rlike(r"(^|\s)(1-0|0-1|1/2-1/2|\*)$"), trimmed).otherwise(F.ltrim(F.concat(trimmed, F.lit(" *"))))
+
+
+def rewritten(text: Column) -> Column:
+    """A cleaned movetext (out) without markup, its white space single, its result there, and what was done to it."""
+    marked = markup(clean(text))
+    bare = F.trim(F.regexp_replace(marked["out"], r"\s+", " "))
+    full = with_result(bare)
+    return F.struct(full.alias("out"), marked["comments"].alias("comments"), marked["variations"].alias("variations"), marked["lines"].alias("lines"), (full != bare).cast("int").alias("results"))
+
+
+def trimmed_token(token: Column, kept: str = "") -> Column:
+    """A token without what is no ASCII letter, digit or kept character at its ends."""
+    some = f"A-Za-z0-9{kept}"
+    return F.regexp_replace(token, f"^[^{some}]+|[^{some}]+$", "")
+
+
+def inserted(text: Column, notes: Column) -> Column:
+    """A text with notes (struct of offset and note) put in at their offsets, from the right, those of one offset in their order."""
+    by_place = F.reverse(F.array_sort(notes))
+    return F.aggregate(by_place, text, lambda t, n: F.concat(F.substring(t, F.lit(1), n["offset"]), n["note"], F.substring(t, n["offset"] + 1, F.length(t))))
 
 
 def inspect(text: Column) -> dict[str, Column]:

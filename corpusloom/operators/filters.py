@@ -48,10 +48,9 @@ def mark_oversized(df: DataFrame, status: str, size: str, cap: int, new: str) ->
 
 
 def route_by_size(df: DataFrame, size: str, cap: int, small: Column, large: Column) -> DataFrame:
-    """Score small and large rows by different columns and put them together again."""
-    few = df.where(F.col(size) <= cap).withColumns({"scorer": F.lit("small"), "scored": small})
-    many = df.where(F.col(size) > cap).withColumns({"scorer": F.lit("large"), "scored": large})
-    return few.unionByName(many)
+    """Score small and large rows by different columns, in one pass; rows without a size are left out."""
+    fits = F.col(size) <= cap
+    return df.where(F.col(size).isNotNull()).withColumns({"scorer": F.when(fits, "small").otherwise("large"), "scored": F.when(fits, small).otherwise(large)})
 
 
 def matched_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:

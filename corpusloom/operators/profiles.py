@@ -32,8 +32,10 @@ def rms_distance(shared: DataFrame, group: str, item: str) -> DataFrame:
 
 
 def p99(df: DataFrame, value: str) -> DataFrame:
-    """The value at the sorted place floor(0.99 n), the first at least."""
-    return df.agg(F.count("*").alias("n"), F.expr(f"percentile_disc(0.99) within group (order by {value})").alias("p99"))
+    """The value at the sorted place floor(0.99 n), the first at least; the number of values is counted first."""
+    n = df.count()
+    share = (max(1, 99 * n // 100) - 0.5) / n if n else 0.5
+    return df.agg(F.count("*").alias("n"), F.expr(f"percentile_disc({share:.17f}D) within group (order by {value})").alias("p99"))
 
 
 def crosstab(df: DataFrame, keys: Sequence[str], row: str, column: str, values: Sequence[str]) -> DataFrame:

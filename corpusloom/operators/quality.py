@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import strip_markup
+
 #: The tags that every record needs, and the formats of dates and results.
 REQUIRED = ("Event", "Site", "Date", "Round", "White", "Black", "Result")
 DATE = r"^[0-9?]{4}\.[0-9?]{2}\.[0-9?]{2}$"
@@ -26,13 +28,13 @@ def bad_result(result: Column) -> Column:
 
 
 def final_token(text: Column) -> Column:
-    """The last token of a movetext."""
-    return F.regexp_extract(F.rtrim(text), r"(\S+)$", 1)
+    """The last token of a movetext without its markup."""
+    return F.regexp_extract(F.rtrim(F.regexp_replace(strip_markup(text, ""), r"\s+", " ")), r"(\S+)$", 1)
 
 
 def unbalanced(text: Column, opening: str, closing: str) -> Column:
-    """How many more opening than closing brackets, comments to the line's end left out."""
-    bare = F.regexp_replace(text, r";[^\n]*", "")
+    """How many more opening than closing brackets, line comments and escaped lines left out."""
+    bare = F.regexp_replace(text, r";[^\n]*|(?<![^\n])%[^\n]*", "")
     return F.regexp_count(bare, F.lit(f"\\{opening}")) - F.regexp_count(bare, F.lit(f"\\{closing}"))
 
 

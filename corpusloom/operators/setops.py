@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions.text import normalize_moves
+
 
 def first_wins(df: DataFrame, key: Column, order: Sequence[str]) -> DataFrame:
     """The first row of each key in a stated order; only keys and order go through the window's sort."""
@@ -25,8 +27,8 @@ def content_key(text: str) -> Column:
 
 
 def normalised_key(text: str) -> Column:
-    """Identity of a text up to case and white space."""
-    return F.md5(F.trim(F.regexp_replace(F.lower(F.col(text)), r"\s+", " ")))
+    """Identity of a movetext by its moves alone: comments, variations, numbers, glyphs and results left out, case kept."""
+    return F.md5(normalize_moves(F.col(text)))
 
 
 def union_distinct(a: DataFrame, b: DataFrame, text: str, order: Sequence[str]) -> DataFrame:

@@ -15,6 +15,7 @@ from corpusloom.operators import setops as H
 
 from .bindings import ENTITY, EVALS, GROUP_SQL, POSITIONS, RECORDS, STEPS, VIEWS, evaluations, positions, records, source_group, steps, table
 from .catalog import query
+from .text_queries import MOVES_SQL, moves_sql, movetext
 
 YEAR_SQL = "case when regexp_matches(date, '^[0-9]{4}') then substr(date, 1, 4) else 'unknown' end"
 
@@ -187,10 +188,10 @@ def fallback_join(spark: SparkSession, d: str) -> DataFrame:
     return J.first_candidate(c, "c_custkey", names, book, "name", "v").select("c_custkey", "v")
 
 
-@query("overlay_annotations", "select o_orderkey, notes from orders left join (select l_orderkey, list_distinct(list(l_returnflag order by l_linenumber, l_returnflag)) x, array_to_string(list_sort(list_distinct(list(l_returnflag))), ' ') notes from lineitem group by 1) on l_orderkey = o_orderkey where o_orderkey < 5000")
+@query("overlay_annotations", "select o_orderkey, notes from orders left join (select l_orderkey, list_distinct(list(l_returnflag order by l_linenumber, l_returnflag)) x, array_to_string(list_sort(list_distinct(list(l_returnflag))), ' ') notes from lineitem group by 1) on l_orderkey = o_orderkey")
 def overlay_annotations(spark: SparkSession, d: str) -> DataFrame:
     notes = table(spark, d, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey")
-    o = table(spark, d, "orders").select("o_orderkey").where("o_orderkey < 5000")
+    o = table(spark, d, "orders").select("o_orderkey")
     stacked = J.overlay(o, notes, ["o_orderkey"], "l_linenumber", "l_returnflag")
     return stacked.select("o_orderkey", F.array_join(F.array_sort("notes"), " ").alias("notes"))
 
@@ -202,53 +203,53 @@ def deepest_match(spark: SparkSession, d: str) -> DataFrame:
     return J.deepest_match(moves, ["l_orderkey"], "l_linenumber", "k", book, "p_partkey", 5)
 
 
-_FIRST = "arg_min(doc_id, doc_id)"
-_A = "(select doc_id, text, md5(regexp_replace(text, '\\s+$', '')) k from documents where doc_id % 2 = 0)"
-_B = "(select doc_id, text, md5(regexp_replace(text, '\\s+$', '')) k from documents where doc_id % 3 = 0)"
+_KEY = "md5(regexp_replace(text, '\\s+$', ''))"
+_A, _MARKED = f"(select doc_id, {_KEY} k from documents)", f"(select {_KEY} k from documents where doc_id in (select doc_id from labels))"
 
 
-def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two overlapping collections: the operands of set operations."""
+def _operands(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All documents, and those of them that have labels."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.where("doc_id % 2 = 0"), docs.where("doc_id % 3 = 0")
+    return docs, docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
 
 
-@query("set_union", f"select k, arg_min(doc_id, (side, doc_id)) doc_id from (select 0 side, * from {_A} union all select 1, * from {_B}) group by k")
+@query("set_union", f"select k, arg_min(side, (side, id)) side, arg_min(id, (side, id)) id from (select 0 side, doc_id id, {_KEY} k from documents union all select 1, item_id, {_KEY} from benchmark) group by k")
 def set_union(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _halves(spark, d)
-    return H.union_distinct(a, b, "text", ["doc_id"]).select(H.content_key("text").alias("k"), "doc_id")
+    a = table(spark, d, "documents").select(F.lit(0).alias("side"), F.col("doc_id").alias("id"), "text")
+    b = table(spark, d, "benchmark").select(F.lit(1).alias("side"), F.col("item_id").alias("id"), "text")
+    return H.union_distinct(a, b, "text", ["id"]).select(H.content_key("text").alias("k"), "side", "id")
 
 
-@query("set_intersect", f"select k, min(doc_id) doc_id from {_A} where k in (select k from {_B}) group by k")
+@query("set_intersect", f"select k, min(doc_id) doc_id from {_A} where k in (select k from {_MARKED}) group by k")
 def set_intersect(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _halves(spark, d)
+    a, b = _operands(spark, d)
     return H.intersect_distinct(a, b, "text", ["doc_id"]).select(H.content_key("text").alias("k"), "doc_id")
 
 
-@query("set_diff", f"select k, min(doc_id) doc_id from {_A} where k not in (select k from {_B}) group by k")
+@query("set_diff", f"select k, min(doc_id) doc_id from {_A} where k not in (select k from {_MARKED}) group by k")
 def set_diff(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _halves(spark, d)
+    a, b = _operands(spark, d)
     return H.difference_distinct(a, b, "text", ["doc_id"]).select(H.content_key("text").alias("k"), "doc_id")
 
 
-_NORM = "md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))"
-
-
-@query("dedup_normalized", f"select min(doc_id) doc_id from documents group by {_NORM}")
+@query("dedup_normalized", f"with {MOVES_SQL} select min(o_orderkey) o_orderkey from moves group by moves")
 def dedup_normalized(spark: SparkSession, d: str) -> DataFrame:
-    return H.first_wins(table(spark, d, "documents").select("doc_id", "text"), H.normalised_key("text"), ["doc_id"]).select("doc_id")
+    """Records whose moves are new, the first in order."""
+    m = movetext(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
+    return H.first_wins(m, H.normalised_key("t"), ["o_orderkey"]).select("o_orderkey")
 
 
-@query("concat_dedup", "select arg_min(src, (src, id)) src, arg_min(id, (src, id)) id from (select 0 src, doc_id id, text from documents union all select 1, item_id, text from benchmark) group by md5(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')))")
+@query("concat_dedup", f"with {MOVES_SQL}, {moves_sql('others', 'customer', 'c_custkey', 'c_nationkey')} select arg_min(src, (src, id)) src, arg_min(id, (src, id)) id from (select 0 src, c_custkey id, moves from others union all select 1, o_orderkey, moves from moves) group by moves")
 def concat_dedup(spark: SparkSession, d: str) -> DataFrame:
-    a = table(spark, d, "documents").select(F.lit(0).alias("src"), F.col("doc_id").alias("id"), T.clean(F.col("text")).alias("text"))
-    b = table(spark, d, "benchmark").select(F.lit(1).alias("src"), F.col("item_id").alias("id"), T.clean(F.col("text")).alias("text"))
-    return H.first_wins(a.unionByName(b), H.normalised_key("text"), ["src", "id"]).select("src", "id")
+    """Records of two sources one after the other, cleaned, the first of equal moves."""
+    a = movetext(table(spark, d, "customer").select("c_custkey", "c_nationkey"), "c_custkey", "c_nationkey").select(F.lit(0).alias("src"), F.col("c_custkey").alias("id"), T.clean(F.col("t")).alias("t"))
+    b = movetext(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey").select(F.lit(1).alias("src"), F.col("o_orderkey").alias("id"), T.clean(F.col("t")).alias("t"))
+    return H.first_wins(a.unionByName(b), H.normalised_key("t"), ["src", "id"]).select("src", "id")
 
 
-@query("dedup_stats", f"select count(*) seen, count(distinct {_NORM}) written, count(*) - count(distinct {_NORM}) removed from documents")
+@query("dedup_stats", f"with {MOVES_SQL} select count(*) seen, count(distinct moves) written, count(*) - count(distinct moves) removed from moves")
 def dedup_stats(spark: SparkSession, d: str) -> DataFrame:
-    return H.dedup_stats(table(spark, d, "documents"), H.normalised_key("text"))
+    return H.dedup_stats(movetext(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey"), H.normalised_key("t"))
 
 
 @query("upsert_ignore", "select user_id, event_type, min(event_id) event_id from events group by all")
@@ -355,9 +356,9 @@ def names_per_key(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("p_name")), ";").alias("names"))
 
 
-@query("label_alias", "with n as (select p_brand, list_sort(list_distinct(list(lpad(length(p_name)::varchar, 4, '0') || p_name))) x from part group by 1) select p_brand, substr(x[1], 5) label, array_to_string(list_transform(x[2:5], lambda y: substr(y, 5)), ', ') || case when len(x) > 5 then ', +' || (len(x) - 5) || ' more' else '' end aliases from n")
+@query("label_alias", "with n as (select p_brand, list_sort(list_distinct(list(p_name))) x, arg_min(p_name, (length(p_name), p_name)) label from part group by 1) select p_brand, label, array_to_string((list_filter(x, lambda y: y <> label))[1:24], ', ') aliases from n")
 def label_alias(spark: SparkSession, d: str) -> DataFrame:
-    rows = F.array_sort(F.collect_set(F.struct(F.length("p_name").alias("k"), "p_name")))
-    g = table(spark, d, "part").groupBy("p_brand").agg(F.transform(rows, lambda r: r["p_name"]).alias("x"))
-    more = F.when(F.size("x") > 5, F.concat(F.lit(", +"), (F.size("x") - 5).cast("string"), F.lit(" more"))).otherwise("")
-    return g.select("p_brand", F.get("x", F.lit(0)).alias("label"), F.concat(F.array_join(F.slice("x", 2, 4), ", "), more).alias("aliases"))
+    """The shortest name as label, the first 24 others by name as aliases."""
+    g = table(spark, d, "part").groupBy("p_brand").agg(F.array_sort(F.collect_set("p_name")).alias("x"), F.min(F.struct(F.length("p_name").alias("k"), "p_name")).alias("m"))
+    label = F.col("m.p_name")
+    return g.select("p_brand", label.alias("label"), F.array_join(F.slice(F.filter("x", lambda y: y != label), 1, 24), ", ").alias("aliases"))

@@ -67,11 +67,11 @@ def opening_label(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "training_rows",
     f"""with {_BOARD} select k, {_side_sql('QRBNP')} || 'v' || {_side_sql('qrbnp')} material, case when abs(b) <= 2 then 'draw' when b > 0 then 'white' else 'black' end expected, abs(b) >= 6 "sharp"
-from (select *, {' + '.join(f"{w} * {_n(p)}" for p, w in B.POWER.items())} - ({' + '.join(f"{w} * {_n(p.lower())}" for p, w in B.POWER.items())}) b from boards) where k % 3 = 0""",
+from (select *, {' + '.join(f"{w} * {_n(p)}" for p, w in B.POWER.items())} - ({' + '.join(f"{w} * {_n(p.lower())}" for p, w in B.POWER.items())}) b from boards)""",
 )
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("board")
-    rows = boards_of(spark, d).where("k % 3 = 0").withColumn("b", B.power(b, True) - B.power(b, False))
+    rows = boards_of(spark, d).withColumn("b", B.power(b, True) - B.power(b, False))
     return rows.select("k", B.signature(b).alias("material"), O.winner_from_score(F.col("b"), 2).alias("expected"), (F.abs("b") >= 6).alias("sharp"))
 
 

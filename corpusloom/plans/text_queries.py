@@ -13,43 +13,82 @@ from corpusloom.sources.tables import html_rows as rows_of_html
 from .bindings import STEPS, steps, table
 from .catalog import query
 
-MOVES_SQL = """moves as (select o_orderkey, '1. ' || o_orderpriority || ' {' || o_orderstatus || ' note} ( ' || o_custkey || ' (inner) x ) $3 1... ' || o_orderstatus
-  || case when o_orderkey % 4 = 0 then '' when o_orderkey % 4 = 1 then ' ; rest' || chr(10) || ' 1-0' else ' 1-0' end t from orders)"""
+#: Movetexts with every kind of markup (@ is a word of the row, ~ a line's end), and by hand: moves, last token, cleaned text, comments, variations, line comments and results added.
+CASES = [
+    ("1. e4 {a (b; c} e5 @ 1-0", "e4 e5 @", "1-0", "1. e4 e5 @ 1-0", 1, 0, 0, 0),
+    ("1. e4(1. d4)e5 $x @ $12 0-1", "e4 e5 @", "0-1", "1. e4 e5 $x @ $12 0-1", 0, 1, 0, 0),
+    ("1. Nf3 ; rest { of line~ d5 {one~two} @ *", "Nf3 d5 @", "*", "1. Nf3 d5 @ *", 1, 0, 1, 0),
+    ("% note (~1. c4 (1. d4 {in ) brace} (x) y ; z) c5 @", "c4 c5 @", "@", "1. c4 c5 @ *", 0, 1, 1, 1),
+    ("", "", "", "*", 0, 0, 0, 1),
+    ("1. e4 e5 @ 1-0 {white won}", "e4 e5 @", "1-0", "1. e4 e5 @ 1-0", 1, 0, 0, 0),
+    ("1. e4 e5 {open @ 2. d4", "e4 e5", "e5", "1. e4 e5 *", 1, 0, 0, 1),
+    ("1. e4 ) } 50% @~%x } y~1/2-1/2", "e4 ) } 50% @", "1/2-1/2", "1. e4 ) } 50% @ 1/2-1/2", 0, 0, 1, 0),
+    ("1.e4 @ 1... e5 1/2-1/2", "1.e4 @ e5", "1/2-1/2", "1.e4 @ 1... e5 1/2-1/2", 0, 0, 0, 0),
+]
+_VALUES = ", ".join(f"({k}, " + ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in c) + ")" for k, c in enumerate(CASES))
+_PUT = "replace(replace({0}, '@', 'm' || ({1} % 40)), '~', chr(10)) {0}"
+
+
+def moves_sql(name: str, source: str, key: str, word: str) -> str:
+    """Records with movetext of a table, and what they come to, as a common table."""
+    texts = ", ".join(_PUT.format(c, word) for c in ("t", "moves", "final", "cleaned"))
+    return f"{name} as (select {key}, {texts}, comments, variations, lines, results from {source} join (values {_VALUES}) c(c, t, moves, final, cleaned, comments, variations, lines, results) on c = {key} % {len(CASES)})"
+
+
+MOVES_SQL = moves_sql("moves", "orders", "o_orderkey", "o_custkey")
+
+
+def movetext(df: DataFrame, key: str, word: str) -> DataFrame:
+    """Rows as records with movetext t, of the kinds in CASES."""
+    at = F.element_at(F.array(*(F.lit(c[0]) for c in CASES)), (F.col(key) % len(CASES) + 1).cast("int"))
+    text = F.replace(F.replace(at, F.lit("@"), F.concat(F.lit("m"), (F.col(word) % 40).cast("string"))), F.lit("~"), F.lit("\n"))
+    return df.withColumn("t", text)
 
 
 def _movetext(spark: SparkSession, d: str) -> DataFrame:
-    """orders as records with movetext: comments, nested variations, glyphs, a result or none."""
-    k = F.col("o_orderkey") % 4
-    end = F.when(k == 0, "").when(k == 1, " ; rest\n 1-0").otherwise(" 1-0")
-    parts = [F.lit("1. "), F.col("o_orderpriority"), F.lit(" {"), F.col("o_orderstatus"), F.lit(" note} ( "), F.col("o_custkey").cast("string"), F.lit(" (inner) x ) $3 1... "), F.col("o_orderstatus"), end]
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", F.concat(*parts).alias("t"))
+    return movetext(table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey", "o_custkey")
 
 
-@query(
-    "normalize_text",
-    f"""with {MOVES_SQL}, s as (select o_orderkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '\\{{[^}}]*\\}}', ' ', 'g'), ';[^\\n]*', ' ', 'g'), '\\([^()]*\\)', '', 'g'), '\\([^()]*\\)', '', 'g') s from moves)
-select o_orderkey, array_to_string(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '' and not regexp_matches(x, '^\\$[0-9]+$') and not regexp_matches(x, '^[0-9.]+$') and x not in ('1-0', '0-1', '1/2-1/2', '*')), ' ') moves from s""",
-)
+@query("normalize_text", f"with {MOVES_SQL} select o_orderkey, moves from moves")
 def normalize_text(spark: SparkSession, d: str) -> DataFrame:
     return _movetext(spark, d).select("o_orderkey", T.normalize_moves(F.col("t")).alias("moves"))
 
 
+@query("san_tokens", f"with {MOVES_SQL} select o_orderkey, replace(moves, '1.e4', 'e4') moves from moves")
+def san_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Moves without numbers glued to them."""
+    return _movetext(spark, d).select("o_orderkey", F.array_join(F.transform(T.move_tokens(F.col("t")), T.strip_glued_number), " ").alias("moves"))
+
+
+@query("clean_movetext", f"with {MOVES_SQL} select o_orderkey, cleaned, comments, variations, lines, results from moves")
+def clean_movetext(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned rewrite of movetexts with counters of what went and came."""
+    m = _movetext(spark, d).withColumn("r", T.rewritten(F.concat(F.lit("\uFEFF"), F.col("t"))))
+    return m.select("o_orderkey", F.col("r.out").alias("cleaned"), "r.comments", "r.variations", "r.lines", "r.results")
+
+
 @query("clean_text", "select page_id, md5(regexp_replace(regexp_replace(replace(html, chr(65533), '?'), '\\r\\n?', chr(10), 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) cleaned from pages")
 def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.md5(T.clean(F.col("html"))).alias("cleaned"))
 
 
-@query("inspect_counts", "select doc_id, 0 boms, length(text) - length(replace(text, chr(65533), '')) replacements, length(text) - length(replace(text, chr(13), '')) carriage_returns, len(regexp_extract_all(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) controls, length(text) - length(replace(text, chr(10), '')) + 1 as \"lines\" from documents")
+_MARKED_TEXT = "(case when doc_id % 3 = 0 then chr(65279) else '' end || text || case when doc_id % 5 = 0 then chr(65533) || chr(13) || chr(10) || chr(7) else '' end)"
+
+
+@query("inspect_counts", f"select doc_id, (doc_id % 3 = 0)::int boms, length(x) - length(replace(x, chr(65533), '')) replacements, length(x) - length(replace(x, chr(13), '')) carriage_returns, len(regexp_extract_all(x, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]')) controls, length(x) - length(replace(x, chr(10), '')) + 1 as \"lines\", not contains(x, '[Event ') no_event from (select doc_id, {_MARKED_TEXT} x from documents)")
 def inspect_counts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", *(c.alias(k) for k, c in T.inspect(F.col("text")).items()))
+    """What cleaning would change in texts, some of which get a mark, a replacement and controls first."""
+    k = F.col("doc_id")
+    text = F.concat(F.when(k % 3 == 0, "\uFEFF").otherwise(""), F.col("text"), F.when(k % 5 == 0, "\uFFFD\r\n\a").otherwise(""))
+    return table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in T.inspect(text).items()), (~F.contains(text, F.lit("[Event "))).alias("no_event"))
 
 
 @query(
     "reflow",
-    "select page_id, md5(list_reduce(list_filter(regexp_split_to_array(html, '[ \\n]+'), lambda x: x <> ''), lambda a, x: case when length(regexp_extract(a, '[^\\n]*$')) + 1 + length(x) <= 80 then a || ' ' || x else a || chr(10) || x end)) flowed from pages where page_id < 60",
+    "select page_id, md5(list_reduce(list_filter(regexp_split_to_array(html, '[ \\n]+'), lambda x: x <> ''), lambda a, x: case when length(regexp_extract(a, '[^\\n]*$')) + 1 + length(x) <= 80 then a || ' ' || x else a || chr(10) || x end)) flowed from pages",
 )
 def reflow(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").where("page_id < 60")
+    p = table(spark, d, "pages")
     words = F.filter(F.split("html", "[ \\n]+"), lambda w: w != "")
     return p.select("page_id", F.md5(T.reflow(words)).alias("flowed"))
 
@@ -62,6 +101,24 @@ def fold_text(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.md5(T.fold(F.col("text"))).alias("folded"))
 
 
+#: Names with marks, as they are and folded by hand.
+NAMES = [("Łódź", "lodz"), ("Šimić", "simic"), ("Kőszegi", "koszegi"), ("Đorđe Žižkov", "dorde zizkov"), ("ŞĞİ ŵŷ", "sgi wy"), ("Æsir Œuvre", "aesir oeuvre"), ("Straße ŀĺ", "strasse ll"), ("e\u0301t\u0327", "et"), ("Þór ŋĥħĵķŕŧ", "þor nhhjkrt")]
+_NAMES = ", ".join(f"({k}, '{a}', '{b}')" for k, (a, b) in enumerate(NAMES))
+
+
+@query("fold_names", f"select c_custkey, b || ' ' || lower(c_name) folded from customer join (values {_NAMES}) n(k, a, b) on k = c_custkey % {len(NAMES)}")
+def fold_names(spark: SparkSession, d: str) -> DataFrame:
+    name = F.element_at(F.array(*(F.lit(a) for a, _ in NAMES)), (F.col("c_custkey") % len(NAMES) + 1).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", T.fold(F.concat(name, F.lit(" "), F.col("c_name"))).alias("folded"))
+
+
+@query("trimmed_tokens", "select doc_id, md5(array_to_string(list_transform(regexp_split_to_array(text, ' '), lambda x: regexp_replace(x, '^[^A-Za-z0-9]+|[^A-Za-z0-9]+$', '', 'g')), ' ')) bare, md5(array_to_string(list_transform(regexp_split_to_array(text, ' '), lambda x: regexp_replace(x, '^[^A-Za-z0-9_-]+|[^A-Za-z0-9_-]+$', '', 'g')), ' ')) joined from documents")
+def trimmed_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens trimmed at both ends, with hyphens and underscores or without."""
+    t = F.split("text", " ")
+    return table(spark, d, "documents").select("doc_id", *(F.md5(F.array_join(F.transform(t, lambda x, k=k: T.trimmed_token(x, k)), " ")).alias(n) for n, k in (("bare", ""), ("joined", "_-"))))
+
+
 @query("key_base", "select s_suppkey, case when regexp_matches(upper(x[1:3]), '^[A-E][0-9]{2}$') then upper(x[1:3]) else 'unknown' end base from (select s_suppkey, chr(95 + s_nationkey % 8) || s_suppkey || s_name x from supplier)")
 def key_base(spark: SparkSession, d: str) -> DataFrame:
     code = F.concat(F.chr(95 + F.col("s_nationkey") % 8), F.col("s_suppkey").cast("string"), "s_name")
@@ -121,28 +178,34 @@ def lint_format(spark: SparkSession, d: str) -> DataFrame:
     return _headers(spark, d).select("o_orderkey", Q.bad_date(F.col("date")).alias("bad_date"), Q.bad_result(F.col("result")).alias("bad_result"))
 
 
-@query("lint_mismatch", f"with {_HEAD}, {MOVES_SQL} select o_orderkey, result, '1-0' final from heads join moves using (o_orderkey) where o_orderkey % 4 > 0 and result <> '1-0'")
+@query("lint_mismatch", f"with {_HEAD}, {MOVES_SQL} select o_orderkey, result, final from heads join moves using (o_orderkey) where final in ('1-0', '0-1', '1/2-1/2', '*') and result <> final")
 def lint_mismatch(spark: SparkSession, d: str) -> DataFrame:
     h = _headers(spark, d).withColumn("final", Q.final_token(F.col("t")))
     return h.where(F.col("final").isin(*Q.RESULTS) & (F.col("final") != F.col("result"))).select("o_orderkey", "result", "final")
 
 
-@query("lint_balance", "select doc_id, len(regexp_extract_all(t, '\\{')) - len(regexp_extract_all(t, '\\}')) braces, len(regexp_extract_all(t, '\\(')) - len(regexp_extract_all(t, '\\)')) parens from (select doc_id, regexp_replace(text, ';[^\\n]*', '', 'g') t from documents)")
+@query("lint_balance", "select doc_id, len(regexp_extract_all(t, '\\{')) - len(regexp_extract_all(t, '\\}')) braces, len(regexp_extract_all(t, '\\(')) - len(regexp_extract_all(t, '\\)')) parens from (select doc_id, regexp_replace(text, '(?:^|\\n)%[^\\n]*|;[^\\n]*', '', 'g') t from (select doc_id, case when doc_id % 4 = 0 then '% (' || chr(10) else '' end || replace(text, '|', chr(10) || '%{') text from documents))")
 def lint_balance(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
+    t = F.concat(F.when(F.col("doc_id") % 4 == 0, "% (\n").otherwise(""), F.replace("text", F.lit("|"), F.lit("\n%{")))
     return table(spark, d, "documents").select("doc_id", Q.unbalanced(t, "{", "}").alias("braces"), Q.unbalanced(t, "(", ")").alias("parens"))
 
 
-@query("lint_empty", f"with {MOVES_SQL} select o_orderkey, false empty, o_orderkey % 4 = 0 no_result from moves")
+@query("lint_empty", f"with {MOVES_SQL} select o_orderkey, t = '' empty, final not in ('1-0', '0-1', '1/2-1/2', '*') no_result from moves")
 def lint_empty(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("t")
     return _movetext(spark, d).select("o_orderkey", (F.trim(t) == "").alias("empty"), (~Q.final_token(t).isin(*Q.RESULTS)).alias("no_result"))
 
 
-@query("lint_count", f"with {MOVES_SQL} select o_orderkey, 2 + (case when contains(t, 'NOT SPECIFIED') then 1 else 0 end) moves, o_orderkey % 3 + 1 declared from moves where 2 + (case when contains(t, 'NOT SPECIFIED') then 1 else 0 end) <> o_orderkey % 3 + 1")
+@query("lint_count", f"""with {MOVES_SQL}, p as (select o_orderkey, case when moves = '' then 0 else len(string_split(moves, ' ')) end moves, case o_orderkey % 4 when 0 then '3' when 1 then 'x2' when 2 then '2' end declared from moves)
+select *, case when declared = 'x2' then 'not an integer' else 'differs' end issue from p where declared = 'x2' or declared::varchar <> moves::varchar""")
 def lint_count(spark: SparkSession, d: str) -> DataFrame:
-    m = _movetext(spark, d).select("o_orderkey", F.size(T.move_tokens(F.col("t"))).alias("moves"), (F.col("o_orderkey") % 3 + 1).alias("declared"))
-    return m.where("moves <> declared")
+    """Declared numbers of moves that are no integers or differ; none declared is no issue."""
+    k = F.col("o_orderkey") % 4
+    declared = F.when(k == 0, "3").when(k == 1, "x2").when(k == 2, "2")
+    m = _movetext(spark, d).select("o_orderkey", F.size(T.move_tokens(F.col("t"))).alias("moves"), declared.alias("declared"))
+    number = F.col("declared").try_cast("int")
+    issue = F.when(F.col("declared").isNotNull() & number.isNull(), "not an integer").when(number != F.col("moves"), "differs")
+    return m.withColumn("issue", issue).where("issue is not null")
 
 
 @query(
@@ -150,7 +213,7 @@ def lint_count(spark: SparkSession, d: str) -> DataFrame:
     f"""with {_HEAD}, {MOVES_SQL} select o_orderkey, code, message from (
   select o_orderkey, 'bad_date' code, date message from heads where not regexp_matches(date, '^[0-9?]{{4}}\\.[0-9?]{{2}}\\.[0-9?]{{2}}$')
   union all select o_orderkey, 'bad_result', result from heads where result not in ('1-0', '0-1', '1/2-1/2', '*')
-  union all select o_orderkey, 'no_result', right(t, 1) from moves where o_orderkey % 4 = 0)""",
+  union all select o_orderkey, 'no_result', right(t, 1) from moves where final not in ('1-0', '0-1', '1/2-1/2', '*'))""",
 )
 def lint_report(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("t")
