@@ -277,3 +277,96 @@ def tracks(moves: Column) -> Column:
         return F.struct(on.alias("on"), F.concat(a["out"], F.array(moved)).alias("out"))
 
     return F.aggregate(moves, zero, step, lambda a: a["out"])
+
+
+def squares(named: str) -> list[int]:
+    """Places of a square or of a block of squares between two corners, such as a2-h3."""
+    first, _, last = named.partition("-")
+    last = last or first
+    files, ranks = sorted((first[0], last[0])), sorted((first[1], last[1]))
+    return [square(chr(f) + str(r)) for f in range(ord(files[0]), ord(files[1]) + 1) for r in range(int(ranks[0]), int(ranks[1]) + 1)]
+
+
+def held(board: Column, pieces: str, places: list[int]) -> Column:
+    """How many of the pieces named stand on places: the runs of places are cut out and counted in."""
+    runs: list[list[int]] = []
+    for k in sorted(set(places)):
+        if runs and k == runs[-1][-1] + 1:
+            runs[-1].append(k)
+        else:
+            runs.append([k])
+    return count_of(F.concat(*(F.substring(board, r[0], len(r)) for r in runs)), pieces)
+
+
+#: Steps of files and ranks for each direction.
+WAYS = {"up": [(0, 1)], "down": [(0, -1)], "left": [(-1, 0)], "right": [(1, 0)], "northeast": [(1, 1)], "northwest": [(-1, 1)], "southeast": [(1, -1)], "southwest": [(-1, -1)]}
+WAYS |= {"horizontal": WAYS["left"] + WAYS["right"], "vertical": WAYS["up"] + WAYS["down"], "diagonal": [w for k in ("northeast", "northwest", "southeast", "southwest") for w in WAYS[k]]}
+WAYS |= {"orthogonal": WAYS["horizontal"] + WAYS["vertical"]}
+
+
+def reached(places: Column, way: str, reach: int = 7) -> Column:
+    """The squares up to ``reach`` steps away from any of the places in a direction."""
+    steps = F.array(*(F.struct(F.lit(f * n).alias("f"), F.lit(r * n).alias("r")) for f, r in WAYS[way] for n in range(1, reach + 1)))
+
+    def moved(k: Column) -> Column:
+        inside = F.filter(steps, lambda s: (file_of(k) + s["f"]).between(0, 7) & (rank_of(k) + s["r"]).between(1, 8))
+        return F.transform(inside, lambda s: (k + s["f"] - 8 * s["r"]).cast("int"))
+
+    return F.array_distinct(F.flatten(F.transform(places, moved)))
+
+
+def squares_between(a: Column, b: Column) -> Column:
+    """How many squares lie between two places on a line, none where they are on no line."""
+    f, r = F.abs(file_of(a) - file_of(b)), F.abs(rank_of(a) - rank_of(b))
+    return F.when((f == 0) | (r == 0) | (f == r), F.greatest(f, r) - 1).otherwise(0)
+
+
+def rays(boards: DataFrame, key: str, sliders: str, through: str, targets: str, kind: str, board: str = "board") -> DataFrame:
+    """(key, piece, from, through, target, to): lines from a slider over exactly one piece, of those named, to a target."""
+    places = squares_of(F.col(board), sliders)
+    lines = boards.select(key, board, F.explode(places).alias("from")).join(F.broadcast(geometry(boards.sparkSession).where(F.col("kind") == kind)), "from")
+    full = F.filter("between", lambda k: F.substring(F.col(board), k, F.lit(1)) != ".")
+    target = F.substring(F.col(board), F.col("to"), F.lit(1))
+    hit = lines.where(F.contains(F.lit(targets), target)).withColumn("full", full).where(F.size("full") == 1)
+    hit = hit.withColumn("through", F.substring(F.col(board), F.get("full", F.lit(0)), F.lit(1))).where(F.contains(F.lit(through), F.col("through")))
+    return hit.select(key, F.substring(F.col(board), F.col("from"), F.lit(1)).alias("piece"), "from", "through", target.alias("target"), "to")
+
+
+def flip_ranks(board: Column) -> Column:
+    """The board upside down, colours as they are."""
+    return F.concat(*(F.substring(board, r * 8 + 1, 8) for r in range(7, -1, -1)))
+
+
+def flip_diagonal(board: Column) -> Column:
+    """Files and ranks changed for each other, a8 and h1 kept."""
+    return F.concat(*(F.substring(board, k % 8 * 8 + k // 8 + 1, 1) for k in range(64)))
+
+
+def eight_ways(board: Column) -> list[Column]:
+    """The board in its four turns and their mirror images."""
+    across = flip_diagonal(board)
+    return [turned for b in (board, across) for turned in (b, flip_files(b), flip_ranks(b), flip_files(flip_ranks(b)))]
+
+
+def shifted(board: Column, piece: str, other, files: int, ranks: int) -> Column:
+    """Whether anywhere a piece has, so many files and ranks further, another that meets a condition."""
+
+    def met(k: Column) -> Column:
+        inside = (file_of(k) + files).between(0, 7) & (rank_of(k) + ranks).between(1, 8)
+        return inside & other(F.substring(board, (k + files - 8 * ranks).cast("int"), F.lit(1)))
+
+    return F.exists(squares_of(board, piece), met)
+
+
+def pieces(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
+    """(key, square, type, colour, file, rank, name) of every piece."""
+    at = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.substring(F.col(board), k, F.lit(1)) != ".")
+    rows = boards.select(key, board, F.explode(at).alias("square")).withColumn("p", F.substring(F.col(board), F.col("square"), F.lit(1)))
+    file, rank = file_of(F.col("square")) + 1, rank_of(F.col("square"))
+    colour = F.when(F.col("p") == F.upper("p"), "white").otherwise("black")
+    return rows.select(key, "square", F.lower("p").alias("type"), colour.alias("colour"), file.alias("file"), rank.alias("rank"), F.concat(F.chr(96 + file), rank.cast("string")).alias("name"))
+
+
+def full_signature(board: Column) -> Column:
+    """Every piece named, kings first, white before black."""
+    return F.concat(*(F.repeat(F.lit(p), count_of(board, p)) for p in "KQRBNPkqrbnp"))

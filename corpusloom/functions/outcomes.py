@@ -71,3 +71,8 @@ def predicates(outcome: Column, evaluation: Column) -> Mapping[str, Column]:
     results, evals = ("win", "draw", "loss", "decisive", "unknown"), ("win", "draw", "loss", "decisive", "unknown")
     out = {f"result_{r}": outcome == r for r in results} | {f"eval_{e}": evaluation == e for e in evals}
     return out | {f"eval_{e}_result_{r}": (evaluation == e) & (outcome == r) for e in ("win", "draw", "loss", "decisive") for r in ("win", "draw", "loss", "decisive", "unknown")}
+
+
+def is_sharp(best: Column, second: Column, gap: float) -> Column:
+    """Whether the winning chances of the two best lines are ``gap`` or more apart, or there is one line only."""
+    return second.isNull() | (F.abs(winning_chance(best) - winning_chance(second)) >= gap)

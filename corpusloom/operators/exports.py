@@ -31,3 +31,10 @@ def score_pending(keys: DataFrame, scorer: Callable[[pd.DataFrame], pd.DataFrame
             yield scorer(batch)
 
     return keys.mapInPandas(run, schema)
+
+
+def manifest_state(current: DataFrame, manifest: DataFrame, key: str, fingerprint: str) -> DataFrame:
+    """Add state: keep where the manifest has the same fingerprint, rebuild where it has another, build where it has none."""
+    known = manifest.select(key, F.col(fingerprint).alias("__old"))
+    state = F.when(F.col("__old").isNull(), "build").when(F.col("__old") == F.col(fingerprint), "keep").otherwise("rebuild")
+    return current.join(known, key, "left").withColumn("state", state).drop("__old")

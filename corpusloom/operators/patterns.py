@@ -42,3 +42,13 @@ def find(df: DataFrame, entity: Sequence[str], step: str, before: Mapping[str, C
 
 def parent(df: DataFrame, entity: Sequence[str], step: str, value: str, depth: int, name: str) -> DataFrame:
     return df.withColumn(name, F.lag(value, depth).over(Window.partitionBy(*entity).orderBy(step)))
+
+
+def flags(df: DataFrame, entity: Sequence[str], step: str, move: str) -> DataFrame:
+    """Flags of each step: move number, next mover, mate and check from the move's suffix, first and last of its entity."""
+    last = F.max(step).over(Window.partitionBy(*entity))
+    k, m = F.col(step), F.col(move)
+    return df.withColumns({
+        "movenumber": F.floor((k + 1) / 2), "mover_next": F.when(k % 2 == 1, "black").otherwise("white"), "mate": F.contains(m, F.lit("#")),
+        "check": F.right(m, F.lit(1)).isin("+", "#"), "initial": k == 1, "terminal": k == last,
+    })

@@ -15,18 +15,18 @@ from .bindings import steps, table
 from .catalog import query
 
 
-def _shared(spark: SparkSession) -> str:
+def shared_folder(spark: SparkSession, name: str = "stream") -> str:
     """A fresh folder below the shared checkpoint folder, a local one only where none is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @query("stream_counts", "select event_type, count(*) n from events group by event_type")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Running counts, in complete mode, of all rows that are there."""
-    space, name = _shared(spark), f"counts_{uuid.uuid4().hex}"
+    space, name = shared_folder(spark), f"counts_{uuid.uuid4().hex}"
     counts = I.running_counts(_folder_stream(spark, d, "events"), ["event_type"])
 
     def keep(batch: DataFrame, _: int) -> None:
@@ -48,7 +48,7 @@ def _folder_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("stream_windows", "select date_trunc('hour', ts) start, event_type, count(*) n from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling counts in append mode; at the end of the input the last windows are open, so complete mode closes them here."""
-    space = _shared(spark)
+    space = shared_folder(spark)
     counts = I.windowed_counts(_folder_stream(spark, d, "events"), "ts", "1 hour", "2 hours", ["event_type"])
 
     def keep(batch: DataFrame, _: int) -> None:
@@ -61,7 +61,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_distinct", "select distinct user_id, event_type from events")
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     """First copies of each key with bounded state."""
-    space = _shared(spark)
+    space = shared_folder(spark)
     first = I.distinct_within(_folder_stream(spark, d, "events"), ["user_id", "event_type"], "ts", "40 days").select("user_id", "event_type")
     first.writeStream.option("checkpointLocation", f"{space}/c").format("parquet").option("path", f"{space}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{space}/out")
@@ -70,7 +70,7 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_queue", "select distinct l_partkey from lineitem")
 def stream_queue(spark: SparkSession, d: str) -> DataFrame:
     """A work queue that receives each key once."""
-    space = _shared(spark)
+    space = shared_folder(spark)
     I.new_keys(_folder_stream(spark, d, "lineitem"), ["l_partkey"], f"{space}/out", f"{space}/c").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{space}/out")
 

@@ -32,7 +32,7 @@ _PUT = "replace(replace({0}, '@', 'm' || ({1} % 40)), '~', chr(10)) {0}"
 def moves_sql(name: str, source: str, key: str, word: str) -> str:
     """Records with movetext of a table, and what they come to, as a common table."""
     texts = ", ".join(_PUT.format(c, word) for c in ("t", "moves", "final", "cleaned"))
-    return f"{name} as (select {key}, {texts}, comments, variations, lines, results from {source} join (values {_VALUES}) c(c, t, moves, final, cleaned, comments, variations, lines, results) on c = {key} % {len(CASES)})"
+    return f"{name} as (select {key}, {word}, {texts}, comments, variations, lines, results from {source} join (values {_VALUES}) c(c, t, moves, final, cleaned, comments, variations, lines, results) on c = {key} % {len(CASES)})"
 
 
 MOVES_SQL = moves_sql("moves", "orders", "o_orderkey", "o_custkey")

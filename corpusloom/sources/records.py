@@ -9,32 +9,49 @@ from pyspark.sql import functions as F
 
 #: How a record starts and how its tags look.
 MARK = "[Event "
+PGN = "*.[pP][gG][nN]"
 TAG = r'(?m)^\s*\[(\w+)\s+"([^"]*)"'
 ORDER = ("Event", "Site", "Date", "Round", "White", "Black", "Result")
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all .pgn files below a folder: file, game_index (from 1), start_line, raw.
+def read_records(spark: SparkSession, path: str, files: str = PGN) -> DataFrame:
+    """Records of all .pgn files below a folder, or of files of another pattern: file, game_index (from 1), start_line, raw.
 
     A record starts at a line with ``[Event ``; text before a file's first record is
-    dropped. Numbering needs the order within a file, so it is one window over each file.
+    dropped. Records are numbered within each split of a file, and the splits' counts, a few
+    rows a file, tell where a split's numbers start: no file is gathered in one task.
     """
+    return _numbered(spark, path, MARK, files)
+
+
+def read_strict_records(spark: SparkSession, path: str, files: str = PGN) -> DataFrame:
+    """As ``read_records``, where a record starts only at a line with ``[Event`` and a quoted value."""
+    return _numbered(spark, path, MARK + '"', files)
+
+
+def _numbered(spark: SparkSession, path: str, mark: str, files: str) -> DataFrame:
     raw = (
-        spark.read.option("lineSep", "\n" + MARK).option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][gG][nN]").text(path)
+        spark.read.option("lineSep", "\n" + mark).option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     )
-    order = Window.partitionBy("file").orderBy("block", "place")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    lines = F.regexp_count("value", F.lit("\n")) + 1
-    numbered = raw.withColumns({"start_line": F.coalesce(F.sum(lines).over(before), F.lit(0)) + 1, "first": F.row_number().over(order) == 1})
+    inside = Window.partitionBy("file", "block").orderBy("place")
+    before = inside.rowsBetween(Window.unboundedPreceding, -1)
     text = F.regexp_replace("value", "^\\uFEFF", "")
-    starts = F.startswith(text, F.lit(MARK))
-    numbered = numbered.withColumn("raw", F.when(F.col("first"), text).otherwise(F.concat(F.lit(MARK), text))).where(~F.col("first") | starts)
-    return numbered.select("file", F.row_number().over(order).alias("game_index"), F.col("start_line").cast("long"), F.rtrim("raw").alias("raw"))
+    head = (F.col("block") == 0) & (F.row_number().over(inside) == 1)  # what stands before a file's first mark
+    rows = raw.withColumns({"lines": F.regexp_count("value", F.lit("\n")) + 1, "head": head})
+    rows = rows.withColumn("record", ~F.col("head") | F.startswith(text, F.lit(mark)))
+    rows = rows.withColumns({"line": F.coalesce(F.sum("lines").over(before), F.lit(0)), "number": F.sum(F.col("record").cast("int")).over(inside)})
+    splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("file", "block").agg(F.sum("lines").alias("lines"), F.sum(F.col("record").cast("int")).alias("records"))
+    sums = sums.select("file", "block", *(F.coalesce(F.sum(c).over(splits), F.lit(0)).alias(f"{c}_before") for c in ("lines", "records")))
+    found = rows.drop("lines").where("record").join(sums, ["file", "block"])
+    raw_text = F.when(F.col("head"), text).otherwise(F.concat(F.lit(mark), text))
+    return found.select("file", (F.col("number") + F.col("records_before")).cast("int").alias("game_index"), (F.col("line") + F.col("lines_before") + 1).cast("long").alias("start_line"), F.rtrim(raw_text).alias("raw"))
 
 
 def headers(raw: Column) -> Column:
-    """Tags and values of a record; the first value of a tag counts."""
+    """Tags and values of a record's head, which ends at the first line that is no tag; the first value of a tag counts."""
+    raw = F.regexp_extract(raw, r'^((?:\s*\[\w+\s+"[^"\n]*"\][^\n]*(?:\n|\z))*)', 1)
     tags, values = F.regexp_extract_all(raw, F.lit(TAG), F.lit(1)), F.regexp_extract_all(raw, F.lit(TAG), F.lit(2))
     pairs = F.zip_with(tags, values, lambda t, v: F.struct(t.alias("key"), v.alias("value")))
     first = F.filter(pairs, lambda p, i: F.array_position(tags, p["key"]) == i + 1)
@@ -87,11 +104,11 @@ def markers(records: DataFrame, known: list[str]) -> DataFrame:
     return plies.select("file", "game_index", "ply", F.explode(labels).alias("label"))
 
 
-def read_blank_line_records(spark: SparkSession, path: str) -> DataFrame:
+def read_blank_line_records(spark: SparkSession, path: str, files: str = PGN) -> DataFrame:
     """Records split at blank lines before a tag, whole files at a time: for small files of loose form."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.[pP][gG][nN]").text(path, wholetext=True)
+    whole = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path, wholetext=True)
     parts = F.posexplode(F.split("value", r"\r?\n\s*\r?\n(?=\[)"))
-    rows = files.select(F.col("_metadata.file_path").alias("file"), parts.alias("place", "raw")).where(F.col("raw").rlike(r"^\s*\["))
+    rows = whole.select(F.col("_metadata.file_path").alias("file"), parts.alias("place", "raw")).where(F.col("raw").rlike(r"^\s*\["))
     return rows.select("file", (F.col("place") + 1).alias("game_index"), F.rtrim("raw").alias("raw"))
 
 

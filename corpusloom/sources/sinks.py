@@ -10,9 +10,21 @@ from pyspark.sql import functions as F
 from corpusloom.operators.setops import first_wins
 
 
-def write_records(df: DataFrame, raw: str, path: str) -> None:
-    """Record text, right-trimmed, one blank line between records."""
-    df.select(F.rtrim(raw)).write.option("lineSep", "\n\n").text(path)
+def write_records(df: DataFrame, raw: str, path: str, part: str | None = None, order: str | None = None) -> None:
+    """Record text, right-trimmed, one blank line between records; with a part, a file for each value, its records in order."""
+    rows = df.select(F.rtrim(raw).alias("value"), *(c for c in (part, order) if c))
+    if part:
+        rows = rows.repartition(part).sortWithinPartitions(part, *((order,) if order else ()))
+    writer = rows.drop(*((order,) if order else ())).write.option("lineSep", "\n\n")
+    (writer.partitionBy(part) if part else writer).text(path)
+
+
+def write_summary(df: DataFrame, path: str) -> None:
+    """Outcomes of runs as CSV in the columns that ``tables.read_summary`` reads, missing ones empty."""
+    from corpusloom.sources.tables import SUMMARY
+
+    names = [c.split()[0] for c in SUMMARY.split(", ")]
+    df.select(*(F.col(n) if n in df.columns else F.lit(None).cast("string").alias(n) for n in names)).write.option("header", True).csv(path)
 
 
 def write_facts(df: DataFrame, keys: Sequence[str], order: Sequence[str], partition: str, path: str) -> None:
@@ -60,7 +72,7 @@ def markdown(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
 
 
 def with_notes(raw: Column, notes: Column) -> Column:
-    """Record text whose movetext starts with a comment of notes, if there are any."""
+    """Record text whose movetext starts with a comment of notes, if there are any; ``text.inserted`` puts notes at their places."""
     text = F.concat(F.lit("{"), F.array_join(notes, " "), F.lit("} "))
     head = F.regexp_extract(raw, r'(?s)^((?:\s*\[\w+\s+"[^"]*"\]\s*)+)', 1)
     return F.when(F.coalesce(F.size(notes), F.lit(0)) > 0, F.concat(head, text, F.substring(raw, F.length(head) + 1, F.length(raw)))).otherwise(raw)

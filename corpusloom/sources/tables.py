@@ -28,9 +28,38 @@ def lenient_summary(df: DataFrame) -> DataFrame:
     return df.where("status = 'ok'")
 
 
-def read_facts(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
-    """Facts from JSON lines of one schema version."""
-    return spark.read.schema(FACTS).json(path).where(F.col("schema_version") == version)
+def read_facts(spark: SparkSession, path: str, version: int = 1, kind: str | None = None, stems: DataFrame | None = None) -> DataFrame:
+    """Facts from JSON lines of one schema version, of one kind if it is given; a stem that ``stems`` lacks is an error."""
+    rows = spark.read.schema(FACTS).json(path).where(F.col("schema_version") == version)
+    if kind:
+        rows = rows.where(F.col("kind") == kind)
+    if stems is None:
+        return rows
+    known = stems.select("stem").distinct().withColumn("__known", F.lit(True))
+    checked = F.when(F.col("__known"), F.col("stem")).otherwise(F.raise_error(F.concat(F.lit("unknown stem "), F.coalesce("stem", F.lit("null")))))
+    return rows.join(known, "stem", "left").withColumn("stem", checked).drop("__known").select(rows.columns)
+
+
+def summary_issues(df: DataFrame, stems: DataFrame) -> DataFrame:
+    """(issue, source, rule): rows with another status than ok, unknown stems, repeated pairs of source and rule, and stems without a row."""
+    known = stems.select(F.col("stem").alias("rule")).distinct()
+    bad = df.where("status is distinct from 'ok'").select(F.lit("status").alias("issue"), "source", "rule")
+    unknown = df.join(known, "rule", "left_anti").select(F.lit("unknown stem").alias("issue"), "source", "rule")
+    twice = df.groupBy("source", "rule").count().where("count > 1").select(F.lit("repeated").alias("issue"), "source", "rule")
+    missing = known.join(df, "rule", "left_anti").select(F.lit("missing").alias("issue"), F.lit(None).cast("string").alias("source"), "rule")
+    return bad.union(unknown).union(twice).union(missing)
+
+
+def read_wdl(spark: SparkSession, path: str) -> DataFrame:
+    """Wins, draws and losses by ending and material, summed on repeated keys."""
+    raw = spark.read.schema("ending string, material_label string, wins long, draws long, losses long").option("header", True).csv(path)
+    return raw.groupBy("ending", "material_label").agg(*(F.sum(c).alias(c) for c in ("wins", "draws", "losses")))
+
+
+def read_examples(spark: SparkSession, path: str, stems: DataFrame) -> DataFrame:
+    """Sampled examples from JSON lines, those of known stems."""
+    rows = spark.read.schema("stem string, place int, game_key string, fen string").json(path)
+    return rows.join(stems.select("stem").distinct(), "stem", "left_semi").select("stem", "place", "game_key", "fen")
 
 
 def normalise_facts(df: DataFrame, spellings: Mapping[str, list[str]]) -> DataFrame:
@@ -42,9 +71,9 @@ def normalise_facts(df: DataFrame, spellings: Mapping[str, list[str]]) -> DataFr
     return df.select(*out)
 
 
-def read_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Nested source totals as rows: view, key, games."""
-    raw = spark.read.schema("view string, totals map<string,long>").option("multiLine", True).json(path)
+def read_totals(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Nested source totals as rows: view, key, games; a document a file, or a line."""
+    raw = spark.read.schema("view string, totals map<string,long>").option("multiLine", not lines).json(path)
     return raw.select("view", F.explode("totals").alias("key", "games"))
 
 
