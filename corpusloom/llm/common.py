@@ -68,6 +68,11 @@ def stash(df: DataFrame, space: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """A table to join with, broadcast if it is counted to have ``rows`` rows at most; else left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def drop_stash(spark: SparkSession, space: str, name: str) -> None:
     """Delete a stashed table that nothing reads any more."""
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{space}/{name}")
