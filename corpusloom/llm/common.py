@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -79,6 +81,14 @@ def drop_stash(spark: SparkSession, space: str, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory() -> None:
+    """Give what a task has freed back to the system, where the C library can, as workers live on for further tasks."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def bounded_slices(batch: pa.RecordBatch, column: int, rows: int = 2048, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with a bound in rows and in bytes of a text column; a longer text stands alone."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
