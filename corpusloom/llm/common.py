@@ -84,6 +84,7 @@ def drop_stash(spark: SparkSession, space: str, name: str) -> None:
 def release_memory() -> None:
     """Give what a task has freed back to the system, where the C library can, as workers live on for further tasks."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

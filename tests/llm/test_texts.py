@@ -396,7 +396,7 @@ def predict_longest(predict, model, words, t, depth):
     return predict(tuple(words[t - k : t]), words[t])
 
 
-@pytest.mark.parametrize("options", [{}, {"block_bytes": 700, "bucket_words": 40}, {"block_bytes": 900, "bucket_words": 30, "hot_count": 60}])
+@pytest.mark.parametrize("options", [{}, {"block_bytes": 700, "bucket_words": 40}, {"block_bytes": 900, "bucket_words": 30, "hot_count": 60}, {"block_bytes": 700, "bucket_words": 400, "slice_rows": 20}, {"block_bytes": 900, "bucket_words": 200, "hot_count": 60, "slice_rows": 7}])
 def test_tree_matches_dictionaries(spark, options):
     rng = random.Random(9)
     texts = [(500, None), (501, ""), (None, "a b c a b c"), (502, "a " * 3000)]
