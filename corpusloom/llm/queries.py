@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import contamination, langid, mixing, pii, secret_scan, simhash, suffix_tree, toxicity, vectors, warc
+from . import contamination, langid, mixing, phrases, pii, secret_scan, simhash, suffix_tree, toxicity, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +104,32 @@ from v join low on id = vec_id"""
 @query
 def op10_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.scores(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL["op11_phrases"] = """
+with t as (select coalesce(lang, 'und') lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') x from documents),
+pieces as (select lang, unnest(string_split_regex(x, '[.,;:!?\\x0A-\\x0D]')) s from t),
+w as (select lang, regexp_extract_all(s, '[^\\x20\\x09]+') w from pieces),
+n as (select lang, sum(len(w)) n from w group by lang),
+u as (select lang, row_number() over () piece, w from w),
+x as (select lang, piece, unnest(w) word, generate_subscripts(w, 1) spot from u),
+y as (select lang, word w1, lead(word) over o w2, lead(word, 2) over o w3, lead(word, 3) over o w4 from x window o as (partition by piece order by spot)),
+g as (select lang, w1, null w2, null w3, null w4, count(*) f from y group by lang, w1 having count(*) >= 30
+  union all select lang, w1, w2, null, null, count(*) from y where w2 is not null group by lang, w1, w2 having count(*) >= 30
+  union all select lang, w1, w2, w3, null, count(*) from y where w3 is not null group by lang, w1, w2, w3 having count(*) >= 30
+  union all select lang, w1, w2, w3, w4, count(*) from y where w4 is not null group by lang, w1, w2, w3, w4 having count(*) >= 30),
+f as (select lang, list_filter([w1, w2, w3, w4], lambda z: z is not null) p, f from g),
+c as (select lang, p, f a from f where len(p) > 1),
+cuts as (select c.lang, c.p, a, k, x.f l, y.f r, cast(cast(2000000 as hugeint) * a // (x.f + y.f) as bigint) score
+  from c join (select unnest([1, 2, 3]) k) on k < len(c.p) join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:]),
+best as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
+inside as (select lang, s p, max(a) longer from (select lang, a, unnest(case len(p) when 3 then [p[1:2], p[2:3]] else [p[1:2], p[2:3], p[3:4], p[1:3], p[2:4]] end) s
+  from c where len(p) > 2) group by lang, s),
+kept as (select b.*, array_to_string(b.p, ' ') phrase from best b left join inside i on i.lang = b.lang and i.p = b.p where longer is null or 100 * longer < 80 * a)
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) "rank", phrase, a, l, r, cast(n as bigint) n, score
+from kept join n using (lang) qualify "rank" <= 2000"""
