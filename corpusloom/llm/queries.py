@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import contamination, langid, mixing, phrases, pii, secret_scan, simhash, suffix_tree, toxicity, vectors, warc
+from . import contamination, langid, mixing, phrases, pii, secret_scan, simhash, substrings, suffix_tree, toxicity, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,13 +124,32 @@ g as (select lang, w1, null w2, null w3, null w4, count(*) f from y group by lan
   union all select lang, w1, w2, null, null, count(*) from y where w2 is not null group by lang, w1, w2 having count(*) >= 30
   union all select lang, w1, w2, w3, null, count(*) from y where w3 is not null group by lang, w1, w2, w3 having count(*) >= 30
   union all select lang, w1, w2, w3, w4, count(*) from y where w4 is not null group by lang, w1, w2, w3, w4 having count(*) >= 30),
-f as (select lang, list_filter([w1, w2, w3, w4], lambda z: z is not null) p, f from g),
+f as materialized (select lang, list_filter([w1, w2, w3, w4], lambda z: z is not null) p, concat_ws(' ', w1, w2, w3, w4) s, f from g),
 c as (select lang, p, f a from f where len(p) > 1),
-cuts as (select c.lang, c.p, a, k, x.f l, y.f r, cast(cast(2000000 as hugeint) * a // (x.f + y.f) as bigint) score
-  from c join (select unnest([1, 2, 3]) k) on k < len(c.p) join f x on x.lang = c.lang and x.p = c.p[1:k] join f y on y.lang = c.lang and y.p = c.p[k + 1:]),
+h as materialized (select *, array_to_string(p[1:k], ' ') s1, array_to_string(p[k + 1:], ' ') s2 from (select *, unnest(range(1, len(p))) k from c)),
+cuts as (select h.lang, h.p, a, k, x.f l, y.f r, cast(cast(2000000 as hugeint) * a // (x.f + y.f) as bigint) score
+  from h join f x on x.lang = h.lang and x.s = s1 join f y on y.lang = h.lang and y.s = s2),
 best as (select * from cuts qualify row_number() over (partition by lang, p order by score, k) = 1),
-inside as (select lang, s p, max(a) longer from (select lang, a, unnest(case len(p) when 3 then [p[1:2], p[2:3]] else [p[1:2], p[2:3], p[3:4], p[1:3], p[2:4]] end) s
-  from c where len(p) > 2) group by lang, s),
+inside as (select lang, sub p, max(a) longer from (select lang, a, unnest(case len(p) when 3 then [p[1:2], p[2:3]] else [p[1:2], p[2:3], p[3:4], p[1:3], p[2:4]] end) sub
+  from c where len(p) > 2) group by lang, sub),
 kept as (select b.*, array_to_string(b.p, ' ') phrase from best b left join inside i on i.lang = b.lang and i.p = b.p where longer is null or 100 * longer < 80 * a)
 select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) "rank", phrase, a, l, r, cast(n as bigint) n, score
 from kept join n using (lang) qualify "rank" <= 2000"""
+
+
+@query
+def op12_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+SQL["op12_substrings"] = """
+with d as materialized (select row_number() over () k, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) w from documents),
+s as materialized (select k, i, md5(array_to_string(w[i:i + 34], ' ')) x from (select k, w, unnest(range(1, len(w) - 33)) i from d where len(w) >= 35)),
+r as (select x from s group by x having count(*) > 1),
+hit as (select k, i from s join r using (x)),
+gone as (select distinct k, unnest(range(i, i + 35)) i from hit),
+n as (select k, list(i) g from gone group by k)
+select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(g), 0) as bigint) n_removed,
+  sha256(array_to_string(case when g is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(g, z[2])), lambda z: z[1]) end, ' ')) kept_sha256
+from d left join n using (k)"""
