@@ -85,7 +85,7 @@ def _globally(_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return pa.table({"ids": pa.array([], type=pa.binary())})
     codes = np.frombuffer(left["codes"][0].as_py(), dtype="<i4")
     places = right["pos"].to_numpy()
-    known = np.zeros(max(int(codes.max(initial=0)), int(places.max())) + 1, dtype="<i8")
+    known = np.zeros(max(int(codes.max(initial=0)), int(places.max())) + 1, dtype="<u4")
     known[places] = right["id"].to_numpy()
     return pa.table({"ids": pa.array([known[codes].tobytes()], type=pa.binary())})
 
@@ -119,7 +119,7 @@ class Packing:
         for k in (0, 2):
             a = a ^ self._mix(b, k, self.left)
             b = b ^ self._mix(a, k + 1, self.right)
-        return (a, b) if self.wide else (a << np.uint64(self.right) | b, np.zeros_like(a))
+        return (a, b) if self.wide else (a << np.uint64(self.right) | b, np.empty((len(a), 0), dtype=np.uint64))
 
     def unpack(self, high: np.ndarray, low: np.ndarray) -> np.ndarray:
         a, b = (high, low) if self.wide else (high >> np.uint64(self.right), high & np.uint64((1 << self.right) - 1))
@@ -138,7 +138,9 @@ class Packing:
         order = np.lexsort((low, high)) if self.wide else np.argsort(high, kind="stable")
         high, low = high[order], low[order]
         new = np.ones(len(high), dtype=bool)
-        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        new[1:] = high[1:] != high[:-1]
+        if self.wide:
+            new[1:] |= low[1:] != low[:-1]
         at = np.flatnonzero(new)
         return high[at], low[at], np.add.reduceat(counts[order], at)
 
@@ -184,7 +186,7 @@ class Layout:
         high = (quotient << np.uint64(drop) if drop < 64 else 0) | parts[0]
         counts = np.frombuffer(row["counts"], dtype=np.uint8).astype(np.int64)
         counts[counts == 255] = np.frombuffer(row["larger"], dtype="<i8")
-        return high, parts[1], counts
+        return high, parts[1] if self.packing.wide else np.empty((n, 0), dtype=np.uint64), counts
 
 
 def _bit_of(words: list[np.ndarray], bits: int) -> np.ndarray:
@@ -197,31 +199,38 @@ def _bit_of(words: list[np.ndarray], bits: int) -> np.ndarray:
 
 def _counted(layout: Layout, entries: int, known: tuple | None) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Phrases of a task's chunks as filters of at most about twice ``entries`` phrases each."""
-    packing, schema = layout.packing, pa.schema([("segment", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("runs", "rests", "counts", "larger"))])
+    part, packing, schema = 1 << 18, layout.packing, pa.schema([("segment", pa.int32()), ("n", pa.int32()), *((c, pa.binary()) for c in ("runs", "rests", "counts", "larger"))])
+
+    def phrases_in(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        good = ids[: len(ids) - packing.n + 1] > 0
+        for k in range(1, packing.n):
+            good &= ids[k : k + len(good)] > 0
+        at = np.flatnonzero(good)
+        if known is not None:  # a phrase can be frequent only if both that are shorter by a word are
+            table, bits = np.frombuffer(known[0].value, dtype=np.uint8), known[1]
+            for k in (0, 1):
+                bit = _bit_of([ids[at + k + j] for j in range(packing.n - 1)], bits)
+                at = at[table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0]
+        return packing.pack([ids[at + k] for k in range(packing.n)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
+        empty = (*packing.pack([np.empty(0, dtype=np.uint64)] * packing.n), np.empty(0, dtype=np.int64))
+        held, fresh, waiting = empty, [], 0
         for batch in batches:
             for blob in batch.column(0):
-                ids = np.frombuffer(blob.as_buffer(), dtype="<i8")
-                size = len(ids) - packing.n + 1
-                if size <= 0:
-                    continue
-                good = ids[:size] > 0
-                for k in range(1, packing.n):
-                    good &= ids[k : k + size] > 0
-                at = np.flatnonzero(good)
-                if known is not None:  # a phrase can be frequent only if both that are shorter by a word are
-                    table, bits = np.frombuffer(known[0].value, dtype=np.uint8), known[1]
-                    for k in (0, 1):
-                        bit = _bit_of([ids[at + k + j] for j in range(packing.n - 1)], bits)
-                        at = at[table[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0]
-                high, low = packing.pack([ids[at + k] for k in range(packing.n)])
-                more = packing.summed(high, low, np.ones(len(high), dtype=np.int64))
-                held = packing.summed(*(np.concatenate(x) for x in zip(held, more, strict=True)))
-                if len(held[0]) >= entries:
-                    yield pa.RecordBatch.from_pylist(list(layout.encode(*held)), schema=schema)
-                    held = tuple(x[:0] for x in held)
+                ids = np.frombuffer(blob.as_buffer(), dtype="<u4")
+                for i in range(0, len(ids) - packing.n + 1, part):
+                    high, low = phrases_in(ids[i : i + part + packing.n - 1])
+                    fresh.append((high, low, np.ones(len(high), dtype=np.int64)))
+                    waiting += len(high)
+                    if waiting >= entries:
+                        held = packing.summed(*(np.concatenate(x) for x in zip(held, *fresh, strict=True)))
+                        fresh, waiting = [], 0
+                        if len(held[0]) >= entries:
+                            yield pa.RecordBatch.from_pylist(list(layout.encode(*held)), schema=schema)
+                            held = empty
+        if fresh:
+            held = packing.summed(*(np.concatenate(x) for x in zip(held, *fresh, strict=True)))
         if len(held[0]):
             yield pa.RecordBatch.from_pylist(list(layout.encode(*held)), schema=schema)
         release_memory()
@@ -259,7 +268,7 @@ def _bitmap(spark: SparkSession, phrases: DataFrame, most: int) -> tuple | None:
     return spark.sparkContext.broadcast(table.tobytes()), bits
 
 
-def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text: str = "text", lang: str = "lang", chunk: int = 16 << 20, entries: int = 4 << 20, filter_bits: int = 27) -> tuple[DataFrame, DataFrame, DataFrame]:
+def frequent_phrases(docs: DataFrame, least: int = 30, longest: int = 4, text: str = "text", lang: str = "lang", chunk: int = 8 << 20, entries: int = 1 << 20, filter_bits: int = 27) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The words and phrases that occur ``least`` times or more in their language, with exact counts.
 
     Returns (words: id, lang, word, f), (phrases: p, the word ids, and f) and (totals: lang, n). A null text is empty, a

@@ -49,9 +49,9 @@ def frame(spark, rows):
     return spark.createDataFrame([(1, t, l, 7, "w") for t, l in rows], SCHEMA).repartition(3)
 
 
-@pytest.mark.parametrize(("top", "entries", "filter_bits"), [(2000, 1 << 22, 27), (5, 50, 27), (2000, 300, 16)])
+@pytest.mark.parametrize(("top", "entries", "filter_bits"), [(2000, 1 << 22, 27), (5, 50, 16)])
 def test_same_as_brute_force(spark, monkeypatch, top, entries, filter_bits):
-    rows = texts(top, 300)
+    rows = texts(top, 150)
     plain = phrases.frequent_phrases
     monkeypatch.setattr(phrases, "frequent_phrases", lambda d, least, longest, text, lang: plain(d, least, longest, text, lang, chunk=3000, entries=entries, filter_bits=filter_bits))
     got = sorted(tuple(r) for r in phrases.collocations(frame(spark, rows), top, 30).collect())
@@ -60,7 +60,7 @@ def test_same_as_brute_force(spark, monkeypatch, top, entries, filter_bits):
 
 
 def test_same_as_sql(spark):
-    rows = texts(3, 200)
+    rows = texts(3, 100)
     got = sorted(tuple(r) for r in phrases.collocations(frame(spark, rows)).collect())
     con = duckdb.connect()
     con.execute("create table documents (text varchar, lang varchar)")
@@ -69,7 +69,7 @@ def test_same_as_sql(spark):
 
 
 def test_no_phrases(spark):
-    for rows in ([], [(None, None), ("", "en")], [("a b c", "en")]):
+    for rows in ([], [(None, None), ("", "en"), ("a b c", "en")]):
         assert phrases.collocations(frame(spark, rows)).collect() == []
 
 
