@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, langid, mixing, phrases, pii, secret_scan, simhash, substrings, suffix_tree, toxicity, vectors, warc
+from . import contamination, divergence, langid, mixing, phrases, pii, secret_scan, simhash, substrings, suffix_tree, toxicity, vectors, warc
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -153,3 +153,32 @@ n as (select k, list(i) g from gone group by k)
 select doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(g), 0) as bigint) n_removed,
   sha256(array_to_string(case when g is null then w else list_transform(list_filter(list_zip(w, range(1, len(w) + 1)), lambda z: not list_contains(g, z[2])), lambda z: z[1]) end, ' ')) kept_sha256
 from d left join n using (k)"""
+
+
+@query
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+SQL["op13_divergence"] = """
+with d as materialized (select row_number() over () k, coalesce(lang, '') lang, coalesce(source, '') source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') w from documents),
+t as materialized (select k, lang, source, unnest(w) term from d),
+kept as materialized (select lang, term from t group by lang, term having count(distinct k) >= 10),
+v as (select lang, count(*) v from kept group by lang),
+g as materialized (select distinct lang, source from d),
+c as materialized (select lang, source, term, count(*) c from t semi join kept using (lang, term) group by lang, source, term),
+n as (select lang, source, sum(c) n from c group by lang, source),
+lc as (select lang, term, sum(c) c from c group by lang, term),
+ln as (select lang, sum(c) n from lc group by lang),
+q as materialized (select lang, term, 1 + cast(1000000000 as hugeint) * (c + 2) // (n + 2 * v) q from lc join ln using (lang) join v using (lang)),
+p as materialized (select g.lang, g.source, kept.term, coalesce(c.c, 0) c, 1 + cast(1000000000 as hugeint) * (coalesce(c.c, 0) + 2) // (coalesce(n.n, 0) + 2 * v) p
+  from g join kept using (lang) join v using (lang) left join n on n.lang = g.lang and n.source = g.source
+  left join c on c.lang = g.lang and c.source = g.source and c.term = kept.term),
+sums as (select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) s from p a join p b on b.lang = a.lang and b.term = a.term and b.source <> a.source group by 1, 2, 3),
+pairs as (select a.lang, a.source, b.source item, cast(coalesce(s, 0) as bigint) "value"
+  from g a join g b on b.lang = a.lang and b.source <> a.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+terms as (select lang, source, term item, cast((p - q) * (p - q) // (p + q) as bigint) "value" from p join q using (lang, term) where c > 0 and p > q)
+select lang, source, 'pair' part, item, "value", cast(row_number() over (partition by lang, source order by "value" desc, encode(item)) as int) "rank" from pairs
+union all
+select lang, source, 'term', item, "value", cast(row_number() over (partition by lang, source order by "value" desc, encode(item)) as int) "rank" from terms qualify "rank" <= 10"""
