@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def _folder_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 @query("stream_windows", "select date_trunc('hour', ts) start, event_type, count(*) n from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    """Tumbling counts in append mode; at the end of the input the last windows are open, so complete mode closes them here."""
+    """Tumbling counts of all rows that are there, in complete mode, which closes no window; append mode is ``stream_closed_windows``."""
     space = shared_folder(spark)
     counts = I.windowed_counts(_folder_stream(spark, d, "events"), "ts", "1 hour", "2 hours", ["event_type"])
 
@@ -69,12 +70,56 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 
 @query("stream_queue", "select distinct l_partkey from lineitem")
 def stream_queue(spark: SparkSession, d: str) -> DataFrame:
-    """A work queue that receives each key once."""
-    space = shared_folder(spark)
-    I.new_keys(_folder_stream(spark, d, "lineitem"), ["l_partkey"], f"{space}/out", f"{space}/c").trigger(availableNow=True).start().awaitTermination()
+    """A work queue that receives each key once: in six arrivals, each a start from the checkpoint of the one before."""
+    space, parts = shared_folder(spark), 6
+    keys = table(spark, d, "lineitem").select("l_partkey", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(parts)).alias("arrival"))
+    arrive_and_run(spark, keys, space, parts, lambda s: I.new_keys(s, ["l_partkey"]))
     return spark.read.parquet(f"{space}/out")
 
 
+def arrive_and_run(spark: SparkSession, rows: DataFrame, space: str, arrivals: int, plan: Callable[[DataFrame], DataFrame]) -> list[list[dict]]:
+    """Bring the rows of a table in one arrival after the other, and start the stream anew on each: what each start reports.
+
+    The rows are written by arrival once; a start finds its state and its place in the checkpoint folder.
+    """
+    rows.write.partitionBy("arrival").parquet(f"{space}/staged")
+    staged, kind = spark.read.parquet(f"{space}/staged"), rows.drop("arrival").schema
+    reports = []
+    with I.keyed_state(spark):
+        for k in range(arrivals):
+            staged.where(F.col("arrival") == k).drop("arrival").write.mode("append").parquet(f"{space}/in")
+            stream = spark.readStream.schema(kind).parquet(f"{space}/in")
+            reports.append(I.run(I.table_writer(plan(stream), f"{space}/out", f"{space}/c")))
+    return reports
+
+
+ARRIVALS = 8
+
+
+def late_events(spark: SparkSession, d: str) -> DataFrame:
+    """events as they arrive: by five days, but some rows of a last day one arrival later, in time for the watermark, and some of a first day two later, too late."""
+    e = table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+    late = F.when((F.col("event_id") % 5 == 0) & (day % 5 == 4), 1).when((F.col("event_id") % 7 == 0) & (day % 5 == 0), 2).otherwise(0)
+    return e.select("ts", "event_type", F.least(F.lit(ARRIVALS - 1), F.greatest(F.lit(0), F.floor(day / 5).cast("int")) + late).alias("arrival"))
+
+
+@query(
+    "stream_closed_windows",
+    """with e as (select *, date_diff('day', date '2024-01-01', ts::date) as day from events),
+a as (select ts, event_type, least(7, greatest(0, day // 5) + case when event_id % 5 = 0 and day % 5 = 4 then 1 when event_id % 7 = 0 and day % 5 = 0 then 2 else 0 end) arrival from e),
+m as (select arrival, max(ts) as latest from a group by arrival),
+w as (select a.*, (select max(latest) - interval 2 day from m where m.arrival < a.arrival) mark from a),
+n as (select date_trunc('hour', ts) as start, event_type, count(*) n from w where mark is null or date_trunc('hour', ts) + interval 1 hour > mark group by all)
+select * from n where start + interval 1 hour <= (select max(ts) - interval 2 day from events)""",
+)
+def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Tumbling counts in append mode over eight arrivals and as many restarts: late rows beyond two days are left out, windows still open are not given."""
+    space = shared_folder(spark)
+    arrive_and_run(spark, late_events(spark, d), space, ARRIVALS, lambda s: I.closed_windows(s, "ts", "1 hour", "2 days", ["event_type"]))
+    return spark.read.parquet(f"{space}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 @query("pivot_by_source", "select event_type, count(*) filter (user_id % 3 = 0) otb, count(*) filter (user_id % 3 = 1) online from events group by event_type")
 def pivot_by_source(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("user_id") % 3

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import contextlib
+import json
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +25,6 @@ def record_stream(spark: SparkSession, folder: str) -> DataFrame:
     return rows.where(F.col("raw").rlike(r'^\[Event "')).withColumn("headers", headers(F.col("raw")))
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table's file as a stream, with the table's own schema."""
-    path = f"{sf_dir}/{name}.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path)
-
-
 def distinct_within(stream: DataFrame, keys: Sequence[str], time: str, delay: str) -> DataFrame:
     """First copies of each key, with state kept for the watermark's delay only."""
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
@@ -46,19 +41,56 @@ def windowed_counts(stream: DataFrame, time: str, size: str, delay: str, keys: S
     return stream.withWatermark(time, delay).groupBy(F.window(time, size), *keys).agg(F.count("*").alias("n"))
 
 
-def new_keys(stream: DataFrame, keys: Sequence[str], sink: str, checkpoint: str) -> DataStreamWriter:
-    """Append each key to a Parquet table once: every batch is anti-joined with what is there.
+def closed_windows(stream: DataFrame, time: str, size: str, delay: str, keys: Sequence[str]) -> DataFrame:
+    """Counts by tumbling window for append mode: start, the keys, n; each window comes once, when the watermark passes its end.
 
-    A batch that is repeated after a failure finds its keys and appends nothing.
+    State holds open windows only: a window that is given out leaves it. Rows of windows already closed are left out.
     """
+    counts = windowed_counts(stream, time, size, delay, keys)
+    return counts.select(F.col("window.start").alias("start"), *keys, "n")
+
+
+def table_writer(stream: DataFrame, sink: str, checkpoint: str) -> DataStreamWriter:
+    """Append a stream to a Parquet folder, each row once over all restarts; a start takes what is there and ends."""
+    writer = stream.writeStream.outputMode("append").format("parquet").option("path", sink)
+    return writer.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+
+
+def run(writer: DataStreamWriter) -> list[dict]:
+    """Start a stream that ends by itself, wait for it, and return what its batches report."""
+    query = writer.start()
+    query.awaitTermination()
+    return [json.loads(p.json) for p in query.recentProgress]
 
-    def add(batch: DataFrame, _: int) -> None:
-        fresh = batch.select(*keys).distinct()
-        try:
-            fresh = fresh.join(batch.sparkSession.read.parquet(sink), list(keys), "left_anti")
-        except Exception as e:  # before the first batch there is no table
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(sink)
 
-    return stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
+def state_rows(reports: Sequence[dict]) -> list[int]:
+    """Rows in the state after each batch."""
+    return [sum(s["numRowsTotal"] for s in r["stateOperators"]) for r in reports]
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started within keep state on local disk and write only changes to their checkpoint folder.
+
+    So a batch costs what it brings, whatever the state has grown to.
+    """
+    wanted = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def new_keys(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each key once, when it is first met. The keys met are the stream's state: what was written is never read.
+
+    For streams started within ``keyed_state``, with a sink that appends.
+    """
+    return stream.select(*keys).dropDuplicates(list(keys))
