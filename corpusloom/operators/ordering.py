@@ -7,13 +7,44 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import stored, unused
+
+
+def numbered(df: DataFrame, order: Sequence[Column | str], entity: Sequence[str] = (), name: str = "place") -> DataFrame:
+    """Number rows from 1 in a total order, over the whole table or within entities, by ranges of that order.
+
+    Rows go to range partitions, where they are sorted and numbered; a count of each partition (a row a partition on the
+    driver) says where its numbers begin. So neither the table nor a large entity meets in one task. The ranges are
+    written once, as sampled bounds may differ from run to run. Rows that tie are numbered in any order.
+    """
+    spark = df.sparkSession
+    at, part, before, first = unused(df, "at", "part", "before", "first")
+    keys = [*entity, *order]
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id())
+    ranged = stored(ranged, "ranges").withColumn(part, F.shiftright(at, 33))
+    sizes = sorted((r[part], r["n"]) for r in ranged.groupBy(part).agg(F.count("*").alias("n")).collect())
+    starts, total = [], 0
+    for p, n in sizes:
+        starts.append((p, total))
+        total += n
+    offsets = spark.createDataFrame(starts, f"`{part}` long, `{before}` long")
+    place = F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1
+    placed = ranged.join(F.broadcast(offsets), part).withColumn(name, place).drop(at, part, before)  # a row a partition
+    if not entity:
+        return placed
+    named = dict(zip(entity, unused(placed, *(f"{e}_of" for e in entity)), strict=True))
+    starts = placed.groupBy(*(F.col(e).alias(k) for e, k in named.items())).agg(F.min(name).alias(first))
+    same = [F.col(e).eqNullSafe(F.col(k)) for e, k in named.items()]
+    return placed.join(starts, same).withColumn(name, F.col(name) - F.col(first) + 1).drop(first, *named.values())
+
 
 def peaks(df: DataFrame, entity: Sequence[str], value: str, n: int) -> DataFrame:
-    """Entities by their largest value; ties share a place. The cut comes before the ranking."""
-    best = df.groupBy(*entity).agg(F.max(value).alias("peak"))
-    floor = best.orderBy(F.desc("peak")).limit(n).agg(F.min("peak").alias("floor"))
-    kept = best.crossJoin(F.broadcast(floor)).where("peak >= floor").drop("floor")
-    return kept.withColumn("place", F.rank().over(Window.orderBy(F.desc("peak")))).where(F.col("place") <= n)
+    """Entities by their largest value; ties share a place. Places come from counts of the n largest different values."""
+    best = df.groupBy(*entity).agg(F.max(value).alias("peak")).where("peak is not null")
+    counts = best.groupBy("peak").agg(F.count("*").alias("n")).orderBy(F.desc("peak")).limit(n)
+    places = counts.withColumn("place", (F.coalesce(F.sum("n").over(Window.orderBy(F.desc("peak")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1).cast("int"))  # n rows at most
+    return best.join(F.broadcast(places.where(F.col("place") <= n).drop("n")), "peak").select(*entity, "peak", "place")
 
 
 def hash_order(keys: Sequence[Column], seed: str = "") -> Column:

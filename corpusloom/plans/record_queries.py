@@ -336,19 +336,15 @@ def top_label(spark: SparkSession, d: str) -> DataFrame:
 
 @query("source_order", "select s_suppkey, regexp_replace(s_name, '^.*#0*', '') stem, row_number() over (order by case when s_nationkey < 10 then s_nationkey else 99 end, s_suppkey) place from supplier")
 def source_order(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     lead = F.when(F.col("s_nationkey") < 10, F.col("s_nationkey")).otherwise(99)
-    place = F.row_number().over(Window.orderBy(lead, "s_suppkey"))  # a list of sources: a small dimension
-    return table(spark, d, "supplier").select("s_suppkey", F.regexp_replace("s_name", "^.*#0*", "").alias("stem"), place.alias("place"))
+    sources = table(spark, d, "supplier").select("s_suppkey", F.regexp_replace("s_name", "^.*#0*", "").alias("stem"), lead.alias("lead"))
+    return O.numbered(sources, ["lead", "s_suppkey"]).drop("lead")
 
 
 @query("metric_sort", f"with {RECORDS}, g as (select site, count(*) n, round(sum(price), 2) total from records group by site) select site, n, total, row_number() over (order by total desc, site) place from g")
 def metric_sort(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
     g = records(spark, d).groupBy("site").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
-    return g.withColumn("place", F.row_number().over(Window.orderBy(F.desc("total"), "site")))
+    return O.numbered(g, [F.desc("total"), "site"])
 
 
 @query("names_per_key", "select p_brand, array_to_string(list_sort(list_distinct(list(p_name))), ';') names from part group by p_brand")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import boards as B
@@ -12,7 +12,7 @@ from corpusloom.operators import rules as U
 
 from .bindings import EVALS, POSITIONS, RECORDS, evaluations, positions, records, table
 from .catalog import query
-from .text_queries import _BOARD, _PIECES, _n, _side_sql, _uci, boards_of
+from .text_queries import _BOARD, _PIECES, _n, _side_sql, boards_of
 
 #: Material rules in order; the first that holds names a board.
 RULES = [
@@ -83,7 +83,16 @@ def board_xrays(spark: SparkSession, d: str) -> DataFrame:
     return B.xrays(boards_of(spark, d), "k")
 
 
-@query("piece_tracks", None)
+@query("piece_tracks")
 def piece_tracks(spark: SparkSession, d: str) -> DataFrame:
-    t = _uci(spark, d).select("user_id", F.explode(B.tracks(F.col("m"))).alias("piece"))
-    return t.where("piece > 0").groupBy("user_id", "piece").agg(F.count("*").alias("moves"))
+    """How often each piece, named by the square it began on, is moved in each user's list."""
+    from corpusloom.operators.replay import START, origins
+
+    from .replay_queries import moves
+
+    def place(at: int) -> Column:
+        return (8 - F.substring("m", at + 1, 1).cast("int")) * 8 + F.instr(F.lit("abcdefgh"), F.substring("m", at, 1))
+
+    found = origins(moves(spark, d), ["user_id"], "step", place(1), place(3)).withColumnRenamed("origin", "piece")
+    found = found.where((F.col("piece") > 0) & (F.substring(F.lit(START), F.col("piece"), F.lit(1)) != "."))
+    return found.groupBy("user_id", "piece").agg(F.count("*").alias("moves"))

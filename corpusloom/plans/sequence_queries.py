@@ -200,7 +200,21 @@ select user_id, len(regexp_extract_all(symbols, 'v+[^e]{{{{1,3}}}}p')) hits from
 def repeat_pattern(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.operators import patterns as P
 
-    return P.symbol_pattern(steps(spark, d), ENTITY, "step", F.substring("label", 1, 1), "v+[^e]{1,3}p")
+    return P.line_hits(steps(spark, d), ENTITY, "step", F.substring("label", 1, 1), [P.Part("v", 1, None), P.Part("e", 1, 3, but=True), P.Part("p")])
+
+
+@query(
+    "pattern_whole_table",
+    "with s as (select string_agg(l_returnflag, '' order by l_orderkey, l_linenumber, l_returnflag) symbols from lineitem) select 'all' entity, len(regexp_extract_all(symbols, 'A+[^N]?N{2,3}R*[^A]{1,2}')) hits from s",
+)
+def pattern_whole_table(spark: SparkSession, d: str) -> DataFrame:
+    """A line with gaps over all items as one entity: numbered by ranges, matched in segments."""
+    from corpusloom.operators import ordering as O
+    from corpusloom.operators import patterns as P
+
+    rows = table(spark, d, "lineitem").select(F.lit("all").alias("entity"), "l_orderkey", "l_linenumber", "l_returnflag")
+    line = [P.Part("A", 1, None), P.Part("N", 0, 1, but=True), P.Part("N", 2, 3), P.Part("R", 0, None), P.Part("A", 1, 2, but=True)]
+    return P.line_hits(O.numbered(rows, ["l_orderkey", "l_linenumber", "l_returnflag"], ["entity"], "step"), ["entity"], "step", F.col("l_returnflag"), line)
 
 
 @query(

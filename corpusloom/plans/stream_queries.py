@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.operators.shared import shared_folder
 from corpusloom.sources import sinks
 from corpusloom.streaming import ingest as I
 
@@ -16,18 +16,10 @@ from .bindings import steps, table
 from .catalog import query
 
 
-def shared_folder(spark: SparkSession, name: str = "stream") -> str:
-    """A fresh folder below the shared checkpoint folder, a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{(base or tempfile.mkdtemp(prefix='spark-', dir='/tmp')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("stream_counts", "select event_type, count(*) n from events group by event_type")
 def stream_counts(spark: SparkSession, d: str) -> DataFrame:
     """Running counts, in complete mode, of all rows that are there."""
-    space, name = shared_folder(spark), f"counts_{uuid.uuid4().hex}"
+    space, name = shared_folder(spark, "stream"), f"counts_{uuid.uuid4().hex}"
     counts = I.running_counts(_folder_stream(spark, d, "events"), ["event_type"])
 
     def keep(batch: DataFrame, _: int) -> None:
@@ -49,7 +41,7 @@ def _folder_stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("stream_windows", "select date_trunc('hour', ts) start, event_type, count(*) n from events group by all")
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling counts of all rows that are there, in complete mode, which closes no window; append mode is ``stream_closed_windows``."""
-    space = shared_folder(spark)
+    space = shared_folder(spark, "stream")
     counts = I.windowed_counts(_folder_stream(spark, d, "events"), "ts", "1 hour", "2 hours", ["event_type"])
 
     def keep(batch: DataFrame, _: int) -> None:
@@ -62,7 +54,7 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_distinct", "select distinct user_id, event_type from events")
 def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
     """First copies of each key with bounded state."""
-    space = shared_folder(spark)
+    space = shared_folder(spark, "stream")
     first = I.distinct_within(_folder_stream(spark, d, "events"), ["user_id", "event_type"], "ts", "40 days").select("user_id", "event_type")
     first.writeStream.option("checkpointLocation", f"{space}/c").format("parquet").option("path", f"{space}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{space}/out")
@@ -71,7 +63,7 @@ def stream_distinct(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_queue", "select distinct l_partkey from lineitem")
 def stream_queue(spark: SparkSession, d: str) -> DataFrame:
     """A work queue that receives each key once: in six arrivals, each a start from the checkpoint of the one before."""
-    space, parts = shared_folder(spark), 6
+    space, parts = shared_folder(spark, "stream"), 6
     keys = table(spark, d, "lineitem").select("l_partkey", F.pmod(F.xxhash64("l_orderkey", "l_linenumber"), F.lit(parts)).alias("arrival"))
     arrive_and_run(spark, keys, space, parts, lambda s: I.new_keys(s, ["l_partkey"]))
     return spark.read.parquet(f"{space}/out")
@@ -115,7 +107,7 @@ select * from n where start + interval 1 hour <= (select max(ts) - interval 2 da
 )
 def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
     """Tumbling counts in append mode over eight arrivals and as many restarts: late rows beyond two days are left out, windows still open are not given."""
-    space = shared_folder(spark)
+    space = shared_folder(spark, "stream")
     arrive_and_run(spark, late_events(spark, d), space, ARRIVALS, lambda s: I.closed_windows(s, "ts", "1 hour", "2 days", ["event_type"]))
     return spark.read.parquet(f"{space}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 

@@ -327,23 +327,12 @@ def epd(spark: SparkSession, d: str) -> DataFrame:
     return boards_of(spark, d).select("k", B.epd(F.concat("board", F.lit(" w KQkq - 0 1"))).alias("epd"))
 
 
-_UCI = "u as (select user_id, list(chr(97 + ((event_id * 7) % 8)::int) || ((event_id * 5) % 8 + 1) || chr(97 + ((event_id * 3 + 1) % 8)::int) || ((event_id * 11 + 3) % 8 + 1) order by ts, event_id) m from events group by user_id)"
-
-
-def _uci(spark: SparkSession, d: str) -> DataFrame:
-    """events as moves in coordinates; they need not be legal, replay only carries pieces."""
-    e = F.col("event_id")
-
-    def part(a: int, b: int, c: int, f: int) -> list:
-        return [F.chr(97 + (e * a + b) % 8), ((e * c + f) % 8 + 1).cast("string")]
-
-    m = table(spark, d, "events").select("user_id", "ts", "event_id", F.concat(*part(7, 0, 5, 0), *part(3, 1, 11, 3)).alias("m"))
-    return m.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "m"))), lambda x: x["m"]).alias("m"))
-
-
-@query("replay_moves", None)
+@query("replay_moves")
 def replay_moves(spark: SparkSession, d: str) -> DataFrame:
-    return _uci(spark, d).select("user_id", F.posexplode(B.replay(F.col("m"))).alias("ply", "board"))
+    """The board after each move of each user's whole list."""
+    from .replay_queries import replayed
+
+    return replayed(spark, d).select("user_id", (F.col("step") - 1).alias("ply"), "board")
 
 
 @query("retag", f"with {_HEAD} select o_orderkey, array_to_string(list_transform(list_append(tags, 'ECO'), lambda t: t), ' ') tags from heads")

@@ -24,18 +24,23 @@ def test_runs_gapped_and_repeated(spark):
 
 
 def test_transitions_with_start_and_end(spark):
-    rows = [("g1", k, s) for k, s in enumerate(("open", "ring", "late"))] + [("g2", k, s) for k, s in enumerate(("open", "ring", "open"))]
+    visits = {"ann": "home cart pay", "bo": "home home help home cart", "cy": "help", "dee": "cart pay cart pay thanks"}
+    rows = [(who, 10 * k, page) for who, pages in visits.items() for k, page in enumerate(pages.split())]
     counted = runs.transitions(spark.createDataFrame(rows, "g string, k int, s string"), ["g"], "k", "s")
     found = {(r.src, r.dst): r.n for r in counted.collect()}
-    assert sum(found.values()) == 8
-    assert found["start", "open"] == 2 and found["open", "ring"] == 2 and found["late", "end"] == 1 and found["open", "end"] == 1
+    assert found == {
+        ("start", "home"): 2, ("start", "help"): 1, ("start", "cart"): 1, ("home", "home"): 1, ("home", "help"): 1, ("help", "home"): 1,
+        ("home", "cart"): 2, ("cart", "pay"): 3, ("pay", "cart"): 1, ("pay", "thanks"): 1, ("pay", "end"): 1, ("cart", "end"): 1, ("help", "end"): 1, ("thanks", "end"): 1,
+    }
 
 
 def test_overlap_then_collapse(spark):
-    rows = spark.createDataFrame([("g", 1, "wide"), ("g", 1, "narrow"), ("g", 2, "ring"), ("g", 3, "ring")], "g string, k int, s string")
-    rank = F.when(F.col("s") == "narrow", 1).otherwise(2)
+    worth = {"gold": 1, "silver": 2, "tin": 3}
+    told = [("x", 4, "tin gold"), ("x", 5, "gold silver tin"), ("x", 7, "tin"), ("x", 8, "tin"), ("x", 9, "gold"), ("y", 1, "silver tin"), ("y", 2, "silver")]
+    rows = spark.createDataFrame([(g, k, s) for g, k, all_ in told for s in all_.split()], "g string, k int, s string")
+    rank = F.create_map(*(F.lit(v) for kv in worth.items() for v in kv))[F.col("s")]
     kept = runs.collapse_repeats(runs.resolve_overlaps(rows, ["g"], "k", "s", rank), ["g"], "k", "s")
-    assert sorted((r.k, r.s) for r in kept.collect()) == [(1, "narrow"), (2, "ring")]
+    assert sorted(tuple(r) for r in kept.select("g", "k", "s").collect()) == [("x", 4, "gold"), ("x", 7, "tin"), ("x", 9, "gold"), ("y", 1, "silver")]
 
 
 def test_pairs_without_self_join(spark):
