@@ -129,9 +129,15 @@ def trimmed_token(token: Column, kept: str = "") -> Column:
 
 
 def inserted(text: Column, notes: Column) -> Column:
-    """A text with notes (struct of offset and note) put in at their offsets, from the right, those of one offset in their order."""
-    by_place = F.reverse(F.array_sort(notes))
-    return F.aggregate(by_place, text, lambda t, n: F.concat(F.substring(t, F.lit(1), n["offset"]), n["note"], F.substring(t, n["offset"] + 1, F.length(t))))
+    """A text with notes (struct of offset and note) put in at their offsets, those of one offset in their order: each stretch of text is copied once."""
+    by_place = F.array_sort(notes)
+
+    def stretch(n: Column, k: Column) -> Column:
+        before = F.when(k == 0, 0).otherwise(F.get(by_place, k - 1)["offset"])
+        return F.concat(F.substring(text, before + 1, n["offset"] - before), n["note"])
+
+    last = F.coalesce(F.get(by_place, F.size(by_place) - 1)["offset"], F.lit(0))
+    return F.concat(F.array_join(F.transform(by_place, stretch), ""), F.substring(text, last + 1, F.length(text)))
 
 
 def inspect(text: Column) -> dict[str, Column]:
