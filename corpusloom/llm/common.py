@@ -70,6 +70,12 @@ def stash(df: DataFrame, space: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """Names like those given that no column of the table has."""
+    taken = {c.lower() for c in df.columns}
+    return [next(n + "_" * k for k in range(len(taken) + 1) if n + "_" * k not in taken) for n in names]
+
+
 def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """A table to join with, broadcast if it is counted to have ``rows`` rows at most; else left to a shuffled join."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

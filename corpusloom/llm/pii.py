@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import fresh_names
 from .spans import characters, clear_of, masked, matches, no_spans, ordered
 
 #: The patterns of the scan, possessive and anchored where that changes no match.
@@ -112,13 +113,13 @@ def redact(docs: DataFrame, text_col: str = "text", size_col: str | None = "n_ch
 
     All columns stay; ``size_col``, if there, is the new length of changed texts. Null texts
     stay null, empty ones empty; repeated rows are changed alike; an empty table stays empty.
+    A very long text is masked as one row; other columns may have any name.
     """
-    text = F.col(text_col)
-    base = base_spans(text)
-    marked = docs.withColumn("__base", F.when(text.isNotNull(), base))
-    marked = marked.withColumn("__spans", F.when(text.isNotNull(), ordered(F.col("__base"), added_spans(text, F.col("__base"), threshold, reach))))
-    marked = marked.withColumn(text_col, F.when(text.isNotNull(), masked(text, F.col("__spans"), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
+    text, (base, spans) = F.col(text_col), fresh_names(docs, "base_spans", "all_spans")
+    marked = docs.withColumn(base, F.when(text.isNotNull(), base_spans(text)))
+    marked = marked.withColumn(spans, F.when(text.isNotNull(), ordered(F.col(base), added_spans(text, F.col(base), threshold, reach))))
+    marked = marked.withColumn(text_col, F.when(text.isNotNull(), masked(text, F.col(spans), lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
     if size_col in docs.columns:
-        changed = F.col("__spans").isNotNull() & (F.size("__spans") > 0)
+        changed = F.col(spans).isNotNull() & (F.size(spans) > 0)
         marked = marked.withColumn(size_col, F.when(changed, F.length(text_col).cast(docs.schema[size_col].dataType)).otherwise(F.col(size_col)))
     return marked.select(docs.columns)
