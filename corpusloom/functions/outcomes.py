@@ -73,6 +73,23 @@ def predicates(outcome: Column, evaluation: Column) -> Mapping[str, Column]:
     return out | {f"eval_{e}_result_{r}": (evaluation == e) & (outcome == r) for e in ("win", "draw", "loss", "decisive") for r in ("win", "draw", "loss", "decisive", "unknown")}
 
 
+def ending_counters(status: Column, source: Column, winner: Column, result: Column, pieces: Column, evaluated: Column, outcome: Column, small: int = 5) -> Mapping[str, Column]:
+    """The 39 counters of an ending: its positions and their evaluation, actual results, and both together."""
+    ok = status == "ok"
+    out = {
+        "total_positions": F.lit(True), "evaluated_positions": ok, "tablebase_eligible_positions": pieces <= small,
+        "tablebase_positions": ok & (source == "tablebase"), "stockfish_positions": ok & (source == "stockfish"),
+        "skipped_non_tablebase_positions": status == "skipped_non_tablebase", "tablebase_error_positions": status == "tablebase_error",
+        "white_wins": ok & (winner == "white"), "draws": ok & (winner == "draw"), "black_wins": ok & (winner == "black"),
+    }
+    sides = {"side_wins": "win", "side_draws": "draw", "side_losses": "loss", "symmetric_decisive": "decisive"}
+    out |= {name: evaluated == told for name, told in sides.items()} | {"unknown_positions": evaluated == "unknown"}
+    out |= {"actual_white_wins": result == "1-0", "actual_draws": result == "1/2-1/2", "actual_black_wins": result == "0-1"}
+    out |= {f"actual_{name}": outcome == told for name, told in sides.items()} | {"actual_unknown_results": outcome == "unknown"}
+    both = {"win": ("win", "draw", "loss", "unknown"), "draw": ("win", "draw", "loss", "decisive", "unknown"), "loss": ("win", "draw", "loss", "unknown"), "decisive": ("decisive", "draw", "unknown")}
+    return out | {f"tb_{e}_result_{r}": (evaluated == e) & (outcome == r) for e, results in both.items() for r in results}
+
+
 def is_sharp(best: Column, second: Column, gap: float) -> Column:
     """Whether the winning chances of the two best lines are ``gap`` or more apart, or there is one line only."""
     return second.isNull() | (F.abs(winning_chance(best) - winning_chance(second)) >= gap)

@@ -166,9 +166,14 @@ def reflow(words: Column, width: int = 80) -> Column:
     return F.aggregate(words, start, step, lambda a: a["out"])
 
 
-def drop_black_numbers(tokens_: Column) -> Column:
-    """Drop move numbers with three dots."""
-    return F.filter(tokens_, lambda t: ~t.rlike(r"^[0-9]+\.\.\.$"))
+def drop_black_numbers(words: Column) -> Column:
+    """Words without move numbers of three dots, apart from the first word that is no glyph; a move glued to one stays."""
+    first = F.array_position(F.transform(words, lambda w: ~F.startswith(w, F.lit("$"))), True) - 1
+
+    def bare(w: Column, k: Column) -> Column:
+        return F.when((k > first) & w.rlike(r"^[0-9]+\.\.\.([^.]|$)"), F.regexp_replace(w, r"^[0-9]+\.\.\.", "")).otherwise(w)
+
+    return F.filter(F.transform(words, bare), lambda w: w != "")
 
 
 def known_labels(comment: Column, known: Sequence[str]) -> Column:

@@ -42,6 +42,10 @@ def marker_equals(comment: Column, marker: str) -> Column:
     return F.trim(comment) == marker
 
 
+def marker_within(comment: Column, marker: str) -> Column:
+    return F.contains(comment, F.lit(marker))
+
+
 def mark_oversized(df: DataFrame, status: str, size: str, cap: int, new: str) -> DataFrame:
     """Pending rows above a size get another status."""
     return df.withColumn(status, F.when((F.col(status) == "pending") & (F.col(size) > cap), new).otherwise(F.col(status)))

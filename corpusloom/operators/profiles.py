@@ -35,6 +35,14 @@ def rms_distance(shared: DataFrame, group: str, item: str) -> DataFrame:
     return apart.groupBy(group).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"))
 
 
+def differences(shared: DataFrame, group: str, item: str, top: int) -> DataFrame:
+    """The ``top`` items of each group by the absolute difference of their share from the mean share, as value, mean, diff and place."""
+    grid = full_grid(shared, group, item)
+    apart = grid.join(grid.groupBy(item).agg(F.avg("pct").alias("mean")), item).select(group, item, F.col("pct").alias("value"), "mean", (F.col("pct") - F.col("mean")).alias("diff"))
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc(F.round(F.abs("diff"), 9)), item))
+    return apart.withColumn("place", place).where(F.col("place") <= top)
+
+
 def quantile(df: DataFrame, value: str, place: Callable[[int], int], bins: int = 4096) -> tuple[int, Any]:
     """The number of values and the value at a sorted place (from 1), by counts in ever finer bins.
 

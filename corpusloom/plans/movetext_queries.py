@@ -58,7 +58,7 @@ def annotated_orders(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("o_orderkey")
     tags = {
         "Event": F.concat(F.lit("e"), F.floor(k / 12).cast("string")), "Site": F.col("o_orderstatus"), "Date": F.date_format("o_orderdate", "yyyy.MM"), "Round": (k % 6).cast("string"),
-        "White": F.substring("o_clerk", -1, 1) if "o_clerk" in table(spark, d, "orders").columns else F.lit("w"), "Black": F.lit("b"), "Result": F.lit("1-0"),
+        "White": F.substring("o_orderpriority", 1, 1), "Black": F.lit("b"), "Result": F.lit("1-0"),
     }
     moves = F.when(k % 4 == 0, "1. e4 {old} e5 2. Nf3 (2. d4 {in a line}) Nc6 $1 1-0").otherwise("1. e4 {old} e5 {first}\n2. Nf3 (2. d4 (2. c4) exd4) Nc6 3. Bb5 {é} 1-0")
     o = table(spark, d, "orders").select(k.alias("o_orderkey"), *(v.alias(t) for t, v in tags.items()), moves.alias("text"))

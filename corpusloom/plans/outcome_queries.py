@@ -196,9 +196,60 @@ def p99_scale(spark: SparkSession, d: str) -> DataFrame:
     return P.p99(_shares(spark, d), "n")
 
 
-@query("opening_ending", f"with {JUDGED} select site, label, outcome, count(*) n, count(distinct record_id) games from judged where pieces >= 40 group by all")
+@query(
+    "opening_ending",
+    f"with {JUDGED}, grid as (select *, unnest(case when record_id % 3 = 0 then ['all', 'otb'] when record_id % 3 = 1 then ['all', 'online'] else ['all'] end) \"view\" from judged, (select unnest([1, 10, 40]) threshold) where pieces >= threshold) select \"view\", threshold, site, label, outcome, count(*) n, count(distinct record_id) games from grid group by all",
+)
 def opening_ending(spark: SparkSession, d: str) -> DataFrame:
-    return judged(spark, d).where("pieces >= 40").groupBy("site", "label", "outcome").agg(F.count("*").alias("n"), F.count_distinct("record_id").alias("games"))
+    """Endings of each opening by view, threshold and result: positions and games. A game is one row a cell before it is spread over the grid."""
+    k, pieces = F.col("record_id") % 3, F.col("pieces")
+    band = F.when(pieces >= 40, 40).when(pieces >= 10, 10).when(pieces >= 1, 1).otherwise(0)
+    group = F.when(k == 0, "otb").when(k == 1, "online").otherwise("unknown")
+    fine = judged(spark, d).groupBy("record_id", group.alias("g"), "site", "label", "outcome", band.alias("band")).agg(F.count("*").alias("c"))
+    grid = G.on_grid(fine, "g", "band", [1, 10, 40])
+    games = grid.groupBy("view", "threshold", "site", "label", "outcome", "record_id").agg(F.sum("c").alias("c"))
+    return games.groupBy("view", "threshold", "site", "label", "outcome").agg(F.sum("c").alias("n"), F.count("*").alias("games"))
+
+
+@query(
+    "ending_counters",
+    f"""with {JUDGED}, s as (select *, case when winner is not null then 'ok' when eval_key % 2 = 0 then 'skipped_non_tablebase' else 'tablebase_error' end status, case when pieces <= 5 then 'tablebase' else 'stockfish' end source from judged)
+select label, side, count(*) total_positions, count(*) filter (status = 'ok') evaluated_positions, count(*) filter (pieces <= 5) tablebase_eligible_positions,
+  count(*) filter (status = 'ok' and source = 'tablebase') tablebase_positions, count(*) filter (status = 'ok' and source = 'stockfish') stockfish_positions,
+  count(*) filter (status = 'skipped_non_tablebase') skipped_non_tablebase_positions, count(*) filter (status = 'tablebase_error') tablebase_error_positions,
+  count(*) filter (winner = 'white') white_wins, count(*) filter (winner = 'draw') draws, count(*) filter (winner = 'black') black_wins,
+  count(*) filter (evaluated = 'win') side_wins, count(*) filter (evaluated = 'draw') side_draws, count(*) filter (evaluated = 'loss') side_losses,
+  count(*) filter (evaluated = 'decisive') symmetric_decisive, count(*) filter (evaluated = 'unknown') unknown_positions,
+  count(*) filter (result = '1-0') actual_white_wins, count(*) filter (result = '1/2-1/2') actual_draws, count(*) filter (result = '0-1') actual_black_wins,
+  count(*) filter (outcome = 'win') actual_side_wins, count(*) filter (outcome = 'draw') actual_side_draws, count(*) filter (outcome = 'loss') actual_side_losses,
+  count(*) filter (outcome = 'decisive') actual_symmetric_decisive, count(*) filter (outcome = 'unknown') actual_unknown_results,
+  count(*) filter (evaluated = 'win' and outcome = 'win') tb_win_result_win, count(*) filter (evaluated = 'win' and outcome = 'draw') tb_win_result_draw,
+  count(*) filter (evaluated = 'win' and outcome = 'loss') tb_win_result_loss, count(*) filter (evaluated = 'win' and outcome = 'unknown') tb_win_result_unknown,
+  count(*) filter (evaluated = 'draw' and outcome = 'win') tb_draw_result_win, count(*) filter (evaluated = 'draw' and outcome = 'draw') tb_draw_result_draw,
+  count(*) filter (evaluated = 'draw' and outcome = 'loss') tb_draw_result_loss, count(*) filter (evaluated = 'draw' and outcome = 'decisive') tb_draw_result_decisive,
+  count(*) filter (evaluated = 'draw' and outcome = 'unknown') tb_draw_result_unknown, count(*) filter (evaluated = 'loss' and outcome = 'win') tb_loss_result_win,
+  count(*) filter (evaluated = 'loss' and outcome = 'draw') tb_loss_result_draw, count(*) filter (evaluated = 'loss' and outcome = 'loss') tb_loss_result_loss,
+  count(*) filter (evaluated = 'loss' and outcome = 'unknown') tb_loss_result_unknown, count(*) filter (evaluated = 'decisive' and outcome = 'decisive') tb_decisive_result_decisive,
+  count(*) filter (evaluated = 'decisive' and outcome = 'draw') tb_decisive_result_draw, count(*) filter (evaluated = 'decisive' and outcome = 'unknown') tb_decisive_result_unknown
+from s group by label, side""",
+)
+def ending_counters(spark: SparkSession, d: str) -> DataFrame:
+    """All 39 counters of each ending and its material side, in one aggregation."""
+    winner, key = F.col("winner"), F.col("eval_key")
+    status = F.when(winner.isNotNull(), "ok").when(key % 2 == 0, "skipped_non_tablebase").otherwise("tablebase_error")
+    source = F.when(F.col("pieces") <= 5, "tablebase").otherwise("stockfish")
+    counters = O.ending_counters(status, source, winner, F.col("result"), F.col("pieces"), F.col("evaluated"), F.col("outcome"))
+    return judged(spark, d).groupBy("label", "side").agg(*(F.count_if(c).alias(n) for n, c in counters.items()))
+
+
+@query(
+    "opening_differences",
+    f"with {_RMS}, w as (select g.*, mean, row_number() over (partition by eco order by round(abs(pct - mean), 9) desc, stem) place from g join m using (stem)) select eco, stem, round(pct, 6) \"value\", round(mean, 6) mean, round(pct - mean, 6) diff, place from w where place <= 14",
+)
+def opening_differences(spark: SparkSession, d: str) -> DataFrame:
+    """The fourteen endings of each opening that are furthest from the mean of openings."""
+    found = P.differences(_shares(spark, d), "eco", "stem", 14)
+    return found.select("eco", "stem", *(F.round(c, 6).alias(c) for c in ("value", "mean", "diff")), "place")
 
 
 @query("opening_views", f"with {GRID}, b as (select user_id, user_id % 5 eco from (select distinct user_id from events)) select \"view\", threshold, eco, count(*) matched_rows, count(distinct user_id) matched_entities from grid join b using (user_id) group by all")
