@@ -11,7 +11,7 @@
 4. A bucket holds whole contexts and tests them: a context is kept if its next-word counts
    diverge from what its suffix predicts by more nats than half a logarithm of its count
    for each next word. Contexts counted ``hot_count`` times or more are split by next word
-   over the buckets; what the parts hold is added up, at most total / hot_count rows.
+   over the buckets; the sums of the parts, at most total / hot_count rows, are tested alike.
 5. A word is scored in the longest kept context that precedes it: its count there, smoothed
    by the probability that the next shorter context gives. Levels end with the first at
    which no context is kept.
@@ -40,7 +40,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCK = "block string, docs array<long>, kinds binary, sizes binary, tokens binary, vocab binary, train binary, n_vocab long, n_train long"
 ASK = "bucket long, block string, contexts binary, pairs binary, known binary, next binary, counts binary, prior binary"
-ANSWER = "block string, level int, bucket long, counts binary, left binary, whole binary, context long, rest long, events long, whole_part long, kept long"
+ANSWER = "block string, level int, bucket long, counts binary, left binary, whole binary, context long, rest long, events long, whole_part long, kept long, gain double, covered double"
 
 
 class _Numbers(dict):
@@ -124,7 +124,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str, folds: int, held_fold
 
 
 def _record(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
     fields = [c.split() for c in schema.split(", ")]
     columns = zip(*rows, strict=True) if rows else [[] for _ in fields]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
@@ -162,8 +162,8 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
             counts = np.zeros(len(words), dtype=np.int64)
             np.add.at(counts, at, np.concatenate([unpack(x) for x in group["train"].to_pylist()]))
             ends = np.cumsum([len(p) for p in asked]).tolist()
-            out = [(b, 0, bucket, pack(counts[at[e - len(p) : e]]), None, None, None, None, None, None, None) for b, p, e in zip(group["block"].to_pylist(), asked, ends, strict=True)]
-            out.append((None, 0, bucket, None, None, None, None, None, int((counts > 0).sum()), None, None))
+            out = [(b, 0, bucket, pack(counts[at[e - len(p) : e]]), *[None] * 9) for b, p, e in zip(group["block"].to_pylist(), asked, ends, strict=True)]
+            out.append((None, 0, bucket, None, None, None, None, None, int((counts > 0).sum()), *[None] * 4))
             yield _record(out, ANSWER)
 
     rows = blocks.select("block", "vocab", "train").mapInArrow(ask, "bucket long, block string, vocab binary, train binary")
@@ -241,10 +241,11 @@ class Walk:
         self.run = run ^ (run >> np.uint64(29))
 
 
-def tested(context: np.ndarray, word: np.ndarray, counts: np.ndarray, prior: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Of rows (context, next word, count, suffix's prediction), repeats added: (contexts, places of rows' contexts, counts of rows, rest, events, whole, kept).
+def summed(context: np.ndarray, word: np.ndarray, counts: np.ndarray, prior: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Of rows (context, next word, count, suffix's prediction), repeats added: (contexts, places of rows' contexts, counts of rows, rest, events, whole, gain, covered).
 
-    Counts under ``least`` are left to the suffix as the rest of the context.
+    Counts under ``least`` are left to the suffix as the rest of the context. The last two, sums of c log(c / p) and of
+    p over the words seen, add up over parts of a context as the others do.
     """
     order = ordered_pairs(context, word)
     context, word = context[order], word[order]
@@ -260,13 +261,24 @@ def tested(context: np.ndarray, word: np.ndarray, counts: np.ndarray, prior: np.
     p = 2.0 ** (-prior[order][first] / STEPS)
     seen, events = np.bincount(owner, weights=c, minlength=n), np.bincount(owner[c > 0], minlength=n)
     covered, rest = np.bincount(owner[c > 0], weights=p[c > 0], minlength=n), whole - seen
-    with np.errstate(divide="ignore", invalid="ignore"):
-        gain = np.bincount(owner, weights=np.where(c > 0, c * np.log(np.maximum(c, 1) / whole[owner] / p), 0), minlength=n)
-        gain += np.where(rest > 0, rest * np.log(rest / np.maximum(whole, 1) / np.maximum(1 - covered, 1e-12)), 0)
-    kept = (events > 0) & (gain > 0.5 * events * np.log(np.maximum(whole, 2)))
+    gain = np.bincount(owner, weights=c * np.log(np.maximum(c, 1) / p), minlength=n)
     row_pair, row_owner = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
     row_pair[order], row_owner[order] = c[np.cumsum(pair) - 1], np.cumsum(new) - 1
-    return context[new], row_owner, row_pair, rest.astype(np.int64), events, whole.astype(np.int64), kept
+    return context[new], row_owner, row_pair, rest.astype(np.int64), events, whole.astype(np.int64), gain, covered
+
+
+def diverges(rest: np.ndarray, events: np.ndarray, whole: np.ndarray, gain: np.ndarray, covered: np.ndarray) -> np.ndarray:
+    """Which contexts tell more nats beyond their suffix than half a logarithm of their count for each next word."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        told = gain - (whole - rest) * np.log(np.maximum(whole, 1))
+        told = told + np.where(rest > 0, rest * np.log(rest / np.maximum(whole, 1) / np.maximum(1 - covered, 1e-12)), 0)
+    return (events > 0) & (told > 0.5 * events * np.log(np.maximum(whole, 2)))
+
+
+def tested(context: np.ndarray, word: np.ndarray, counts: np.ndarray, prior: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """As ``summed``, with the contexts that are kept in place of the sums."""
+    *told, gain, covered = summed(context, word, counts, prior, least)
+    return *told, diverges(*told[3:], gain, covered)
 
 
 def _slice_bounds(contexts: np.ndarray, sizes: np.ndarray, rows: int) -> np.ndarray:
@@ -315,7 +327,8 @@ def context_counts(joined: DataFrame, level: int, walk, hots: list, hot_count: i
                 n = np.concatenate([x[a:b] for x, (a, b) in zip(sizes, spans, strict=True)])
                 context, often = (np.repeat(np.concatenate([x[a:b] for x, (a, b) in zip(v, spans, strict=True)]), n) for v in (contexts, known))
                 w, c, p = (np.concatenate([x[a:b] for x, (a, b) in zip(v, rows, strict=True)]) for v in (word, counts, prior))
-                codes, owner, c, rest, events, whole, kept = tested(context, w.view(np.uint64), c, p, least)
+                codes, owner, c, rest, events, whole, gain, covered = summed(context, w.view(np.uint64), c, p, least)
+                kept = diverges(rest, events, whole, gain, covered)
                 split = np.zeros(len(codes), dtype=bool)
                 split[owner] = often >= hot_count
                 kept &= ~split
@@ -326,11 +339,12 @@ def context_counts(joined: DataFrame, level: int, walk, hots: list, hot_count: i
                     c_of[k][x:y] = c[q : q + y - x]
                     left_of[k][a:b], whole_of[k][a:b] = left[own[g : g + b - a]], weight[own[g : g + b - a]]
                     g, q = g + b - a, q + y - x
-                out += [(None, level, bucket, None, None, None, k, r, e, m, None) for k, r, e, m in zip(codes[split].view(np.int64).tolist(), rest[split].tolist(), events[split].tolist(), whole[split].tolist(), strict=True)]
+                parts = (x[split].tolist() for x in (codes.view(np.int64), rest, events, whole, gain, covered))
+                out += [(None, level, bucket, None, None, None, k, r, e, m, None, g_, v) for k, r, e, m, g_, v in zip(*parts, strict=True)]
                 n_kept += int(kept.sum())
             del word, counts, prior
-            out += [(block, level, bucket, pack(c), pack(a), pack(b), None, None, None, None, None) for block, c, a, b in zip(group["block"].to_pylist(), c_of, left_of, whole_of, strict=True)]
-            out.append((None, level, bucket, None, None, None, None, None, None, None, n_kept))
+            out += [(block, level, bucket, pack(c), pack(a), pack(b), *[None] * 7) for block, c, a, b in zip(group["block"].to_pylist(), c_of, left_of, whole_of, strict=True)]
+            out.append((None, level, bucket, *[None] * 7, n_kept, None, None))
             yield _record(out, ANSWER)
             release_memory()
 
@@ -341,15 +355,17 @@ def context_counts(joined: DataFrame, level: int, walk, hots: list, hot_count: i
 def split_contexts(answers: DataFrame, known: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(contexts, left, whole) of the contexts that a level split, sorted; no more than training words / hot_count.
 
-    A context counted that often is kept: its counts outweigh any suffix's prediction.
+    The sums of their parts are tested as those of other contexts are; whole is 0 where the suffix does as well.
     """
-    parts = answers.where("block is null and context is not null").groupBy("context").agg(F.sum("rest").alias("rest"), F.sum("events").alias("events"), F.sum("whole_part").alias("whole"))
+    names = ("rest", "events", "whole_part", "gain", "covered")
+    parts = answers.where("block is null and context is not null").groupBy("context").agg(*(F.sum(c).alias(c) for c in names))
     rows = parts.collect() if known else []
     code = np.array([r["context"] for r in rows], dtype=np.int64).view(np.uint64)
-    order = np.argsort(code)
-    left = np.array([max(2, r["rest"] + r["events"]) for r in rows], dtype=np.int64)
-    whole = np.array([r["whole"] + r["events"] for r in rows], dtype=np.int64)
-    return code[order], left[order], whole[order]
+    rest, events, whole = (np.array([r[c] for r in rows], dtype=np.int64) for c in names[:3])
+    gain, covered = (np.array([r[c] for r in rows], dtype=np.float64) for c in names[3:])
+    left = np.where((events == 1) & (rest == 0), 1, np.maximum(rest + events, 2))
+    weight, order = (whole + events) * diverges(rest, events, whole, gain, covered), np.argsort(code)
+    return code[order], left[order], weight[order]
 
 
 def with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:

@@ -340,7 +340,7 @@ def test_base_scores_match_python(spark, block):
     assert suffix_tree.scores(docs_of(spark, [])).count() == 0
 
 
-def reference_tree(texts, depth=3, least=2, hot=10**9):
+def reference_tree(texts, depth=3, least=2):
     """The suffix tree by dictionaries: log10 probabilities of texts (id, words)."""
     c, n, _ = reference_scores(texts)
     docs = [((t or "").encode().lower().split() + [None], i is not None and zlib.crc32(str(i).encode()) % 5 != 1) for i, t in texts]
@@ -381,10 +381,7 @@ def reference_tree(texts, depth=3, least=2, hot=10**9):
             if rest:
                 gain += rest * math.log(rest / whole / max(1 - sum(prior.values()), 1e-12))
             fixed = events == 1 and rest == 0
-            if runs[s] >= hot:  # split contexts are always kept
-                model[s] = (True, max(2, rest + events), whole + events, True)
-            else:
-                model[s] = (events > 0 and gain > 0.5 * events * math.log(max(whole, 2)), 1 if fixed else max(2, rest + events), whole + events, not fixed)
+            model[s] = (events > 0 and gain > 0.5 * events * math.log(max(whole, 2)), 1 if fixed else max(2, rest + events), whole + events, not fixed)
     return [sum(math.log10(predict_longest(predict, model, words, t, depth)) for t in range(len(words))) for words, _ in docs], model
 
 
@@ -410,7 +407,7 @@ def test_tree_matches_dictionaries(spark, options):
     got = collections.defaultdict(list)
     for r in suffix_tree.scores(docs_of(spark, texts), **options).collect():
         got[r.doc_id].append(r)
-    want, model = reference_tree(texts, hot=options.get("hot_count", 10**9))
+    want, model = reference_tree(texts)
     kept = {k: sum(len(s) == k and m[0] for s, m in model.items()) for k in (1, 2, 3)}
     assert all(kept.values()) and sum(map(len, got.values())) == len(texts)
     for (i, _), score in zip(texts, want, strict=True):
