@@ -87,6 +87,12 @@ def drop_stash(spark: SparkSession, space: str, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let go of plans that have ended, so that Spark's cleaner deletes their shuffle files now, not when the driver's memory fills."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release_memory() -> None:
     """Give what a task has freed back to the system, where the C library can, as workers live on for further tasks."""
     gc.collect()

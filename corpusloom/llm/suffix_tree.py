@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release_memory, sorted_groups, stash, workspace
+from .common import release_memory, release_shuffles, sorted_groups, stash, workspace
 
 #: The end of a text, as a token; no word holds a space.
 END = b" "
@@ -388,7 +388,7 @@ def scores(
     least: int = 2,
     hot_count: int = 1 << 22,
     block_bytes: int = 8 << 20,
-    bucket_words: int = 1 << 20,
+    bucket_words: int = 1 << 19,
     slice_rows: int = 1 << 18,
 ) -> DataFrame:
     """Score every whole text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -418,6 +418,7 @@ def scores(
         answers.append(stash(context_counts(with_answers(blocks, answers), level, walk, list(hots), hot_count, least, buckets, slice_rows), space, f"answers{level}"))
         kept = answers[-1].agg(F.sum("kept").alias("kept"), F.count("context").alias("split")).first()
         hots.append(split_contexts(answers[-1], kept["split"]))
+        release_shuffles(docs.sparkSession)
         if not kept["kept"] and not kept["split"]:
             break
 
