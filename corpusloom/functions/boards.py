@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bitboards import occupied
+
 #: What pieces are worth.
 POWER = {"P": 1, "N": 3, "B": 3, "R": 5, "Q": 9}
 START = "rnbqkbnrpppppppp................................PPPPPPPPRNBQKBNR"
@@ -184,25 +186,38 @@ def geometry(spark: SparkSession) -> DataFrame:
     return pair.select("from", "to", kind.alias("kind"), distance.alias("distance"), dr.alias("up"), between.alias("between")).where("kind is not null")
 
 
+def movers(spark: SparkSession) -> DataFrame:
+    """(mover, from, moves): for each kind of piece and square the squares it reaches, with those between as bits; a fixed small table.
+
+    A mover is a capital letter, or p for black pawns.
+    """
+    g = geometry(spark)
+    near, line = F.col("distance") == 1, F.col("kind")
+    reaches = {
+        "R": line == "orthogonal", "B": line == "diagonal", "Q": line.isin("orthogonal", "diagonal"), "N": line == "knight", "K": near & (line != "knight"),
+        "P": near & (line == "diagonal") & (F.col("up") == 1), "p": near & (line == "diagonal") & (F.col("up") == -1),
+    }
+    mover = F.array_compact(F.array(*(F.when(c, F.lit(m)) for m, c in reaches.items())))
+    mask = F.aggregate("between", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k - 1)))
+    rows = g.select("from", "to", mask.alias("between"), F.explode(mover).alias("mover"))
+    return rows.groupBy("mover", "from").agg(F.collect_list(F.struct("to", "between")).alias("moves"))
+
+
 def attacks(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
     """(key, piece, from, target, to) of all attacks of pieces on occupied squares.
 
-    Pieces come from one generator; the geometry is a fixed table and is broadcast.
+    Each piece meets one row of the fixed table of moves, by its kind and square; what it reaches is told from the
+    board's occupied squares as bits, before rows are made.
     """
-    spark = boards.sparkSession
-    places = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.substring(F.col(board), k, F.lit(1)) != ".")
-    pieces = boards.select(key, board, F.explode(places).alias("from")).withColumn("piece", F.substring(F.col(board), F.col("from"), F.lit(1)))
-    p = F.upper("piece")
-    lines = pieces.join(F.broadcast(geometry(spark)), "from")
-    forward = F.when(F.col("piece") == "P", 1).otherwise(-1)
-    reaches = (
-        ((F.col("kind") == "orthogonal") & (p.isin("R", "Q") | ((p == "K") & (F.col("distance") == 1))))
-        | ((F.col("kind") == "diagonal") & (p.isin("B", "Q") | ((p == "K") & (F.col("distance") == 1)) | ((p == "P") & (F.col("distance") == 1) & (F.col("up") == forward))))
-        | ((F.col("kind") == "knight") & (p == "N"))
-    )
-    target = F.substring(F.col(board), F.col("to"), F.lit(1))
-    free = F.forall("between", lambda k: F.substring(F.col(board), k, F.lit(1)) == ".")
-    return lines.where(reaches & (target != ".") & free).select(key, "piece", "from", target.alias("target"), "to")
+    full = occupied(F.col(board))
+    places = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.getbit(F.col("full"), k - 1) == 1)
+    pieces = boards.select(key, board, full.alias("full")).select(key, board, "full", F.explode(places).alias("from"))
+    pieces = pieces.withColumn("piece", F.substring(F.col(board), F.col("from"), F.lit(1)))
+    mover = F.when(F.col("piece") == "p", "p").otherwise(F.upper("piece"))
+    lines = pieces.withColumn("mover", mover).join(F.broadcast(movers(boards.sparkSession)), ["mover", "from"])
+    free = F.filter("moves", lambda m: (F.getbit(F.col("full"), m["to"] - 1) == 1) & (F.col("full").bitwiseAND(m["between"]) == 0))
+    hits = lines.select(key, board, "piece", "from", F.explode(free).alias("m"))
+    return hits.select(key, "piece", "from", F.substring(F.col(board), F.col("m.to"), F.lit(1)).alias("target"), F.col("m.to").alias("to"))
 
 
 def pins(boards: DataFrame, key: str, board: str = "board") -> DataFrame:

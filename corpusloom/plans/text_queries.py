@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusloom.functions import bitboards as BB
 from corpusloom.functions import boards as B
 from corpusloom.functions import text as T
 from corpusloom.operators import quality as Q
@@ -244,14 +245,20 @@ def boards_of(spark: SparkSession, d: str) -> DataFrame:
     return maps.select("k", board.alias("board"))
 
 
+def bits_of(spark: SparkSession, d: str) -> DataFrame:
+    """The boards of ``boards_of`` as bits by piece. Rows move once: by the board, whose squares and pieces then meet where they are."""
+    l = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), (F.col("l_partkey") % 64 + 1).cast("int").alias("sq"), (F.col("l_suppkey") % 12 + 1).cast("int").alias("n"))
+    cells = l.repartition("k").groupBy("k", "sq").agg(F.max(F.substring(F.lit("KQRBNPkqrbnp"), F.col("n"), F.lit(1))).alias("p"))
+    return BB.of_pieces(cells, "k", F.col("sq"), F.col("p"))
+
+
 def _n(pieces: str) -> str:
     return f"len(regexp_extract_all(board, '[{pieces}]'))"
 
 
 @query("piece_counts", f"with {_BOARD} select k, {_n('Qq')} queens, {_n('A-Z')} white, {_n('a-z')} black, {_n('NBnb')} minors, {_n('QRBNPqrbnp')} non_king from boards")
 def piece_counts(spark: SparkSession, d: str) -> DataFrame:
-    b = F.col("board")
-    return boards_of(spark, d).select("k", *(B.count_of(b, p).alias(n) for n, p in {"queens": "Qq", "white": "A-Z", "black": "a-z", "minors": "NBnb", "non_king": "QRBNPqrbnp"}.items()))
+    return bits_of(spark, d).select("k", *(BB.count_of(p).alias(n) for n, p in {"queens": "Qq", "white": "A-Z", "black": "a-z", "minors": "NBnb", "non_king": "QRBNPqrbnp"}.items()))
 
 
 def _side_sql(pieces: str) -> str:
@@ -261,7 +268,7 @@ def _side_sql(pieces: str) -> str:
 
 @query("signature", f"with {_BOARD} select k, {_side_sql('QRBNP')} || 'v' || {_side_sql('qrbnp')} signature from boards")
 def signature(spark: SparkSession, d: str) -> DataFrame:
-    return boards_of(spark, d).select("k", B.signature(F.col("board")).alias("signature"))
+    return bits_of(spark, d).select("k", BB.signature().alias("signature"))
 
 
 _PAWNS = "list_filter(range(1, 65), lambda i: substr(board, i, 1) = '{}')"
@@ -271,17 +278,15 @@ _FILES = "list_transform(" + _PAWNS.format("P") + ", lambda j: (j - 1) % 8)"
 @query(
     "board_filters",
     f"""with {_BOARD}, f as (select k, board, {_FILES} files from boards)
-select k, substr(board, 53, 1) e2, {' + '.join(f"{w} * {_n(p)}" for p, w in B.POWER.items())} - ({' + '.join(f"{w} * {_n(p.lower())}" for p, w in B.POWER.items())}) balance,
+select k, substr(board, 53, 1) e2, {_n('P')} + 3 * {_n('N')} + 3 * {_n('B')} + 5 * {_n('R')} + 9 * {_n('Q')} - ({_n('p')} + 3 * {_n('n')} + 3 * {_n('b')} + 5 * {_n('r')} + 9 * {_n('q')}) balance,
   len(list_filter(files, lambda x: len(list_filter(files, lambda y: y = x)) > 1)) doubled, len(list_filter(files, lambda x: not list_contains(files, x - 1) and not list_contains(files, x + 1))) isolated,
   len(list_filter(files, lambda x: list_contains(files, x - 1) or list_contains(files, x + 1))) connected,
   len(list_filter(range(1, 65), lambda i: lower(substr(board, i, 1)) = 'b' and ((i - 1) % 8 + (i - 1) // 8) % 2 = 0)) light_bishops from f""",
 )
 def board_filters(spark: SparkSession, d: str) -> DataFrame:
-    b = F.col("board")
-    light = F.size(F.filter(B.squares_of(b, "Bb"), B.is_light))
-    return boards_of(spark, d).select(
-        "k", B.piece_on(b, "e2").alias("e2"), (B.power(b, True) - B.power(b, False)).alias("balance"), B.doubled_pawns(b).alias("doubled"),
-        B.isolated_pawns(b).alias("isolated"), B.connected_pawns(b).alias("connected"), light.alias("light_bishops"),
+    return bits_of(spark, d).select(
+        "k", BB.piece_on(B.square("e2")).alias("e2"), (BB.power(True) - BB.power(False)).alias("balance"), BB.doubled_pawns().alias("doubled"),
+        BB.isolated_pawns().alias("isolated"), BB.connected_pawns().alias("connected"), BB.light_bishops().alias("light_bishops"),
     )
 
 
