@@ -58,12 +58,13 @@ def markup(text: Column, gap: str = " ") -> Column:
     A percent sign starts a line comment at a line's start. ``gap`` takes the place of what
     goes. Texts without markup cost one search.
     """
-    pieces = F.filter(F.regexp_extract_all(text, F.lit(r"\A%|\n%?|[{}();]|[^{}();\n]+"), F.lit(0)), lambda p: p != "")
+    lines = F.concat(F.lit("\n"), text)  # so that a percent sign at the start stands behind a line's end, too
+    pieces = F.filter(F.regexp_extract_all(lines, F.lit(r"\n%?|[{}();]|[^{}();\n]+"), F.lit(0)), lambda p: p != "")
 
     def step(a: Column, p: Column) -> Column:
         line, brace, inside = a["line"], a["brace"], a["depth"] > 0
         plain = ~line & ~brace & ~inside
-        percent = p.isin("%", "\n%")
+        percent = p == "\n%"
         opens_line = plain & ((p == ";") | percent) | line & (p == "\n%")
         opens_brace = ~line & ~brace & (p == "{")
         goes = (p == "{") | (p == "(") | (p == ";") | percent
@@ -80,11 +81,17 @@ def markup(text: Column, gap: str = " ") -> Column:
     def state(out: Column) -> Column:
         return F.struct(F.lit(False).alias("line"), F.lit(False).alias("brace"), F.lit(0).alias("depth"), out.alias("out"), F.lit(0).alias("comments"), F.lit(0).alias("variations"), F.lit(0).alias("lines"))
 
-    return F.when(text.rlike(r"[{(;%]"), F.aggregate(pieces, state(F.lit("")), step)).otherwise(state(text))
+    return F.when(text.rlike(r"[{(;%]"), F.aggregate(pieces, state(F.lit("")), step, lambda a: a.withField("out", F.substring(a["out"], F.lit(2), F.length(a["out"]))))).otherwise(state(text))
+
+
+#: Markup that a search from the left takes away whole: comments, line comments, variations with no markup inside.
+FLAT = r"\{[^}]*\}|;[^\n]*\n?|\([^(){};]*\)"
 
 
 def strip_markup(text: Column, gap: str = " ") -> Column:
-    return markup(text, gap)["out"]
+    """A movetext without markup. One replacement does it unless a bracket is left or a line begins with a percent sign; then ``markup`` folds."""
+    flat = F.regexp_replace(text, FLAT, gap)
+    return F.when(~text.rlike(r"[{(;%]"), text).when(~text.rlike(r"(\A|\n)%") & ~flat.rlike("[{(]"), flat).otherwise(markup(text, gap)["out"])
 
 
 def move_tokens(text: Column) -> Column:

@@ -88,3 +88,17 @@ def test_annotation_by_nobody(spark):
     none = spark.createDataFrame([], "v string, game string, text string")
     assert [r.text for r in M.annotate(records, none, ["game"], "id", "text", "v").collect()] == ["e4"]
     assert M.annotate(records, none, ["game"], "id", "text", "v", unmatched=False).collect() == []
+
+
+def test_flat_markup_goes_as_the_fold_takes_it(spark):
+    from pyspark.sql import functions as F
+
+    from corpusloom.functions import text as T
+
+    rng = random.Random(12)
+    parts = ["{", "}", "(", ")", ";", "\n", "%", "a", "b c", "\n%", "{x}", "(y)", ";z\n", "{(}", "(;)", "{%\n}", ")"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(1500)] + [None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", *(x.alias(n) for n, x in (("flat", T.strip_markup(F.col("t"))), ("fold", T.markup(F.col("t"))["out"]), ("bare", T.strip_markup(F.col("t"), "")), ("bare_fold", T.markup(F.col("t"), "")["out"])))).collect()
+    for r in rows:
+        assert (r.flat, r.bare) == (r.fold, r.bare_fold), r.t
