@@ -65,10 +65,3 @@ def matched_rules(df: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def keep_known(df: DataFrame, label: str, known: DataFrame, known_label: str) -> DataFrame:
     return df.join(known.select(F.col(known_label).alias(label)).distinct(), label, "left_semi")
-
-
-def require(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    missing = [c for c in columns if c not in df.columns]
-    if missing:
-        raise ValueError(f"columns are missing: {', '.join(missing)}")
-    return df

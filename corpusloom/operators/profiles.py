@@ -23,7 +23,7 @@ def full_grid(shared: DataFrame, group: str, item: str) -> DataFrame:
     """Shares over all groups and items, 0 where a group lacks an item; both are small dimensions."""
     groups = shared.select(group).distinct()
     items = shared.select(item).distinct()
-    grid = groups.crossJoin(F.broadcast(items))
+    grid = groups.crossJoin(items)
     return grid.join(shared.select(group, item, "pct"), [group, item], "left").fillna(0.0, ["pct"])
 
 
@@ -31,7 +31,7 @@ def rms_distance(shared: DataFrame, group: str, item: str) -> DataFrame:
     """Root mean square distance of each group's profile from the mean profile."""
     grid = full_grid(shared, group, item)
     mean = grid.groupBy(item).agg(F.avg("pct").alias("mean"))
-    apart = grid.join(F.broadcast(mean), item).withColumn("d", F.col("pct") - F.col("mean"))
+    apart = grid.join(mean, item).withColumn("d", F.col("pct") - F.col("mean"))
     return apart.groupBy(group).agg(F.sqrt(F.avg(F.col("d") * F.col("d"))).alias("rms"))
 
 

@@ -74,12 +74,6 @@ def next_step(df: DataFrame, entity: Sequence[str], step: str, value: str, name:
     return df.withColumn(name, F.lead(value).over(Window.partitionBy(*entity).orderBy(step)))
 
 
-def label_sequence(df: DataFrame, entity: Sequence[str], step: str, label: str) -> DataFrame:
-    """Each entity's labels in step order, as an array."""
-    rows = F.array_sort(F.collect_list(F.struct(step, label)))
-    return df.groupBy(*entity).agg(F.transform(rows, lambda r: r[label]).alias("labels"))
-
-
 def transitions(df: DataFrame, entity: Sequence[str], step: str, label: str) -> DataFrame:
     """Counts of label pairs at neighbouring steps, with a start and an end node for every entity.
 

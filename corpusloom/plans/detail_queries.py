@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import names as N
 from corpusloom.functions import text as T
+from corpusloom.operators import exports as X
 from corpusloom.operators import filters as C
 from corpusloom.operators import joins as J
 from corpusloom.operators import ordering as O
@@ -158,3 +159,22 @@ def two_quotas(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"click": 300, "view": 500, "purchase": 200, "error": 100, "signup": 250}
     key = O.hash_order([F.col("event_id")], "two")
     return two_quota_sample(e.select("event_id", "event_type", "source"), "event_type", "source", kinds, {"0": 150, "1": 400, "2": 300}, key)
+
+
+@query("searched_customers", "select c_custkey from customer where (contains(lower(c_name), '7') or contains(lower(c_mktsegment), '7')) and (contains(lower(c_name), 'mach') or contains(lower(c_mktsegment), 'mach')) and contains(lower(c_name), 'customer') and contains(lower(c_name), '1')")
+def searched_customers(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that match several queries, one of them on either of two fields, token by token."""
+    c = table(spark, d, "customer")
+    found = C.grep(c, {("c_name", "c_mktsegment"): "7", ("c_mktsegment", "c_name"): "MACH", "c_name": "1 Customer"})
+    return found.select("c_custkey")
+
+
+@query("scored_parts", "select p_partkey, greatest(-1000, least(1000, (p_size - 25) * 40)) score, case when p_size = 25 then 'draw' when p_size > 25 then 'white' else 'black' end winner from part")
+def scored_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Keys scored by a function over frames that the caller hands in."""
+
+    def scorer(frame):  # noqa: ANN001, ANN202
+        score = ((frame["p_size"] - 25) * 40).clip(-1000, 1000)
+        return frame.assign(score=score, winner=score.map(lambda x: "draw" if x == 0 else "white" if x > 0 else "black"))[["p_partkey", "score", "winner"]]
+
+    return X.score_pending(table(spark, d, "part").select("p_partkey", "p_size"), scorer, "p_partkey long, score long, winner string")

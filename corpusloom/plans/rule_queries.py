@@ -9,6 +9,7 @@ from corpusloom.functions import boards as B
 from corpusloom.functions import outcomes as O
 from corpusloom.operators import exports as X
 from corpusloom.operators import material as U
+from corpusloom.operators import ordering as S
 
 from .bindings import EVALS, POSITIONS, RECORDS, evaluations, positions, records, table
 from .catalog import query
@@ -92,7 +93,7 @@ def opening_label(spark: SparkSession, d: str) -> DataFrame:
 @query(
     "training_rows",
     f"""with {_BOARD} select k, {_side_sql('QRBNP')} || 'v' || {_side_sql('qrbnp')} material, case when abs(b) <= 2 then 'draw' when b > 0 then 'white' else 'black' end expected, abs(b) >= 6 "sharp"
-from (select *, {' + '.join(f"{w} * {_n(p)}" for p, w in B.POWER.items())} - ({' + '.join(f"{w} * {_n(p.lower())}" for p, w in B.POWER.items())}) b from boards)""",
+from (select *, {_n('P')} + 3 * {_n('N')} + 3 * {_n('B')} + 5 * {_n('R')} + 9 * {_n('Q')} - ({_n('p')} + 3 * {_n('n')} + 3 * {_n('b')} + 5 * {_n('r')} + 9 * {_n('q')}) b from boards)""",
 )
 def training_rows(spark: SparkSession, d: str) -> DataFrame:
     b = F.col("board")
@@ -100,6 +101,18 @@ def training_rows(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("k", B.signature(b).alias("material"), O.winner_from_score(F.col("b"), 2).alias("expected"), (F.abs("b") >= 6).alias("sharp"))
 
 
+@query(
+    "training_quota",
+    f"""with {_BOARD}, r as (select k, case when abs(b) <= 2 then 'draw' when b > 0 then 'white' else 'black' end expected from
+  (select *, {_n('P')} + 3 * {_n('N')} + 3 * {_n('B')} + 5 * {_n('R')} + 9 * {_n('Q')} - ({_n('p')} + 3 * {_n('n')} + 3 * {_n('b')} + 5 * {_n('r')} + 9 * {_n('q')}) b from boards))
+select k, expected from (select *, row_number() over (partition by expected order by md5('train|' || k)) place from r) where place <= case expected when 'draw' then 50 else 400 end""",
+)
+def training_quota(spark: SparkSession, d: str) -> DataFrame:
+    """Training rows up to a quota for each expected result, in hash order."""
+    rows = training_rows(spark, d).select("k", "expected")
+    return S.quota_sample(rows, "expected", {"white": 400, "black": 400, "draw": 50}, S.hash_order([F.col("k")], "train")).select("k", "expected")
+
+
 @query("board_xrays", f"""with {_PIECES}, line as (select a.k, a.p piece, a.sq a, b.sq b, b.p target, m.p thr, count(*) over (partition by a.k, a.sq, b.sq) n, a.f = b.f or a.r = b.r orth from pieces a join pieces b on a.k = b.k and a.sq <> b.sq
   and (upper(a.p) in ('R', 'Q') and (a.f = b.f or a.r = b.r) or upper(a.p) in ('B', 'Q') and abs(a.f - b.f) = abs(a.r - b.r))
   join pieces m on m.k = a.k and m.sq not in (a.sq, b.sq) and (m.f - a.f) * (b.r - a.r) = (m.r - a.r) * (b.f - a.f) and m.f between least(a.f, b.f) and greatest(a.f, b.f) and m.r between least(a.r, b.r) and greatest(a.r, b.r))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators.shared import shared_folder
+from corpusloom.sources import records as R
 from corpusloom.sources import sinks
 from corpusloom.streaming import ingest as I
 
@@ -112,6 +113,20 @@ def stream_closed_windows(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{space}/out").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
+@query("stream_records", "select 'o' || o_orderkey event, o_orderpriority site, '1. e4 ' || o_custkey || ' *' moves from orders")
+def stream_records(spark: SparkSession, d: str) -> DataFrame:
+    """Record files read as a stream in two arrivals, the second after a restart."""
+    space, k = shared_folder(spark, "stream"), F.col("o_orderkey")
+    tags = F.create_map(F.lit("Event"), F.concat(F.lit("o"), k), F.lit("Site"), F.col("o_orderpriority"))
+    raw = table(spark, d, "orders").select((k % 2).alias("arrival"), R.to_text(tags, F.concat(F.lit("1. e4 "), "o_custkey", F.lit(" *"))).alias("raw"))
+    for arrival in range(2):
+        sinks.write_records(raw.where(F.col("arrival") == arrival), "raw", f"{space}/in/{arrival}")
+        stream = I.record_stream(spark, f"{space}/in/*", "*.txt").select("raw", "headers")
+        I.run(I.table_writer(stream, f"{space}/out", f"{space}/c"))
+    rows = spark.read.parquet(f"{space}/out")
+    return rows.select(F.col("headers")["Event"].alias("event"), F.col("headers")["Site"].alias("site"), F.regexp_replace(R.movetext(F.col("raw")), r"\s+$", "").alias("moves"))
+
+
 @query("pivot_by_source", "select event_type, count(*) filter (user_id % 3 = 0) otb, count(*) filter (user_id % 3 = 1) online from events group by event_type")
 def pivot_by_source(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("user_id") % 3

@@ -69,10 +69,3 @@ def write_chunks(df: DataFrame, by: Sequence[str], path: str) -> None:
 def markdown(df: DataFrame, columns: Sequence[Column]) -> DataFrame:
     """Rows of a Markdown table."""
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *columns), F.lit(" |")).alias("line"))
-
-
-def with_notes(raw: Column, notes: Column) -> Column:
-    """Record text whose movetext starts with a comment of notes, if there are any; ``text.inserted`` puts notes at their places."""
-    text = F.concat(F.lit("{"), F.array_join(notes, " "), F.lit("} "))
-    head = F.regexp_extract(raw, r'(?s)^((?:\s*\[\w+\s+"[^"]*"\]\s*)+)', 1)
-    return F.when(F.coalesce(F.size(notes), F.lit(0)) > 0, F.concat(head, text, F.substring(raw, F.length(head) + 1, F.length(raw)))).otherwise(raw)

@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from corpusloom.functions.text import clean
-from corpusloom.sources.records import MARK, headers
+from corpusloom.sources.records import MARK, PGN, headers
 
 
-def record_stream(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of files as they arrive in a folder: file, raw, headers; text before a file's first record is dropped.
+def record_stream(spark: SparkSession, folder: str, files: str = PGN) -> DataFrame:
+    """Records of files as they arrive in a folder, .pgn files or those of another pattern: file, raw, headers; text before a file's first record is dropped.
 
     Stateless: nothing is numbered, and a record's key is its content.
     """
-    raw = spark.readStream.option("lineSep", "\n" + MARK).option("pathGlobFilter", "*.[pP][gG][nN]").text(folder)
+    raw = spark.readStream.option("lineSep", "\n" + MARK).option("pathGlobFilter", files).text(folder)
     text = F.when(F.startswith("value", F.lit(MARK)), F.col("value")).otherwise(F.concat(F.lit(MARK), F.col("value")))
     rows = raw.select(F.col("_metadata.file_path").alias("file"), F.rtrim(clean(text)).alias("raw"))
     return rows.where(F.col("raw").rlike(r'^\[Event "')).withColumn("headers", headers(F.col("raw")))
