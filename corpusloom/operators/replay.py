@@ -40,7 +40,7 @@ def zobrist(board: Column) -> Column:
 def boards(df: DataFrame, entity: Sequence[str], step: str, move: str, start: str = START) -> DataFrame:
     """What each move does: the entity, the step, board (after it), piece, taken, kind, clock and key.
 
-    Moves are coordinates with a fifth letter for promotions. A king that moves two files from the e-file takes its rook
+    Moves are coordinates with a fifth letter for promotions, which means nothing for other pieces than pawns. A king that moves two files from the e-file takes its rook
     along, a pawn that moves aside to an empty square takes the pawn it passes (``kind`` says so, or ``promotion``).
     ``taken`` is the piece taken, empty if none; ``clock`` counts moves since the last taken piece or pawn move; ``key``
     is ``zobrist`` of the board, brought forward by the squares that change. A null or other text changes nothing and
@@ -76,7 +76,7 @@ def boards(df: DataFrame, entity: Sequence[str], step: str, move: str, start: st
                 source, target = (8 - int(m[1])) * 8 + a, (8 - int(m[3])) * 8 + b
                 piece, taken, kind = cells[source], cells[target] if source != target else ".", ""
                 put(source, ".")
-                if len(m) == 5:
+                if len(m) == 5 and piece in "Pp":
                     kind = "promotion"
                     put(target, m[4].upper() if piece == "P" else m[4].lower())
                 else:

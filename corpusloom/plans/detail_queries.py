@@ -11,11 +11,10 @@ from corpusloom.operators import exports as X
 from corpusloom.operators import filters as C
 from corpusloom.operators import joins as J
 from corpusloom.operators import ordering as O
-from corpusloom.operators import runs as R
 from corpusloom.operators.quotas import two_quota_sample
 from corpusloom.sources import movetext as M
 
-from .bindings import ENTITY, FACTS, RECORDS, RUNS, STEPS, facts, records, steps, table
+from .bindings import ENTITY, FACTS, RECORDS, facts, records, table
 from .catalog import query
 from .movetext_queries import _BRANCHED, branched
 

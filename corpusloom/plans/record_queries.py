@@ -13,7 +13,7 @@ from corpusloom.operators import ordering as O
 from corpusloom.operators import runs as R
 from corpusloom.operators import setops as H
 
-from .bindings import ENTITY, EVALS, GROUP_SQL, POSITIONS, RECORDS, STEPS, VIEWS, evaluations, positions, records, source_group, steps, table
+from .bindings import EVALS, GROUP_SQL, POSITIONS, RECORDS, STEPS, evaluations, positions, records, source_group, steps, table
 from .catalog import query
 from .text_queries import MOVES_SQL, moves_sql, movetext
 

@@ -17,7 +17,7 @@ def plain(moves, start=P.START):
         s, t = b * 8 + a, d * 8 + c
         piece, met = cells[s], cells[t] if s != t else "."
         cells[s] = "."
-        cells[t] = piece if len(m) < 5 else (m[4].upper() if piece == "P" else m[4].lower())
+        cells[t] = piece if len(m) < 5 or piece not in "Pp" else (m[4].upper() if piece == "P" else m[4].lower())
         if piece in "Pp" and a != c and met == ".":
             cells[b * 8 + c] = "."
         if piece in "Kk" and a == 4 and b == d and c in (2, 6):
@@ -41,7 +41,7 @@ def test_kinds_of_moves(spark):
     lists = {
         "long castling": ["d2d4", "d7d5", "c1f4", "b8c6", "b1c3", "c8g4", "d1d2", "d8d7", "e1c1", "e8c8"],
         "passing": ["h2h4", "c7c5", "h4h5", "g7g5", "h5g6", "c5c4", "b2b4", "c4b3"],
-        "promotion": ["a2b8n", "h7g1q"],
+        "promotion": ["a2b8n", "h7g1q", "b1c3q"],
         "none": ["e2e4", None, "castles", "e7e5"],
     }
     told = {(r.g, r.k): r for r in P.boards(rows_of(spark, lists), ["g"], "k", "m").collect()}
