@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 PIECES = "KQRBNPkqrbnp"
 
 
-def _signed(mask: int) -> int:
+def signed(mask: int) -> int:
+    """64 bits as a whole number with a sign."""
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-FILES = [_signed(sum(1 << (8 * r + f) for r in range(8))) for f in range(8)]
-LIGHT = _signed(sum(1 << k for k in range(64) if (k % 8 + k // 8) % 2 == 0))
+FILES = [signed(sum(1 << (8 * r + f) for r in range(8))) for f in range(8)]
+LIGHT = signed(sum(1 << k for k in range(64) if (k % 8 + k // 8) % 2 == 0))
 
 
 def column(piece: str) -> str:
@@ -75,6 +76,18 @@ def connected_pawns(pawn: str = "P") -> Column:
     return F.bit_count(F.col(column(pawn))) - isolated_pawns(pawn)
 
 
+def passed_pawns(pawn: str = "P") -> Column:
+    """Pawns with no opposing pawn ahead on their own or a neighbouring file."""
+    own, behind = F.col(column(pawn)), F.col(column(pawn.swapcase()))
+    move = F.shiftleft if pawn.isupper() else F.shiftrightunsigned
+    behind = move(behind, 8).bitwiseOR(move(behind, 16))  # squares that an opposing pawn keeps: all behind it
+    for n in (16, 32):
+        behind = behind.bitwiseOR(move(behind, n))
+    left = F.shiftrightunsigned(behind.bitwiseAND(F.lit(~FILES[0])), 1)
+    right = F.shiftleft(behind.bitwiseAND(F.lit(~FILES[7])), 1)
+    return F.bit_count(own.bitwiseAND(F.bitwise_not(behind.bitwiseOR(left).bitwiseOR(right))))
+
+
 def light_bishops() -> Column:
     return within(any_of("Bb"), LIGHT)
 
@@ -95,4 +108,9 @@ def signature() -> Column:
 
 def occupied(board: Column) -> Column:
     """The occupied squares of a board of 64 characters, as bits."""
-    return F.conv(F.translate(F.reverse(board), PIECES + ".", "1" * len(PIECES) + "0"), 2, -10).cast("long")
+    return standing(board, PIECES)
+
+
+def standing(board: Column, pieces: str) -> Column:
+    """The squares of the pieces named on a board of 64 characters, as bits."""
+    return F.conv(F.translate(F.reverse(board), PIECES + ".", "".join("1" if p in pieces else "0" for p in PIECES + ".")), 2, -10).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bitboards import occupied
+from .bitboards import PIECES, occupied, signed, standing
 
 #: What pieces are worth.
 POWER = {"P": 1, "N": 3, "B": 3, "R": 5, "Q": 9}
@@ -20,6 +20,20 @@ def expand_fen(fen: Column) -> Column:
     return board
 
 
+def of_pieces(cells: DataFrame, key: str, square: Column, piece: Column) -> DataFrame:
+    """(key, board) from rows of pieces on squares (1 to 64); of several pieces on a square the last by name stays.
+
+    Rows move once, by the key. A board is four whole numbers, a hexadecimal digit a square, until it is spelled out.
+    """
+    order = "".join(sorted(PIECES))
+    rows = cells.select(key, square.alias("square"), F.nullif(F.instr(F.lit(order), piece), F.lit(0)).alias("n"))
+    best = rows.repartition(key).groupBy(key, "square").agg(F.max("n").alias("n"))
+    digits = [F.bit_or(F.when(F.col("square").between(a + 1, a + 16), F.call_function("shiftleft", F.col("n").cast("long"), (a + 16 - F.col("square")) * 4))) for a in range(0, 64, 16)]
+    four = best.groupBy(key).agg(*(F.coalesce(q, F.lit(0)).cast("long").alias(f"q{k}") for k, q in enumerate(digits)))
+    spelled = F.concat(*(F.lpad(F.hex(f"q{k}"), 16, "0") for k in range(4)))
+    return four.select(key, F.translate(spelled, "0123456789ABC", "." + order).alias("board"))
+
+
 def epd(fen: Column) -> Column:
     """The first four fields of a FEN."""
     return F.array_join(F.slice(F.split(fen, " "), 1, 4), " ")
@@ -114,19 +128,21 @@ def passed_pawns(board: Column, pawn: str = "P") -> Column:
 
 def flip_colour(board: Column) -> Column:
     """The board from the other side: ranks turned, colours swapped."""
-    ranks = F.transform(F.sequence(F.lit(7), F.lit(0), F.lit(-1)), lambda r: F.substring(board, r * 8 + 1, F.lit(8)))
-    return F.translate(F.array_join(ranks, ""), "KQRBNPkqrbnp", "kqrbnpKQRBNP")
+    return F.translate(flip_ranks(board), "KQRBNPkqrbnp", "kqrbnpKQRBNP")
 
 
 def flip_files(board: Column) -> Column:
-    ranks = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.reverse(F.substring(board, r * 8 + 1, F.lit(8))))
-    return F.array_join(ranks, "")
+    return flip_ranks(F.reverse(board))
+
+
+def placed(board: Column, places: list[int]) -> Column:
+    """The board whose squares are those of the places in turn."""
+    return F.array_join(F.transform(F.array(*(F.lit(k) for k in places)), lambda k: F.substring(board, k, F.lit(1))), "")
 
 
 def rotate90(board: Column) -> Column:
     """A quarter turn to the right."""
-    places = F.sequence(F.lit(0), F.lit(63))
-    return F.array_join(F.transform(places, lambda k: F.substring(board, (7 - k % 8) * 8 + F.floor(k / 8).cast("int") + 1, F.lit(1))), "")
+    return placed(board, [(7 - k % 8) * 8 + k // 8 + 1 for k in range(64)])
 
 
 def put(board: Column, place: Column, piece: Column) -> Column:
@@ -187,7 +203,7 @@ def geometry(spark: SparkSession) -> DataFrame:
 
 
 def movers(spark: SparkSession) -> DataFrame:
-    """(mover, from, moves): for each kind of piece and square the squares it reaches, with those between as bits; a fixed small table.
+    """(mover, from, moves): for each kind of piece and square the squares it reaches, with those between as bits and whether on a file or rank; a fixed small table.
 
     A mover is a capital letter, or p for black pawns.
     """
@@ -199,8 +215,22 @@ def movers(spark: SparkSession) -> DataFrame:
     }
     mover = F.array_compact(F.array(*(F.when(c, F.lit(m)) for m, c in reaches.items())))
     mask = F.aggregate("between", F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), k - 1)))
-    rows = g.select("from", "to", mask.alias("between"), F.explode(mover).alias("mover"))
-    return rows.groupBy("mover", "from").agg(F.collect_list(F.struct("to", "between")).alias("moves"))
+    rows = g.select("from", "to", mask.alias("between"), (line == "orthogonal").alias("straight"), F.explode(mover).alias("mover"))
+    return rows.groupBy("mover", "from").agg(F.collect_list(F.struct("to", "between", "straight")).alias("moves"))
+
+
+def _over_one(boards: DataFrame, key: str, board: str, sliders: str, bits: dict[str, Column], mover: Column, met) -> DataFrame:
+    """(key, board, piece, from, at, m): moves of line pieces over exactly one piece, at ``at``, that meet a condition on bits of the board."""
+    spark, full = boards.sparkSession, F.col("full")
+    known = boards.select(key, board, *(c.alias(n) for n, c in {"full": occupied(F.col(board)), "sliders": standing(F.col(board), sliders), **bits}.items()))
+    places = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.getbit(F.col("sliders"), k - 1) == 1)
+    rows = known.select(key, board, "full", *bits, F.explode(places).alias("from"))
+    rows = rows.withColumn("piece", F.substring(F.col(board), F.col("from"), F.lit(1))).withColumn("mover", mover)
+    lines = rows.join(F.broadcast(movers(spark)), ["mover", "from"])
+    hits = F.filter("moves", lambda m: (F.bit_count(full.bitwiseAND(m["between"])) == 1) & met(m, full.bitwiseAND(m["between"])))
+    found = lines.select(key, board, "piece", "from", "full", F.explode(hits).alias("m"))
+    at = F.bit_count(full.bitwiseAND(F.col("m.between")) - 1) + 1  # no corner lies between two squares
+    return found.select(key, board, "piece", "from", at.alias("at"), "m")
 
 
 def attacks(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
@@ -222,37 +252,26 @@ def attacks(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
 
 def pins(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
     """(key, piece, from, pinned, at, king): line pieces with exactly one piece between them and the other king."""
-    spark = boards.sparkSession
-    places = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.upper(F.substring(F.col(board), k, F.lit(1))).isin("R", "B", "Q"))
-    sliders = boards.select(key, board, F.explode(places).alias("from")).withColumn("piece", F.substring(F.col(board), F.col("from"), F.lit(1)))
-    lines = sliders.join(F.broadcast(geometry(spark).where("kind <> 'knight'")), "from")
-    p = F.upper("piece")
-    fits = ((F.col("kind") == "orthogonal") & p.isin("R", "Q")) | ((F.col("kind") == "diagonal") & p.isin("B", "Q"))
-    king = F.when(F.col("piece") == p, "k").otherwise("K")
-    full = F.filter("between", lambda k: F.substring(F.col(board), k, F.lit(1)) != ".")
-    hit = lines.where(fits & (F.substring(F.col(board), F.col("to"), F.lit(1)) == king)).withColumn("full", full).where(F.size("full") == 1)
-    at = F.get("full", F.lit(0))
-    pinned = F.substring(F.col(board), at, F.lit(1))
-    return hit.select(key, "piece", "from", pinned.alias("pinned"), at.alias("at"), F.col("to").alias("king"))
+    b, p = F.col(board), F.col("piece")
+    kings = {"white_king": standing(b, "K"), "black_king": standing(b, "k")}
+    king = F.when(p == F.upper(p), F.col("black_king")).otherwise(F.col("white_king"))
+    crowned = boards.where(F.contains(b, F.lit("K")) | F.contains(b, F.lit("k")))
+    hit = _over_one(crowned, key, board, "RBQrbq", kings, F.upper("piece"), lambda m, _: F.getbit(king, m["to"] - 1) == 1)
+    return hit.select(key, "piece", "from", F.substring(b, F.col("at"), F.lit(1)).alias("pinned"), "at", F.col("m.to").alias("king"))
 
 
 def xrays(boards: DataFrame, key: str, board: str = "board") -> DataFrame:
     """(key, piece, from, through, target, to): line pieces whose line passes one own line piece that moves alike."""
-    spark = boards.sparkSession
-    places = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.upper(F.substring(F.col(board), k, F.lit(1))).isin("R", "B", "Q"))
-    sliders = boards.select(key, board, F.explode(places).alias("from")).withColumn("piece", F.substring(F.col(board), F.col("from"), F.lit(1)))
-    lines = sliders.join(F.broadcast(geometry(spark).where("kind <> 'knight'")), "from")
-    white = F.col("piece") == F.upper("piece")
+    b, p = F.col(board), F.col("piece")
+    alike = {f"{side}_{way}": standing(b, named if side == "white" else named.lower()) for side in ("white", "black") for way, named in (("straight", "RQ"), ("slanted", "BQ"))}
+    straight, slanted = (F.when(p == F.upper(p), F.col(f"white_{way}")).otherwise(F.col(f"black_{way}")) for way in ("straight", "slanted"))
 
-    def moves_so(p: Column) -> Column:
-        return ((F.col("kind") == "orthogonal") & F.upper(p).isin("R", "Q")) | ((F.col("kind") == "diagonal") & F.upper(p).isin("B", "Q"))
+    def met(m: Column, between: Column) -> Column:
+        return (F.getbit("full", m["to"] - 1) == 1) & (between.bitwiseAND(F.when(m["straight"], straight).otherwise(slanted)) != 0)
 
-    full = F.filter("between", lambda k: F.substring(F.col(board), k, F.lit(1)) != ".")
-    target = F.substring(F.col(board), F.col("to"), F.lit(1))
-    hit = lines.where(moves_so(F.col("piece")) & (target != ".")).withColumn("full", full).where(F.size("full") == 1)
-    through = F.substring(F.col(board), F.get("full", F.lit(0)), F.lit(1))
-    hit = hit.withColumn("through", through).where(moves_so(F.col("through")) & ((F.col("through") == F.upper("through")) == white))
-    return hit.select(key, "piece", "from", "through", target.alias("target"), "to")
+    hit = _over_one(boards, key, board, "RBQrbq", alike, F.upper("piece"), met)
+    through, target = F.substring(b, F.col("at"), F.lit(1)), F.substring(b, F.col("m.to"), F.lit(1))
+    return hit.select(key, "piece", "from", through.alias("through"), target.alias("target"), F.col("m.to").alias("to"))
 
 
 def move_kinds(board: Column, uci: Column) -> dict[str, Column]:
@@ -330,6 +349,17 @@ def reached(places: Column, way: str, reach: int = 7) -> Column:
     return F.array_distinct(F.flatten(F.transform(places, moved)))
 
 
+def reached_bits(bits: Column, way: str, reach: int = 7) -> Column:
+    """As ``reached``, with places and squares as bits: each place brings its fixed mask."""
+    masks = []
+    for k in range(64):
+        ends = [(k % 8 + f * n, k // 8 - r * n) for f, r in WAYS[way] for n in range(1, reach + 1)]
+        masks.append(signed(sum(1 << (8 * r + f) for f, r in set(ends) if 0 <= f <= 7 and 0 <= r <= 7)))
+    table = F.array(*(F.lit(m).cast("long") for m in masks))
+    at = F.filter(F.sequence(F.lit(1), F.lit(64)), lambda k: F.getbit(bits, k - 1) == 1)
+    return F.aggregate(at, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(F.element_at(table, k)))
+
+
 def squares_between(a: Column, b: Column) -> Column:
     """How many squares lie between two places on a line, none where they are on no line."""
     f, r = F.abs(file_of(a) - file_of(b)), F.abs(rank_of(a) - rank_of(b))
@@ -338,13 +368,11 @@ def squares_between(a: Column, b: Column) -> Column:
 
 def rays(boards: DataFrame, key: str, sliders: str, through: str, targets: str, kind: str, board: str = "board") -> DataFrame:
     """(key, piece, from, through, target, to): lines from a slider over exactly one piece, of those named, to a target."""
-    places = squares_of(F.col(board), sliders)
-    lines = boards.select(key, board, F.explode(places).alias("from")).join(F.broadcast(geometry(boards.sparkSession).where(F.col("kind") == kind)), "from")
-    full = F.filter("between", lambda k: F.substring(F.col(board), k, F.lit(1)) != ".")
-    target = F.substring(F.col(board), F.col("to"), F.lit(1))
-    hit = lines.where(F.contains(F.lit(targets), target)).withColumn("full", full).where(F.size("full") == 1)
-    hit = hit.withColumn("through", F.substring(F.col(board), F.get("full", F.lit(0)), F.lit(1))).where(F.contains(F.lit(through), F.col("through")))
-    return hit.select(key, F.substring(F.col(board), F.col("from"), F.lit(1)).alias("piece"), "from", "through", target.alias("target"), "to")
+    b = F.col(board)
+    sets = {"passed": standing(b, through), "targets": standing(b, targets)}
+    hit = _over_one(boards, key, board, sliders, sets, F.lit("R" if kind == "orthogonal" else "B"), lambda m, between: (F.getbit("targets", m["to"] - 1) == 1) & (between.bitwiseAND(F.col("passed")) != 0))
+    over, target = F.substring(b, F.col("at"), F.lit(1)), F.substring(b, F.col("m.to"), F.lit(1))
+    return hit.select(key, "piece", "from", over.alias("through"), target.alias("target"), F.col("m.to").alias("to"))
 
 
 def flip_ranks(board: Column) -> Column:
@@ -354,23 +382,41 @@ def flip_ranks(board: Column) -> Column:
 
 def flip_diagonal(board: Column) -> Column:
     """Files and ranks changed for each other, a8 and h1 kept."""
-    return F.concat(*(F.substring(board, k % 8 * 8 + k // 8 + 1, 1) for k in range(64)))
-
+    return placed(board, [k % 8 * 8 + k // 8 + 1 for k in range(64)])
 
-def eight_ways(board: Column) -> list[Column]:
-    """The board in its four turns and their mirror images."""
-    across = flip_diagonal(board)
-    return [turned for b in (board, across) for turned in (b, flip_files(b), flip_ranks(b), flip_files(flip_ranks(b)))]
 
+def met_in_eight_ways(board: Column, pattern: dict[str, str]) -> Column:
+    """Whether squares hold one of the pieces named for each, in one of the board's four turns or their mirror images.
 
-def shifted(board: Column, piece: str, other, files: int, ranks: int) -> Column:
-    """Whether anywhere a piece has, so many files and ranks further, another that meets a condition."""
-
-    def met(k: Column) -> Column:
-        inside = (file_of(k) + files).between(0, 7) & (rank_of(k) + ranks).between(1, 8)
-        return inside & other(F.substring(board, (k + files - 8 * ranks).cast("int"), F.lit(1)))
-
-    return F.exists(squares_of(board, piece), met)
+    The pattern's few squares are turned, not the board.
+    """
+    ways = set()
+    for across in (False, True):
+        for left in (False, True):
+            for down in (False, True):
+                turned = []
+                for name, held_ in pattern.items():
+                    r, f = divmod(square(name) - 1, 8)
+                    r, f = (f, r) if across else (r, f)
+                    turned.append(((7 - r if down else r) * 8 + (7 - f if left else f) + 1, held_))
+                ways.add(tuple(sorted(turned)))
+    met = None
+    for way in sorted(ways):
+        hit = None
+        for k, held_ in way:
+            on = F.contains(F.lit(held_), F.substring(board, k, 1))
+            hit = on if hit is None else hit & on
+        met = hit if met is None else met | hit
+    return met
+
+
+def shifted(board: Column, pieces: str, others: str, files: int, ranks: int) -> Column:
+    """Whether anywhere one of the pieces has, so many files and ranks further, one of the others."""
+    inside = signed(sum(1 << k for k in range(64) if 0 <= k % 8 + files <= 7 and 0 <= k // 8 - ranks <= 7))
+    move = files - 8 * ranks
+    found = standing(board, pieces).bitwiseAND(F.lit(inside))
+    there = F.shiftleft(found, move) if move >= 0 else F.shiftrightunsigned(found, -move)
+    return there.bitwiseAND(standing(board, others)) != 0
 
 
 def pieces(boards: DataFrame, key: str, board: str = "board") -> DataFrame:

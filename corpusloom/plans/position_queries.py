@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import bitboards as BB
 from corpusloom.functions import boards as B
 from corpusloom.operators import patterns as P
 from corpusloom.operators import runs as R
 
 from .bindings import RECORDS, STEPS, records, steps, table
 from .catalog import query
-from .text_queries import _ATT, _BOARD, _PIECES, boards_of
+from .text_queries import _ATT, _BOARD, _PIECES, bits_of, boards_of
 
 _CELL = "count(*) filter ({})"
 
@@ -52,9 +53,9 @@ _WAY = {
 @query("directions", f"with {_PIECES}, s as (select sq, (sq - 1) % 8 f, (sq - 1) // 8 r from (select unnest(range(1, 65))::int sq)) select a.k, " + ", ".join(f"count(distinct s.sq) filter ({c}) \"{n}\"" for n, c in _WAY.items()) + " from pieces a cross join s where a.p = 'K' group by a.k")
 def directions(spark: SparkSession, d: str) -> DataFrame:
     """How many squares lie in each direction from the white kings."""
-    kings = boards_of(spark, d).where(F.contains("board", F.lit("K"))).withColumn("at", B.squares_of(F.col("board"), "K"))
+    kings = BB.any_of("K")
     ways = {n: (n, 7) for n in _WAY if n != "near"} | {"near": ("orthogonal", 2)}
-    return kings.select("k", *(F.size(B.reached(F.col("at"), way, reach)).alias(n) for n, (way, reach) in ways.items()))
+    return bits_of(spark, d).where(kings != 0).select("k", *(F.bit_count(B.reached_bits(kings, way, reach)).alias(n) for n, (way, reach) in ways.items()))
 
 
 _LINE = """a.k = b.k and a.sq <> b.sq and {orth} join pieces m on m.k = a.k and m.sq not in (a.sq, b.sq) and (m.f - a.f) * (b.r - a.r) = (m.r - a.r) * (b.f - a.f)
@@ -98,11 +99,8 @@ def _turn_sql() -> list[str]:
 def more_transforms(spark: SparkSession, d: str) -> DataFrame:
     """A pattern (a king on a1, any piece on b2) met in one of its eight turns, or shifted anywhere."""
     b = F.col("board")
-    met = None
-    for turned in B.eight_ways(b):
-        hit = (B.piece_on(turned, "a1") == "K") & (B.piece_on(turned, "b2") != ".")
-        met = hit if met is None else met | hit
-    return boards_of(spark, d).select("k", B.flip_ranks(b).alias("upside"), B.flip_diagonal(b).alias("mirrored"), met.alias("corner"), B.shifted(b, "K", lambda p: p != ".", 1, 1).alias("shifted"))
+    corner = B.met_in_eight_ways(b, {"a1": "K", "b2": BB.PIECES})
+    return boards_of(spark, d).select("k", B.flip_ranks(b).alias("upside"), B.flip_diagonal(b).alias("mirrored"), corner.alias("corner"), B.shifted(b, "K", BB.PIECES, 1, 1).alias("shifted"))
 
 
 @query("step_flags", f"""with {STEPS}, s as (select user_id, step, label || case when step % 7 = 0 then '#' when step % 5 = 0 then '+' else '' end san, max(step) over (partition by user_id) last from steps)
