@@ -8,6 +8,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.functions import bitboards as BB
 from corpusloom.functions import boards as B
 from corpusloom.functions.outcomes import side_rule
 
@@ -112,6 +113,15 @@ def material(board: Column) -> Column:
     return F.struct(*fields, light.cast("int").alias("light"), linked[0].cast("int").alias("linked"), linked[1].cast("int").alias("linked_other"))
 
 
+def material_of_bits() -> Column:
+    """As ``material``, of a board as bits by piece."""
+    one = {p: BB.count_of(p) == 1 for p in "BbRr"}
+    light = F.when(one["B"] & one["b"], BB.light_bishops()).otherwise(0)
+    linked = [F.when(one["R"] & one["r"] & (BB.count_of(p) == 2), BB.connected_pawns(p)).otherwise(0) for p in "Pp"]
+    fields = [BB.count_of(p).cast("int").alias(n) for p, n in zip(PIECES, _NAMES, strict=True)]
+    return F.struct(*fields, light.cast("int").alias("light"), linked[0].cast("int").alias("linked"), linked[1].cast("int").alias("linked_other"))
+
+
 _NAMES = [f"{side}_{p}" for side in ("own", "other") for p in "kqrbnp"]
 _FIELD = dict(zip(PIECES, _NAMES, strict=True))
 
@@ -132,29 +142,41 @@ def holds(counts: str, of: Column, swapped: bool) -> Column:
     return met
 
 
-def judged(boards: DataFrame, board: str = "board", aliases: bool = False) -> DataFrame:
+def judged(boards: DataFrame, board: str = "board", aliases: bool = False, of: Column | None = None) -> DataFrame:
     """The boards with labels (all that hold, with their parents, an array in order), stem, side and favoured.
 
     ``stem`` is the first ending that holds, null if none; ``side`` is white, black, symmetric or unknown by the side
     that the ending favours, named in ``favoured``. Rules are judged on the different materials that occur, far fewer
-    than boards, and joined back. With ``aliases`` rules that repeat an ending are labels of their own.
+    than boards, and joined back. With ``aliases`` rules that repeat an ending are labels of their own. ``of`` is the
+    material where the boards are not text.
     """
+    rows = boards.withColumn("material", material(F.col(board)) if of is None else of)
+    told = _told(rows.select("material").distinct(), aliases)
+    return rows.join(told, "material").drop("material")
+
+
+def label_counts(boards: DataFrame, board: str = "board", aliases: bool = False, of: Column | None = None) -> DataFrame:
+    """(label, n): how many boards have each label of ``judged``. Boards are counted by material, so none is joined back."""
+    counts = boards.groupBy((material(F.col(board)) if of is None else of).alias("material")).agg(F.count("*").alias("n"))
+    labels = _told(counts, aliases).select(F.explode("labels").alias("label"), "n")
+    return labels.groupBy("label").agg(F.sum("n").alias("n"))
+
+
+def _told(seen: DataFrame, aliases: bool) -> DataFrame:
+    """Different materials with what ``judged`` tells of them."""
     rules = AUXILIARY + ENDINGS
     if not aliases:
         known = {r.counts for r in ENDINGS}
         rules = [r for r in AUXILIARY if r.counts not in known] + ENDINGS
-    rows = boards.withColumn("material", material(F.col(board)))
     m = F.col("material")
-    seen = rows.select("material").distinct()
     either = {r.stem: holds(r.counts, m, False) | holds(r.counts, m, True) for r in rules}
     labels = F.array_distinct(F.flatten(F.array_compact(F.array(*(F.when(either[r.stem], F.array(*map(F.lit, (r.stem, *r.parents)))) for r in rules)))))
     stem = F.coalesce(*(F.when(either[r.stem], F.lit(r.stem)) for r in ENDINGS))
-    told = seen.select("material", labels.alias("labels"), stem.alias("stem"))
+    told = seen.withColumns({"labels": labels, "stem": stem})
     side, favoured = [], []
     for r in ENDINGS:
         label, counts = FAVOURED.get(r.stem, ("symmetric/either side", None))
         own = F.lit("symmetric") if counts is None else side_rule(holds(counts, m, False), holds(counts, m, True))
         side.append(F.when(F.col("stem") == r.stem, own))
         favoured.append(F.when(F.col("stem") == r.stem, F.lit(label)))
-    told = told.withColumns({"side": F.coalesce(*side), "favoured": F.coalesce(*favoured)})
-    return rows.join(told, "material").drop("material")
+    return told.withColumns({"side": F.coalesce(*side), "favoured": F.coalesce(*favoured)})

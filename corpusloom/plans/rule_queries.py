@@ -13,7 +13,7 @@ from corpusloom.operators import ordering as S
 
 from .bindings import EVALS, POSITIONS, RECORDS, evaluations, positions, records, table
 from .catalog import query
-from .text_queries import _BOARD, _PIECES, _n, _side_sql, boards_of
+from .text_queries import _BOARD, _PIECES, _n, _side_sql, bits_of, boards_of
 
 def _material_sql(own: str, other: str) -> str:
     counts = ", ".join(f"{_n(p)} {p.lower()}{k}" for k, pieces in ((1, own), (2, other)) for p in pieces)
@@ -62,7 +62,7 @@ select k, substr(stem, 4) as stem, case when stem is null then null when even or
 )
 def rule_first_match(spark: SparkSession, d: str) -> DataFrame:
     """The first of 31 endings that a board's material meets, and the side that it favours."""
-    return U.judged(boards_of(spark, d)).select("k", "stem", "side")
+    return U.judged(bits_of(spark, d), of=U.material_of_bits()).select("k", "stem", "side")
 
 
 _PARENTS = """case stem when '2-1P' then ['2-0Pp'] when '6-2-2RPPr' then ['6-2-0Rr'] when '6-2-2RPPrConnected' then ['6-2-2RPPr', '6-2-0Rr'] when '8-1RNrNoPawns' then ['8-1RNr'] when '8-2RBrNoPawns' then ['8-2RBr']
@@ -72,7 +72,7 @@ _PARENTS = """case stem when '2-1P' then ['2-0Pp'] when '6-2-2RPPr' then ['6-2-0
 @query("rule_labels", f"with {_ENDINGS}, l as (select distinct k, unnest(list_append({_PARENTS}, stem)) as label from (select k, substr(stem, 4) as stem from e where stem is not null)) select label, count(*) n from l group by label")
 def rule_labels(spark: SparkSession, d: str) -> DataFrame:
     """How many boards have each label: all endings and parts of endings that hold, with their parents."""
-    return U.judged(boards_of(spark, d)).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return U.label_counts(bits_of(spark, d), of=U.material_of_bits())
 
 
 @query("export_rows", f"with {POSITIONS}, {EVALS} select record_id, ply, winner, case when winner is null then 'missing' else 'ok' end status from positions left join evals using (eval_key) where pieces <= 30 union all select record_id, ply, null, 'reject' from positions where pieces > 30")
