@@ -77,8 +77,8 @@ def record_markers(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "marked")
     sinks.write_records(raw, "raw", path)
     r = S.read_records(spark, path, "*.txt")
-    found = S.markers(r, list(_LABELS))
-    return found.join(r.select("file", "game_index", S.headers(F.col("raw"))["Event"].alias("event")), ["file", "game_index"]).select("event", F.col("ply").cast("int").alias("ply"), "label")
+    found = S.markers(r, list(_LABELS), {"event": S.headers(F.col("raw"))["Event"]})
+    return found.select("event", F.col("ply").cast("int").alias("ply"), "label")
 
 
 @query("annotated_rows", "select l_orderkey game_index, case when l_orderkey % 7 = 0 then 'reject' else 'ok' end status, count(*) positions, string_agg('m' || l_partkey, ' ' order by l_linenumber, 'm' || l_partkey) moves from lineitem group by l_orderkey")

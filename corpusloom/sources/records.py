@@ -18,8 +18,8 @@ def read_records(spark: SparkSession, path: str, files: str = PGN) -> DataFrame:
     """Records of all .pgn files below a folder, or of files of another pattern: file, game_index (from 1), start_line, raw.
 
     A record starts at a line with ``[Event ``; text before a file's first record is
-    dropped. Records are numbered within each split of a file, and the splits' counts, a few
-    rows a file, tell where a split's numbers start: no file is gathered in one task.
+    dropped. Records are numbered within parts of a split of a file, and the parts' counts, a
+    row for 65,536 records, tell where a part's numbers start: no split is gathered in one task.
     """
     return _numbered(spark, path, MARK, files)
 
@@ -34,19 +34,27 @@ def _numbered(spark: SparkSession, path: str, mark: str, files: str) -> DataFram
         spark.read.option("lineSep", "\n" + mark).option("recursiveFileLookup", True).option("pathGlobFilter", files).text(path)
         .select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"))
     )
-    inside = Window.partitionBy("file", "block").orderBy("place")
-    before = inside.rowsBetween(Window.unboundedPreceding, -1)
+    rows = raw.withColumns({"part": F.shiftright("place", 16), "lines": F.regexp_count("value", F.lit("\n")) + 1})
     text = F.regexp_replace("value", "^\\uFEFF", "")
-    head = (F.col("block") == 0) & (F.row_number().over(inside) == 1)  # what stands before a file's first mark
-    rows = raw.withColumns({"lines": F.regexp_count("value", F.lit("\n")) + 1, "head": head})
-    rows = rows.withColumn("record", ~F.col("head") | F.startswith(text, F.lit(mark)))
-    rows = rows.withColumns({"line": F.coalesce(F.sum("lines").over(before), F.lit(0)), "number": F.sum(F.col("record").cast("int")).over(inside)})
-    splits = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("file", "block").agg(F.sum("lines").alias("lines"), F.sum(F.col("record").cast("int")).alias("records"))
-    sums = sums.select("file", "block", *(F.coalesce(F.sum(c).over(splits), F.lit(0)).alias(f"{c}_before") for c in ("lines", "records")))
-    found = rows.drop("lines").where("record").join(sums, ["file", "block"])
-    raw_text = F.when(F.col("head"), text).otherwise(F.concat(F.lit(mark), text))
-    return found.select("file", (F.col("number") + F.col("records_before")).cast("int").alias("game_index"), (F.col("line") + F.col("lines_before") + 1).cast("long").alias("start_line"), F.rtrim(raw_text).alias("raw"))
+    starts = F.startswith(text, F.lit(mark))
+    # A part is 65,536 rows of a split at most: a row of sums for each.
+    sums = rows.groupBy("file", "block", "part").agg(F.count("*").alias("n"), F.sum("lines").alias("lines"), F.min(F.struct("place", starts.alias("starts"))).alias("first"))
+    earlier = Window.partitionBy("file").orderBy("block", "part")
+    before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+    outset = (F.col("block") == 0) & (F.row_number().over(earlier) == 1)  # what stands before a file's first mark is in its first row
+    sums = sums.withColumn("outset", outset).withColumn("skipped", (F.col("outset") & ~F.col("first.starts")).cast("int"))
+    sums = sums.select(
+        "file", "block", "part", "outset", "skipped", F.col("first.place").alias("first"),
+        F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum(F.col("n") - F.col("skipped")).over(before), F.lit(0)).alias("records_before"),
+    )
+    found = rows.join(F.broadcast(sums), ["file", "block", "part"])
+    inside = Window.partitionBy("file", "block", "part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    found = found.withColumn("line", F.coalesce(F.sum("lines").over(inside), F.lit(0)))  # dropped where nobody asks for lines
+    head = F.col("outset") & (F.col("place") == F.col("first"))
+    number = F.col("place") - F.col("first") + 1 - F.col("skipped") + F.col("records_before")
+    raw_text = F.when(head, text).otherwise(F.concat(F.lit(mark), text))
+    found = found.where(~head | (F.col("skipped") == 0))
+    return found.select("file", number.cast("int").alias("game_index"), (F.col("line") + F.col("lines_before") + 1).cast("long").alias("start_line"), F.rtrim(raw_text).alias("raw"))
 
 
 def headers(raw: Column) -> Column:
@@ -91,17 +99,24 @@ def to_text(known: Column, moves: Column) -> Column:
     return F.concat(F.array_join(lines, "\n"), F.lit("\n\n"), moves)
 
 
-def markers(records: DataFrame, known: list[str]) -> DataFrame:
-    """Label facts from comments: file, game_index, ply of the move before, label."""
+def markers(records: DataFrame, known: list[str], more: Mapping[str, Column] | None = None) -> DataFrame:
+    """Label facts from comments: file, game_index, ply of the move before, label, and more columns of the record.
+
+    A record's words are counted through where it is: no word is shuffled.
+    """
     from corpusloom.functions.text import GLYPH, NUMBER, RESULTS, known_labels, strip_nested
 
     parts = F.regexp_extract_all(strip_nested(movetext(F.col("raw")), "(", ")"), F.lit(r"\{[^}]*\}|[^\s{}]+"), F.lit(0))
-    token = records.select("file", "game_index", F.posexplode(parts).alias("place", "token"))
-    move = ~F.startswith("token", F.lit("{")) & ~F.col("token").rlike(GLYPH) & ~F.col("token").rlike(NUMBER) & ~F.col("token").isin(*RESULTS)
-    upto = Window.partitionBy("file", "game_index").orderBy("place")
-    plies = token.withColumn("ply", F.sum(move.cast("int")).over(upto)).where(F.startswith("token", F.lit("{")))
-    labels = known_labels(F.regexp_replace("token", "[{}]", ""), known)
-    return plies.select("file", "game_index", "ply", F.explode(labels).alias("label"))
+    zero = F.struct(F.lit(0).cast("long").alias("ply"), F.array().cast("array<struct<ply:bigint,token:string>>").alias("out"))
+
+    def step(a: Column, token: Column) -> Column:
+        move = ~token.rlike(GLYPH) & ~token.rlike(NUMBER) & ~token.isin(*RESULTS)
+        said = F.struct(a["ply"].alias("ply"), F.concat(a["out"], F.array(F.struct(a["ply"].alias("ply"), token.alias("token")))).alias("out"))
+        return F.when(F.startswith(token, F.lit("{")), said).otherwise(F.struct((a["ply"] + move.cast("int")).alias("ply"), a["out"].alias("out")))
+
+    kept = {"file": F.col("file"), "game_index": F.col("game_index"), **(more or {})}
+    found = records.select(*(c.alias(n) for n, c in kept.items()), F.inline(F.aggregate(parts, zero, step, lambda a: a["out"])))
+    return found.select(*kept, "ply", F.explode(known_labels(F.regexp_replace("token", "[{}]", ""), known)).alias("label"))
 
 
 def read_blank_line_records(spark: SparkSession, path: str, files: str = PGN) -> DataFrame:
