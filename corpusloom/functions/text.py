@@ -137,7 +137,7 @@ def trimmed_token(token: Column, kept: str = "") -> Column:
 
 def inserted(text: Column, notes: Column) -> Column:
     """A text with notes (struct of offset and note) put in at their offsets, those of one offset in their order: each stretch of text is copied once."""
-    by_place = F.array_sort(notes)
+    by_place = F.sort_array(notes)
 
     def stretch(n: Column, k: Column) -> Column:
         before = F.when(k == 0, 0).otherwise(F.get(by_place, k - 1)["offset"])

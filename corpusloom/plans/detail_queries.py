@@ -74,7 +74,7 @@ select l_orderkey, ply, string_agg(x[2:len(x) - 1], ' ' order by i) as comment f
 )
 def original_comments(spark: SparkSession, d: str) -> DataFrame:
     """Comments of the main line that match a pattern, with the ply that they follow."""
-    found = M.comments(M.tokens(branched(spark, d), ["l_orderkey"], "text"), ["l_orderkey"])
+    found = M.comments(branched(spark, d), ["l_orderkey"], "text")
     return found.where(F.col("comment").rlike("^a[0-9]*[05]$")).select("l_orderkey", "ply", "comment")
 
 

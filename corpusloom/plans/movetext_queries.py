@@ -44,10 +44,8 @@ select l_orderkey, array_to_string(stack[2:], '.') path, cast(len(stack) - 1 as
 )
 def variation_tree(spark: SparkSession, d: str) -> DataFrame:
     """Every move of a movetext with the path of its variation, its depth and its ply."""
-    found = M.tokens(branched(spark, d), ["l_orderkey"], "text")
-    ways = M.paths(found, ["l_orderkey"]).select("l_orderkey", "variation", F.array_join("path", ".").alias("path"))
-    moves = found.where("kind = 'move'").join(ways, ["l_orderkey", "variation"], "left")
-    return moves.select("l_orderkey", F.coalesce("path", F.lit("")).alias("path"), F.col("depth").cast("long").alias("depth"), "ply", F.col("token").alias("move"), (F.col("depth") == 0).alias("mainline"))
+    moves = M.tokens(branched(spark, d), ["l_orderkey"], "text", ["move"])
+    return moves.select("l_orderkey", F.array_join("path", ".").alias("path"), "depth", "ply", F.col("token").alias("move"), (F.col("depth") == 0).alias("mainline"))
 
 
 KEY = ["Event", "Site", "Date", "Round", "White", "Black", "Result"]
@@ -94,6 +92,5 @@ def annotated_markers(spark: SparkSession, d: str) -> DataFrame:
     path = shared_folder(spark, "annotated")
     sinks.write_records(raw, "raw", path)
     r = S.read_records(spark, path, "*.txt")
-    found = S.markers(r, ["red", "ring", "small"])
-    named = r.select("file", "game_index", S.headers(F.col("raw"))["Event"].alias("event"))
-    return found.join(named, ["file", "game_index"]).select("event", F.col("ply").cast("int").alias("ply"), "label")
+    found = S.markers(r, ["red", "ring", "small"], {"event": S.headers(F.col("raw"))["Event"]})
+    return found.select("event", F.col("ply").cast("int").alias("ply"), "label")

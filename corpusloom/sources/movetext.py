@@ -1,84 +1,168 @@
-"""Movetext as tokens with places, plies and variations, and its annotation by ply: windows over tokens, no parser."""
+"""Movetext as tokens with places, plies and variations, and its annotation by ply: each text is scanned where it is."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+import sys
+from array import array
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import comment_delta, inserted
-from corpusloom.operators.shared import stored
+from corpusloom.operators.shared import unused
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need no copy of this package
 
 #: White space, a comment, a line comment, brackets, a glyph, a number or result, a word; or any other character.
 TOKEN = r"\s+|\{[^}]*\}?|;[^\n]*|[()]|\$[0-9]+|[0-9]+(?:-[0-9]+|/[0-9]+-[0-9]+/[0-9]+)?\.*|[^\s{}();$]+|[\s\S]"
 
 
-def tokens(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
-    """The key, place (from 0), token, kind, begin (its offset in code points), depth, variation, parent and ply.
-
-    Kinds are space, comment, line, open, close, glyph, number, move and other. Variations are numbered from 1 in a
-    record in the order of their opening brackets, 0 is the main line; brackets count as inside, and a closing bracket
-    without its opening one is other. ``ply`` numbers moves; the first move of a variation has the ply of the move that
-    it replaces, and other tokens have the ply of the move before. An open variation ends with the text. The key names
-    a text: rows that share it are taken for one text. Null and empty texts have no tokens.
-
-    All of it is sums and maxima over windows that share the key, so one shuffle does it: the depth is a running sum of
-    brackets, kept from falling below 0; a token's variation is the last that opened at its depth; and the ply is a
-    running sum in which a closing bracket takes back what its variation added.
+_FIRST = {" ": "space", "\t": "space", "\n": "space", "\r": "space", "\f": "space", "\v": "space", "{": "comment", ";": "line", "(": "open", ")": "close"}
+_FIRST |= dict.fromkeys("0123456789", "number") | dict.fromkeys("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "move")
+
+
+def scan(text: str) -> Iterator[tuple[str, str, int, list[int], int]]:
+    """Token, kind, begin, numbers of the variations around it (its own last) and ply of each token, as ``tokens`` has them."""
+    begin = ply = opened = 0
+    around: list[int] = []
+    plies: list[int] = []  # before each variation around
+    for token in re.findall(TOKEN, text, re.ASCII):
+        kind = _FIRST.get(token[0], "other")
+        if kind == "move":
+            ply += 1
+        elif kind == "open":
+            opened += 1
+            around = [*around, opened]
+            plies.append(ply)
+            ply -= 1
+        elif kind == "close":
+            if around:
+                ply = plies.pop()
+                yield token, kind, begin, around, ply
+                around = around[:-1]
+                begin += 1
+                continue
+            kind = "other"
+        elif kind == "other" and token[0] == "$" and len(token) > 1:
+            kind = "glyph"
+        yield token, kind, begin, around, ply
+        begin += len(token)
+
+
+def _texts(column: pa.Array) -> Iterator[str]:
+    for raw in column.cast(pa.binary()):
+        yield (raw.as_py() or b"").decode("utf-8", "replace")
+
+
+def tokens(df: DataFrame, key: Sequence[str], text: str, kinds: Sequence[str] = ()) -> DataFrame:
+    """The key, place (from 0), token, kind, begin (its offset in code points), depth, variation, parent, ply and path.
+
+    Kinds are space, comment, line, open, close, glyph, number, move and other; with ``kinds`` only those are returned.
+    Variations are numbered from 1 in a record in the order of their opening brackets, 0 is the main line; brackets
+    count as inside, and a closing bracket without its opening one is other. ``ply`` numbers moves; the first move of a
+    variation has the ply of the move that it replaces, and other tokens have the ply of the move before. ``path`` has
+    the numbers of the variations around a token, the outermost first, and its own. An open variation ends with the
+    text. Every row is a text of its own. Null and empty texts have no tokens.
+
+    A text is read once from left to right in the task that holds it: no token is shuffled or sorted, and what is held
+    is a text and 50,000 tokens.
     """
-    t, first = F.col("token"), F.substring("token", 1, 1)
-    kind = (
-        F.when(first == "{", "comment").when(first == ";", "line").when(first == "(", "open").when(first == ")", "close")
-        .when(t.rlike(r"^\s"), "space").when(t.rlike(r"^\$[0-9]"), "glyph").when(t.rlike("^[0-9]"), "number").when(t.rlike("^[A-Za-z]"), "move").otherwise("other")
-    )
-    rows = df.select(*key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("place", "token")).withColumn("kind", kind)
-    order = Window.partitionBy(*key).orderBy("place")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    turn = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    rows = rows.withColumns({"sum": F.sum(turn).over(upto), "begin": F.sum(F.length("token")).over(upto) - F.length("token"), "number": F.sum((F.col("kind") == "open").cast("int")).over(upto)})
-    rows = rows.withColumn("after", F.col("sum") - F.least(F.lit(0), F.min("sum").over(upto)))
-    rows = rows.withColumn("before", F.coalesce(F.lag("after").over(order), F.lit(0)))
-    closes = F.col("kind") == "close"
-    rows = rows.withColumns({"depth": F.when(closes, F.col("before")).otherwise(F.col("after")), "kind": F.when(closes & (F.col("before") == 0), "other").otherwise(F.col("kind"))})
-
-    here = F.struct(F.col("depth").alias("level"), F.lit(False).alias("asks"))
-    above = F.struct((F.col("depth") - 1).alias("level"), F.lit(True).alias("asks"))  # an opening bracket asks for the variation around it
-    rows = rows.select("*", F.inline(F.when(F.col("kind") == "open", F.array(here, above)).otherwise(F.array(here))))
-    same = Window.partitionBy(*key, "level").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    opened = F.max(F.when((F.col("kind") == "open") & ~F.col("asks"), F.col("number"))).over(same)
-    rows = rows.withColumn("variation", F.coalesce(opened, F.lit(0)))
-    around = F.max(F.when(F.col("asks"), F.col("variation"))).over(Window.partitionBy(*key, "place"))
-    rows = rows.withColumn("parent", F.when(F.col("kind") == "open", around)).where("not asks")
-
-    move = (F.col("kind") == "move").cast("int")
-    own = F.sum(move).over(Window.partitionBy(*key, "variation"))
-    change = F.when(F.col("kind") == "open", -1).when(F.col("kind") == "close", 1 - own).otherwise(move)
-    ply = F.sum(change).over(upto)
-    return rows.withColumn("ply", ply).select(*key, "place", "token", "kind", "begin", "depth", "variation", "parent", "ply")
+    wanted, most = set(kinds), 50_000
+
+    def read(batches):
+        for batch in batches:
+            keys, texts = batch.select(range(batch.num_columns - 1)), _texts(batch.column(batch.num_columns - 1))
+            rows, token, kinds_, path, ends = array("q"), [], [], array("q"), array("i", [0])
+            numbers = {n: array("q") for n in ("place", "begin", "depth", "variation", "ply")}
+            parent: list[int | None] = []
+
+            def flush():
+                given = keys.take(pa.array(rows, pa.int64()))
+                n = {k: pa.array(v, pa.int64()) for k, v in numbers.items()}
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(path, pa.int64()))
+                columns = [*given.columns, n["place"].cast(pa.int32()), pa.array(token, pa.string()), pa.array(kinds_, pa.string()), n["begin"], n["depth"], n["variation"], pa.array(parent, pa.int64()), n["ply"], lists]
+                out = pa.RecordBatch.from_arrays(columns, [*given.schema.names, "place", "token", "kind", "begin", "depth", "variation", "parent", "ply", "path"])
+                for x in (rows, token, kinds_, path, parent, *numbers.values()):
+                    del x[:]
+                del ends[1:]
+                return out
+
+            for row, text in enumerate(texts):
+                for place, (t, kind, begin, around, ply) in enumerate(scan(text)):
+                    if wanted and kind not in wanted:
+                        continue
+                    rows.append(row)
+                    token.append(t)
+                    kinds_.append(kind)
+                    path.extend(around)
+                    ends.append(len(path))
+                    for n, v in (("place", place), ("begin", begin), ("depth", len(around)), ("variation", around[-1] if around else 0), ("ply", ply)):
+                        numbers[n].append(v)
+                    parent.append((around[-2] if len(around) > 1 else 0) if kind == "open" else None)
+                    if len(rows) + len(path) >= most:
+                        yield flush()
+            if rows:
+                yield flush()
+
+    given = df.select(*key, F.col(text).cast("string").alias(unused(df, "text_")[0]))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[:-1])
+    return given.mapInArrow(read, f"{shape}, place int, token string, kind string, begin long, depth long, variation long, parent long, ply long, path array<long>")
 
 
 def paths(found: DataFrame, key: Sequence[str]) -> DataFrame:
     """The key, variation, parent and path of every variation: the numbers of those around it, the outermost first, and its own."""
-    opened = stored(found.where("kind = 'open'").select(*key, "variation", "parent", "depth"), "variations")
-    deepest = opened.agg(F.max("depth")).first()[0] or 0
-    level = opened.where("depth = 1").select(*key, "variation", "parent", F.array("variation").alias("path"))
-    out = level
-    for depth in range(2, deepest + 1):
-        known = level.select(*(F.col(k).alias(f"{k}_of") for k in key), F.col("variation").alias("around"), F.col("path").alias("way"))
-        inner = opened.where(F.col("depth") == depth)
-        joined = inner.join(known, [F.col(k).eqNullSafe(F.col(f"{k}_of")) for k in key] + [F.col("parent") == F.col("around")])
-        level = joined.select(*key, "variation", "parent", F.concat("way", F.array("variation")).alias("path"))
-        out = out.union(level)
-    return out
-
-
-def comments(found: DataFrame, key: Sequence[str]) -> DataFrame:
+    return found.where("kind = 'open'").select(*key, "variation", "parent", "path")
+
+
+def main_line(df: DataFrame, text: str, name: str) -> DataFrame:
+    """The rows with an array of structs: at place k, counted from 0, the end of the main line's move of ply k (null for ply 0) and the comment after it.
+
+    Comments after one move are joined; empty and unclosed ones are left out, and null stands for none. Null and empty
+    texts have an empty array.
+    """
+
+    def read(batches):
+        for batch in batches:
+            at, ends, moves, notes = 0, array("i", [0]), [], []
+
+            def upto(row):
+                line = pa.StructArray.from_arrays([pa.array(moves, pa.int64()), pa.array(notes, pa.string())], ["end", "comment"])
+                rows = batch.slice(at, row - at)
+                return pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), line)], [*rows.schema.names[:-1], name])
+
+            for row, text in enumerate(_texts(batch.column(batch.num_columns - 1))):
+                if text:
+                    own, said = [None], [[]]
+                    for t, kind, begin, around, _ in scan(text):
+                        if around:
+                            continue
+                        if kind == "move":
+                            own.append(begin + len(t))
+                            said.append([])
+                        elif kind == "comment" and t[-1] == "}" and (inner := t[1:-1].strip(" \t\n\r\f\v")):
+                            said[-1].append(inner)
+                    moves += own
+                    notes += [" ".join(c) if c else None for c in said]
+                ends.append(len(moves))
+                if len(moves) >= 50_000:
+                    yield upto(row + 1)
+                    at, ends, moves, notes = row + 1, array("i", [0]), [], []
+            if at < batch.num_rows:
+                yield upto(batch.num_rows)
+
+    given = df.select("*", F.col(text).cast("string").alias(unused(df, "text_")[0]))
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return given.mapInArrow(read, f"{shape}, `{name}` array<struct<end:bigint,comment:string>>")
+
+
+def comments(df: DataFrame, key: Sequence[str], text: str) -> DataFrame:
     """The key, ply and comment of the main line: those after one move joined, empty and unclosed ones left out."""
-    inner = F.trim(F.regexp_replace(F.substring("token", F.lit(2), F.length("token") - 2), r"^\s+|\s+$", ""))
-    closed = found.where((F.col("kind") == "comment") & (F.col("depth") == 0) & F.endswith("token", F.lit("}")) & (inner != ""))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("place", inner.alias("c")))), lambda r: r["c"])
-    return closed.groupBy(*key, "ply").agg(F.array_join(listed, " ").alias("comment"))
+    line = main_line(df.select(*key, text), text, "line_")
+    return line.select(*key, F.posexplode("line_").alias("ply", "x")).where("x.comment is not null").select(*key, F.col("ply").cast("long").alias("ply"), F.col("x.comment").alias("comment"))
 
 
 def annotate(records: DataFrame, annotated: DataFrame, key: Sequence[str], row: str, text: str, order: str, unmatched: bool = True) -> DataFrame:
@@ -89,20 +173,25 @@ def annotate(records: DataFrame, annotated: DataFrame, key: Sequence[str], row:
     at that ply lacks is added, once, in the versions' order, with closing braces made parentheses; plies beyond the
     record's moves go to its end; of notes at one place those of later plies come first. With ``unmatched`` false only records with a version stay. A null key matches none.
     """
-    own = stored(tokens(records.select(row, text), [row], text), "own")
-    theirs = comments(tokens(annotated.select(order, text), [order], text), [order]).join(annotated.select(*key, order), order)
-    pairs = records.select(*key, row).join(theirs, list(key)).select(row, order, "ply", F.col("comment").alias("new"))
-    delta = pairs.join(comments(own, [row]).withColumnRenamed("comment", "old"), [row, "ply"], "left").withColumn("note", comment_delta(F.col("new"), F.col("old"))).where("note <> ''")
-    listed = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct(order, "note"))), lambda r: r["note"]))
-    notes = delta.groupBy(row, "ply").agg(F.concat(F.lit(" {"), F.array_join(listed, " "), F.lit("}")).alias("note"))
-    ends = own.where("kind = 'move' and depth = 0").select(row, "ply", (F.col("begin") + F.length("token")).alias("end"))
-    length = own.groupBy(row).agg(F.sum(F.length("token")).alias("length"))
-    placed = notes.join(ends, [row, "ply"], "left").join(length, row, "left")
-    offset = F.when(F.col("ply") == 0, 0).otherwise(F.coalesce("end", "length", F.lit(0))).cast("int")
-    placed = placed.groupBy(row).agg(F.array_sort(F.collect_list(F.struct(offset.alias("offset"), (-F.col("ply")).alias("later"), "note"))).alias("notes"))
-    out = records
-    if not unmatched:
-        out = out.join(annotated.select(*key).distinct(), list(key), "left_semi").select(records.columns)
-    joined = out.join(placed, row, "left")
-    put: Column = F.when(F.col("notes").isNull(), F.col(text)).otherwise(inserted(F.coalesce(F.col(text), F.lit("")), F.col("notes")))
-    return joined.withColumn(text, put).select(records.columns)
+    line, versions = unused(records, "line_", "versions_")
+    noted = F.filter(F.transform("line_", lambda x, k: F.struct(k.cast("long").alias("ply"), x["comment"].alias("comment"))), lambda x: x["comment"].isNotNull())
+    theirs = main_line(annotated.select(*key, order, text), text, "line_").select(*key, F.struct(F.col(order).alias("order"), noted.alias("notes")).alias("version"))
+    theirs = theirs.groupBy(*key).agg(F.array_sort(F.collect_list("version")).alias(versions))
+    joined = records.join(theirs, list(key), "left" if unmatched else "inner").select(*records.columns, versions)
+    own = main_line(joined, text, line)  # its rows come as they are, the line's array is no expression to work out again
+
+    def old(ply: Column) -> Column:
+        return F.get(F.col(line), ply.cast("int"))
+
+    deltas = F.flatten(F.transform(versions, lambda v: F.transform(v["notes"], lambda n: F.struct(n["ply"].alias("ply"), comment_delta(n["comment"], old(n["ply"])["comment"]).alias("note")))))
+    deltas_, plies_, notes_ = unused(own, "deltas_", "plies_", "notes_")
+    own = own.withColumn(deltas_, F.filter(deltas, lambda d: d["note"] != "")).withColumn(plies_, F.array_distinct(F.transform(deltas_, lambda d: d["ply"])))
+
+    def note(ply: Column) -> Column:
+        said = F.array_distinct(F.transform(F.filter(F.col(deltas_), lambda d: d["ply"] == ply), lambda d: d["note"]))
+        offset = F.when(ply == 0, 0).otherwise(F.coalesce(old(ply)["end"], F.length(text), F.lit(0))).cast("int")
+        return F.struct(offset.alias("offset"), (-ply).alias("later"), F.concat(F.lit(" {"), F.array_join(said, " "), F.lit("}")).alias("note"))
+
+    own = own.withColumn(notes_, F.transform(plies_, note))
+    put: Column = F.when(F.coalesce(F.size(notes_), F.lit(0)) <= 0, F.col(text)).otherwise(inserted(F.coalesce(F.col(text), F.lit("")), F.col(notes_)))
+    return own.withColumn(text, put).select(records.columns)
