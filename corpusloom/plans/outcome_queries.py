@@ -201,14 +201,29 @@ def p99_scale(spark: SparkSession, d: str) -> DataFrame:
     f"with {JUDGED}, grid as (select *, unnest(case when record_id % 3 = 0 then ['all', 'otb'] when record_id % 3 = 1 then ['all', 'online'] else ['all'] end) \"view\" from judged, (select unnest([1, 10, 40]) threshold) where pieces >= threshold) select \"view\", threshold, site, label, outcome, count(*) n, count(distinct record_id) games from grid group by all",
 )
 def opening_ending(spark: SparkSession, d: str) -> DataFrame:
-    """Endings of each opening by view, threshold and result: positions and games. A game is one row a cell before it is spread over the grid."""
-    k, pieces = F.col("record_id") % 3, F.col("pieces")
-    band = F.when(pieces >= 40, 40).when(pieces >= 10, 10).when(pieces >= 1, 1).otherwise(0)
+    """Endings of each opening by view, threshold and result: positions and games.
+
+    A game is one row a cell, with its positions at each threshold side by side; the grid is spread over sums only.
+    Partitions by game hold two million positions or so however many there are, which bounds what a task holds.
+    """
+    least = [1, 10, 40]
+    p = positions(spark, d)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), table(spark, d, "lineitem").count() // 2_000_000 + 1)
+    repeated = evaluations(spark, d).groupBy("eval_key").agg(F.count("*").alias("m")).where("m > 1")
+    if repeated.isEmpty():  # an evaluation a key: the left join keeps each position once
+        p = p.withColumn("m", F.lit(1))
+    else:
+        p = p.join(repeated, "eval_key", "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    p = p.where(F.col("pieces") >= least[0]).select("record_id", "label", "side", "pieces", "m").repartition(parts, "record_id")
+    r = records(spark, d).select("record_id", "result", "site").repartition(parts, "record_id")
+    outcome = O.result_outcome(F.col("result"), F.col("side"))
+    games = p.join(r, "record_id").groupBy("record_id", "site", "label", outcome.alias("outcome")).agg(*(F.sum(F.when(F.col("pieces") >= t, F.col("m")).otherwise(0)).alias(f"n{t}") for t in least))
+    k = F.col("record_id") % 3
     group = F.when(k == 0, "otb").when(k == 1, "online").otherwise("unknown")
-    fine = judged(spark, d).groupBy("record_id", group.alias("g"), "site", "label", "outcome", band.alias("band")).agg(F.count("*").alias("c"))
-    grid = G.on_grid(fine, "g", "band", [1, 10, 40])
-    games = grid.groupBy("view", "threshold", "site", "label", "outcome", "record_id").agg(F.sum("c").alias("c"))
-    return games.groupBy("view", "threshold", "site", "label", "outcome").agg(F.sum("c").alias("n"), F.count("*").alias("games"))
+    cells = games.groupBy(group.alias("g"), "site", "label", "outcome").agg(*(x for t in least for x in (F.sum(f"n{t}").alias(f"n{t}"), F.count_if(F.col(f"n{t}") > 0).alias(f"games{t}"))))
+    spread = F.explode(F.array(*(F.struct(F.lit(t).alias("threshold"), F.col(f"n{t}").alias("n"), F.col(f"games{t}").alias("games")) for t in least)))
+    grid = cells.select(F.explode(G.views_of(F.col("g"))).alias("view"), "site", "label", "outcome", spread.alias("x")).where("x.n > 0")
+    return grid.groupBy("view", "x.threshold", "site", "label", "outcome").agg(F.sum("x.n").alias("n"), F.sum("x.games").alias("games"))
 
 
 @query(
