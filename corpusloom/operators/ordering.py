@@ -30,13 +30,17 @@ def numbered(df: DataFrame, order: Sequence[Column | str], entity: Sequence[str]
         total += n
     offsets = spark.createDataFrame(starts, f"`{part}` long, `{before}` long")
     place = F.col(before) + F.col(at).bitwiseAND((1 << 33) - 1) + 1
-    placed = ranged.join(F.broadcast(offsets), part).withColumn(name, place).drop(at, part, before)  # a row a partition
+    placed = ranged.join(F.broadcast(offsets), part).withColumn(name, place).drop(at, before)  # a row a partition
     if not entity:
-        return placed
+        return placed.drop(part)
     named = dict(zip(entity, unused(placed, *(f"{e}_of" for e in entity)), strict=True))
-    starts = placed.groupBy(*(F.col(e).alias(k) for e, k in named.items())).agg(F.min(name).alias(first))
-    same = [F.col(e).eqNullSafe(F.col(k)) for e, k in named.items()]
-    return placed.join(starts, same).withColumn(name, F.col(name) - F.col(first) + 1).drop(first, *named.values())
+    # Met by partition and entity, so that a large entity is not gathered for its first number.
+    part_of, own = unused(placed, "part_of", "own")
+    held = placed.groupBy(F.col(part).alias(part_of), *(F.col(e).alias(k) for e, k in named.items())).agg(F.min(name).alias(own))
+    firsts = held.groupBy(*(F.col(k).alias(f"{k}_") for k in named.values())).agg(F.min(own).alias(first))
+    starts = held.join(firsts, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in named.values()]).select(part_of, *named.values(), first)
+    same = [F.col(part) == F.col(part_of), *(F.col(e).eqNullSafe(F.col(k)) for e, k in named.items())]
+    return placed.join(starts, same).withColumn(name, F.col(name) - F.col(first) + 1).drop(first, part, part_of, *named.values())
 
 
 def peaks(df: DataFrame, entity: Sequence[str], value: str, n: int) -> DataFrame:

@@ -212,9 +212,10 @@ def pattern_whole_table(spark: SparkSession, d: str) -> DataFrame:
     from corpusloom.operators import ordering as O
     from corpusloom.operators import patterns as P
 
-    rows = table(spark, d, "lineitem").select(F.lit("all").alias("entity"), "l_orderkey", "l_linenumber", "l_returnflag")
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
     line = [P.Part("A", 1, None), P.Part("N", 0, 1, but=True), P.Part("N", 2, 3), P.Part("R", 0, None), P.Part("A", 1, 2, but=True)]
-    return P.line_hits(O.numbered(rows, ["l_orderkey", "l_linenumber", "l_returnflag"], ["entity"], "step"), ["entity"], "step", F.col("l_returnflag"), line)
+    placed = O.numbered(rows, ["l_orderkey", "l_linenumber", "l_returnflag"], name="step").withColumn("entity", F.lit("all"))
+    return P.line_hits(placed, ["entity"], "step", F.col("l_returnflag"), line)
 
 
 @query(
