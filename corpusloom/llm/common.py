@@ -23,10 +23,14 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordHashes(dict):
-    """Word hashes, computed once; emptied when it has grown large."""
+    """Word hashes, computed once; emptied when it holds more than ``most``."""
+
+    def __init__(self, most: int = 500_000):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > self.most:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -93,6 +97,19 @@ def release_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Spark's setting for the bytes of a batch that goes to a Python worker.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """From now on the session sends its Python workers about ``size`` bytes at once, not 64 MB, as JVM and worker hold a batch each.
+
+    A size that the session sets itself stands.
+    """
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, str(size))
+
+
 def release_memory() -> None:
     """Give what a task has freed back to the system, where the C library can, as workers live on for further tasks."""
     gc.collect()

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, bounded_slices, shingle_codes, stash, workspace
+from .common import WordHashes, bounded_batches, bounded_slices, release_memory, shingle_codes, stash, workspace
 
 #: Words are runs of ASCII letters and digits and of non-ASCII bytes; A-Z count as a-z.
 _KEEP = bytes(ord(chr(b).lower()) if b < 128 and chr(b).isalnum() else b if b >= 128 else 32 for b in range(256))
@@ -162,16 +162,19 @@ def decontaminate(
     alike. Without items all documents stay; an empty table stays empty.
     """
     place, space = docs.columns.index(text_col), workspace(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     for k, block in enumerate(item_blocks(items, item_col, item_text_col, block_bytes)):
         if k:
             docs = stash(docs, space, f"pass{k}")
         held = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterable[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index, hashes = ItemBlock(held.value, width, threshold, hits), WordHashes()
+            index, hashes = ItemBlock(held.value, width, threshold, hits), WordHashes(1 << 17)
             for part in (p for b in batches for p in bounded_slices(b, place)):
                 texts = part.column(place).to_pylist()
                 yield part.filter(pa.array([next(index.matches(words_of((t or "").encode()), hashes), None) is None for t in texts], pa.bool_()))
+            hashes.clear()
+            release_memory()
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_slices, release_memory
+from .common import bounded_batches, bounded_slices, release_memory
 from .wordforms import Adam, Forms, number_words
 
 WINDOW, STRIDE = 64, 48
@@ -413,6 +413,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     Null, empty and wordless texts are judged as in ``score``; repeated rows stay or go
     alike; rows with a null id are judged by their text. An empty table stays empty.
     """
+    bounded_batches(docs.sparkSession)
     fold = F.crc32(F.col(id_col).cast("string")) % folds
     net = train(docs.where(fold != held_fold), labels.where(fold != held_fold), id_col, text_col, label_col, per_label, text_windows, seed)
     place = docs.columns.index(text_col)

@@ -4,8 +4,11 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+from pyspark.sql import functions as F
 
-from corpusloom.llm import near_copies, pii
+from corpusloom.llm import contamination, near_copies, pii
+from corpusloom.llm.common import BATCH_BYTES, WordHashes
 
 WORDS = [a + b for a in ("ba", "lo", "mi", "ru", "te", "so") for b in ("n", "s", "ra", "ki", "du")]
 
@@ -69,3 +72,28 @@ def test_pipeline_with_nulls_empty_texts_repeated_rows_and_extra_columns(spark,
 def test_pipeline_without_rows(spark, tmp_path):
     written(spark, tmp_path, [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_send_python_workers_a_few_megabytes_at_once(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    spark.conf.unset(BATCH_BYTES)
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"))
+    stages = [lambda: near_copies.drop_near_duplicates(docs.limit(5)), lambda: contamination.decontaminate(docs, docs.limit(0).withColumnRenamed("doc_id", "item_id"))]
+    for stage in stages:
+        stage()
+        got = [r.n for r in docs.mapInArrow(sizes, "n long").collect()]
+        assert len(got) >= 7 and max(got) < 5 << 20
+        spark.conf.unset(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, "1m")  # a size that the session sets stands
+    stages[1]()
+    assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) < 2 << 20
+    spark.conf.unset(BATCH_BYTES)
+
+
+def test_word_hashes_are_emptied_at_their_bound():
+    hashes = WordHashes(10)
+    codes = [hashes[str(k % 40).encode()] for k in range(100)]
+    assert len(hashes) <= 11 and codes[:20] == codes[40:60] and len(set(codes[:40])) == 40
