@@ -4,10 +4,12 @@
    word numbers with the block's own vocabulary (sorted 64-bit hashes) and training counts.
 2. Every block asks for corpus counts: it sends its distinct words with its own counts, by
    hash range, to the bucket that adds up those hashes over all blocks, and each bucket
-   answers every block that asked. No table of the corpus is gathered in one place.
+   answers every block that asked and numbers the words, so that blocks send no hashes from
+   then on. No table of the corpus is gathered in one place.
 3. Level by level, the same is done for contexts of 1, 2, ... words with the words that
    follow. A position goes a level deeper only where the longer context occurs ``least``
    times or more in training texts, and where the shorter one leaves its next word open.
+   Next words that the shorter context precedes less often than that are sent as one.
 4. A bucket holds whole contexts and tests them: a context is kept if its next-word counts
    diverge from what its suffix predicts by more nats than half a logarithm of its count
    for each next word. Contexts counted ``hot_count`` times or more are split by next word
@@ -32,15 +34,17 @@ from .common import release_memory, release_shuffles, sorted_groups, stash, work
 
 #: The end of a text, as a token; no word holds a space.
 END = b" "
-#: Next words are told apart in a context by so many bits of their hash.
-NEXT_BITS = np.uint64((1 << 40) - 1)
+#: Words have numbers of so many bits, from 1 on.
+ID_BITS = 40
+#: Stands for all next words that are known to be counted less than ``least`` times in a context.
+RARE = np.uint64(0)
 #: Parts of a power of two in which a suffix's prediction is sent to the test.
 STEPS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 BLOCK = "block string, docs array<long>, kinds binary, sizes binary, tokens binary, vocab binary, train binary, n_vocab long, n_train long"
-ASK = "bucket long, block string, contexts binary, pairs binary, known binary, next binary, counts binary, prior binary"
-ANSWER = "block string, level int, bucket long, counts binary, left binary, whole binary, context long, rest long, events long, whole_part long, kept long, gain double, covered double"
+ASK = "bucket long, block string, contexts binary, pairs binary, hot binary, next binary, counts binary, prior binary"
+ANSWER = "block string, level int, bucket long, ids binary, counts binary, left binary, whole binary, context long, rest long, events long, whole_part long, kept long, gain double, covered double"
 
 
 class _Numbers(dict):
@@ -140,11 +144,19 @@ def ordered_pairs(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     codes, rank = np.unique(context, return_inverse=True)
     if len(codes) >= 1 << 24:
         return np.lexsort((word, context))
-    return np.argsort((rank.astype(np.uint64) << np.uint64(40)) | word)
+    return np.argsort((rank.astype(np.uint64) << np.uint64(ID_BITS)) | word)
+
+
+def spread(ids: np.ndarray) -> np.ndarray:
+    """64-bit codes of word numbers, different for different ones."""
+    x = ids * _MIX
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Answers of level 0: the corpus counts of every block's vocabulary."""
+    """Answers of level 0: the corpus counts of every block's vocabulary, and the words' ranks in their bucket as ids."""
 
     def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,8 +174,9 @@ def word_counts(blocks: DataFrame, buckets: int) -> DataFrame:
             counts = np.zeros(len(words), dtype=np.int64)
             np.add.at(counts, at, np.concatenate([unpack(x) for x in group["train"].to_pylist()]))
             ends = np.cumsum([len(p) for p in asked]).tolist()
-            out = [(b, 0, bucket, pack(counts[at[e - len(p) : e]]), *[None] * 9) for b, p, e in zip(group["block"].to_pylist(), asked, ends, strict=True)]
-            out.append((None, 0, bucket, None, None, None, None, None, int((counts > 0).sum()), *[None] * 4))
+            places = [at[e - len(p) : e] for p, e in zip(asked, ends, strict=True)]
+            out = [(b, 0, bucket, pack_sorted(x.astype(np.uint64)), pack(counts[x]), *[None] * 9) for b, x in zip(group["block"].to_pylist(), places, strict=True)]
+            out.append((None, 0, bucket, *[None] * 6, int((counts > 0).sum()), *[None] * 4))
             yield _record(out, ANSWER)
 
     rows = blocks.select("block", "vocab", "train").mapInArrow(ask, "bucket long, block string, vocab binary, train binary")
@@ -179,7 +192,7 @@ class Walk:
 
     def __init__(self, row: dict, total: int, distinct: int, buckets: int, hot_count: int, least: int):
         self.flat, self.sizes = unpack(row["tokens"]), np.frombuffer(row["sizes"], dtype=np.int64)
-        self.kinds, self.vocab = np.frombuffer(row["kinds"], dtype=np.int8), unpack_sorted(row["vocab"])
+        self.kinds = np.frombuffer(row["kinds"], dtype=np.int8)
         self.buckets, self.hot_count, self.least = buckets, hot_count, least
         self.learned = np.repeat(self.kinds == 1, self.sizes)
         starts = np.cumsum(self.sizes) - self.sizes
@@ -188,11 +201,15 @@ class Walk:
         for r in row["got"]:
             self.got.setdefault(r["level"], []).append(r)
         counts = np.concatenate([unpack(r["counts"]) for r in self.got[0]])
+        # ranks of the buckets interleave, so that none need know how many words the others have
+        self.ids = np.concatenate([unpack_sorted(r["ids"]) * np.uint64(buckets) + np.uint64(r["bucket"] + 1) for r in self.got[0]])
+        if int(self.ids.max()) >> ID_BITS:
+            raise ValueError(f"words have numbers beyond {ID_BITS} bits")
         root = (counts + 0.5) / (total + 0.5 * (distinct + 1))
         self.word_count = counts[self.flat]
         self.base = root[self.flat]
         self.p = self.base.copy()
-        self.hash = self.vocab[self.flat]
+        self.hash = spread(self.ids)[self.flat]
         self.run, self.run_count = self.hash, self.word_count
         self.fixed = np.zeros(len(self.flat), dtype=bool)
 
@@ -201,23 +218,24 @@ class Walk:
         before = np.zeros(len(self.flat), dtype=np.int64)
         before[1:] = self.run_count[:-1]
         at = np.flatnonzero((self.place >= level) & (before >= self.least) & ~self.fixed)
-        context, word, known = self.run[at - 1], self.hash[at] & NEXT_BITS, before[at]
-        hot = known >= self.hot_count
+        context, hot = self.run[at - 1], before[at] >= self.hot_count
+        # a next word follows the longer context no more often than the shorter one
+        word = np.where(self.run_count[at] < self.least, RARE, self.ids[self.flat[at]])
         order = ordered_pairs(context, word)
         bucket = bucket_of(context, self.buckets)
         if hot.any():
-            spread = (context ^ word) * _MIX
-            bucket = np.where(hot, bucket_of(spread ^ (spread >> np.uint64(29)), self.buckets), bucket)
+            bucket = np.where(hot, bucket_of(spread(context ^ word), self.buckets), bucket)
             order = order[np.argsort(bucket[order], kind="stable")]
-        at, context, word, known, bucket, hot = (v[order] for v in (at, context, word, known, bucket, hot))
+        at, context, word, bucket, hot = (v[order] for v in (at, context, word, bucket, hot))
         new = np.ones(len(at), dtype=bool)
         new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
         pair = new.copy()
         pair[1:] |= word[1:] != word[:-1]
         pair_of, first = np.cumsum(pair) - 1, np.flatnonzero(pair)
         counts = np.bincount(pair_of, weights=self.learned[at], minlength=len(first)).astype(np.int64)
-        return {"at": at, "pair_of": pair_of, "group_of": np.cumsum(new) - 1, "pair_group": (np.cumsum(new) - 1)[first], "context": context[new], "hot": hot[new], "known": known[new],
-                "bucket": bucket[new], "word": word[first], "counts": counts, "prior": np.rint(-STEPS * np.log2(self.p[at[first]])).astype(np.int64)}
+        prior = np.where(word[first] == RARE, 0, np.rint(-STEPS * np.log2(self.p[at[first]]))).astype(np.int64)
+        return {"at": at, "pair_of": pair_of, "group_of": np.cumsum(new) - 1, "pair_group": (np.cumsum(new) - 1)[first], "context": context[new], "hot": hot[new],
+                "bucket": bucket[new], "word": word[first], "counts": counts, "prior": prior}
 
     def step(self, level: int, hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> None:
         """Apply a level's answers."""
@@ -244,7 +262,7 @@ class Walk:
 def summed(context: np.ndarray, word: np.ndarray, counts: np.ndarray, prior: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
     """Of rows (context, next word, count, suffix's prediction), repeats added: (contexts, places of rows' contexts, counts of rows, rest, events, whole, gain, covered).
 
-    Counts under ``least`` are left to the suffix as the rest of the context. The last two, sums of c log(c / p) and of
+    Counts under ``least``, and those of ``RARE``, are left to the suffix as the rest of the context. The last two, sums of c log(c / p) and of
     p over the words seen, add up over parts of a context as the others do.
     """
     order = ordered_pairs(context, word)
@@ -257,7 +275,7 @@ def summed(context: np.ndarray, word: np.ndarray, counts: np.ndarray, prior: np.
     c = np.add.reduceat(counts[order], first)
     owner, n = (np.cumsum(new) - 1)[first], int(new.sum())
     whole = np.bincount(owner, weights=c, minlength=n)
-    c = np.where(c >= least, c, 0)
+    c = np.where((c >= least) & (word[first] != RARE), c, 0)
     p = 2.0 ** (-prior[order][first] / STEPS)
     seen, events = np.bincount(owner, weights=c, minlength=n), np.bincount(owner[c > 0], minlength=n)
     covered, rest = np.bincount(owner[c > 0], weights=p[c > 0], minlength=n), whole - seen
@@ -306,14 +324,14 @@ def context_counts(joined: DataFrame, level: int, walk, hots: list, hot_count: i
             rows, last = [], np.append(first, len(a["context"]))[1:]
             for k, x, y in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
                 p, q = int(ends[x]), int(ends[y])
-                rows.append((k, row["block"], pack_sorted(a["context"][x:y]), pack(np.diff(ends[x : y + 1])), pack(a["known"][x:y]), pack(a["word"][p:q].view(np.int64)), pack(a["counts"][p:q]), pack(a["prior"][p:q])))
+                rows.append((k, row["block"], pack_sorted(a["context"][x:y]), pack(np.diff(ends[x : y + 1])), pack(a["hot"][x:y].astype(np.int64)), pack(a["word"][p:q].view(np.int64)), pack(a["counts"][p:q]), pack(a["prior"][p:q])))
             yield _record(rows, ASK)
             del w, a, rows
         release_memory()
 
     def answer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), group in sorted_groups(batches, ["bucket"]):
-            contexts, sizes, known = [unpack_sorted(x) for x in group["contexts"].to_pylist()], [unpack(x) for x in group["pairs"].to_pylist()], [unpack(x) for x in group["known"].to_pylist()]
+            contexts, sizes, hot = [unpack_sorted(x) for x in group["contexts"].to_pylist()], [unpack(x) for x in group["pairs"].to_pylist()], [unpack(x).astype(bool) for x in group["hot"].to_pylist()]
             word, counts, prior = ([unpack(x).astype(t) for x in group[k].to_pylist()] for k, t in (("next", np.int64), ("counts", np.int32), ("prior", np.int32)))
             ends = [np.append(0, np.cumsum(n)) for n in sizes]
             bounds = _slice_bounds(np.concatenate(contexts), np.concatenate(sizes), slice_rows)
@@ -325,12 +343,12 @@ def context_counts(joined: DataFrame, level: int, walk, hots: list, hot_count: i
                 spans = [(int(cut[s]), int(cut[s + 1])) for cut in cuts]
                 rows = [(int(e[a]), int(e[b])) for e, (a, b) in zip(ends, spans, strict=True)]
                 n = np.concatenate([x[a:b] for x, (a, b) in zip(sizes, spans, strict=True)])
-                context, often = (np.repeat(np.concatenate([x[a:b] for x, (a, b) in zip(v, spans, strict=True)]), n) for v in (contexts, known))
+                context, often = (np.repeat(np.concatenate([x[a:b] for x, (a, b) in zip(v, spans, strict=True)]), n) for v in (contexts, hot))
                 w, c, p = (np.concatenate([x[a:b] for x, (a, b) in zip(v, rows, strict=True)]) for v in (word, counts, prior))
                 codes, owner, c, rest, events, whole, gain, covered = summed(context, w.view(np.uint64), c, p, least)
                 kept = diverges(rest, events, whole, gain, covered)
                 split = np.zeros(len(codes), dtype=bool)
-                split[owner] = often >= hot_count
+                split[owner] = often
                 kept &= ~split
                 # left 1 marks a context with one next word only: no longer context can tell more
                 left, weight = np.where((events == 1) & (rest == 0), 1, np.maximum(rest + events, 2)), (whole + events) * kept
@@ -340,11 +358,11 @@ def context_counts(joined: DataFrame, level: int, walk, hots: list, hot_count: i
                     left_of[k][a:b], whole_of[k][a:b] = left[own[g : g + b - a]], weight[own[g : g + b - a]]
                     g, q = g + b - a, q + y - x
                 parts = (x[split].tolist() for x in (codes.view(np.int64), rest, events, whole, gain, covered))
-                out += [(None, level, bucket, None, None, None, k, r, e, m, None, g_, v) for k, r, e, m, g_, v in zip(*parts, strict=True)]
+                out += [(None, level, bucket, *[None] * 4, k, r, e, m, None, g_, v) for k, r, e, m, g_, v in zip(*parts, strict=True)]
                 n_kept += int(kept.sum())
             del word, counts, prior
-            out += [(block, level, bucket, pack(c), pack(a), pack(b), *[None] * 7) for block, c, a, b in zip(group["block"].to_pylist(), c_of, left_of, whole_of, strict=True)]
-            out.append((None, level, bucket, *[None] * 7, n_kept, None, None))
+            out += [(block, level, bucket, None, pack(c), pack(a), pack(b), *[None] * 7) for block, c, a, b in zip(group["block"].to_pylist(), c_of, left_of, whole_of, strict=True)]
+            out.append((None, level, bucket, *[None] * 8, n_kept, None, None))
             yield _record(out, ANSWER)
             release_memory()
 
@@ -373,9 +391,9 @@ def with_answers(blocks: DataFrame, answers: list[DataFrame]) -> DataFrame:
     union = answers[0]
     for more in answers[1:]:
         union = union.union(more)
-    got = F.sort_array(F.collect_list(F.struct("level", "bucket", "counts", "left", "whole")))
+    got = F.sort_array(F.collect_list(F.struct("level", "bucket", "ids", "counts", "left", "whole")))
     replies = union.where("block is not null").groupBy("block").agg(got.alias("got"))
-    return blocks.select("block", "docs", "tokens", "sizes", "kinds", "vocab").join(replies, "block")
+    return blocks.select("block", "docs", "tokens", "sizes", "kinds").join(replies, "block")
 
 
 def scores(

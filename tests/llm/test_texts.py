@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.llm import contamination, mixing, pii, secret_scan, suffix_tree, warc
+from corpusloom.llm.common import stash
 
 DOCS = "doc_id long, text string, lang string, source string, base string, spans string"
 
@@ -436,3 +437,24 @@ def test_tested_contexts_sum_to_one():
     left = rest + events
     p = {1: 0.3, 2: 0.2, 3: 0.1, 4: 0.4}
     assert sum(({1: 45, 2: 8}.get(x, 0) + left[0] * q) / (whole + events)[0] for x, q in p.items()) == pytest.approx(1)
+
+
+def test_blocks_ask_with_numbers_and_rare_next_words_as_one(spark, tmp_path):
+    import numpy as np
+
+    texts = [(k, " ".join(f"a r{k}x{i}" for i in range(9)) + " a b a b") for k in range(100, 140)]
+    blocks = stash(suffix_tree.tokenised(docs_of(spark, texts), "doc_id", "text", 5, 1, 1 << 20), str(tmp_path), "blocks")
+    answers = [stash(suffix_tree.word_counts(blocks, 3), str(tmp_path), "answers0")]
+    joined = suffix_tree.with_answers(blocks, answers)
+    assert "vocab" not in joined.columns  # hashes go once, to be counted and numbered
+    numbers, c, n, _ = {}, *reference_scores(texts)
+    for row in joined.collect():
+        walk = suffix_tree.Walk(row.asDict(recursive=True), n, len(c), 3, 1 << 22, 2)
+        assert len(np.unique(walk.ids)) == len(walk.ids) == len(np.unique(spread := suffix_tree.spread(walk.ids))) and walk.ids.min() > 0
+        assert walk.ids.max() < 2 * 3 * len(c) + 400
+        asked = walk.asked(1)
+        a = walk.hash[np.argmax(walk.word_count)]
+        mine = asked["word"][asked["pair_group"] == np.flatnonzero(asked["context"] == a)[0]]
+        assert sorted(mine.tolist())[0] == 0 and len(mine) == 2  # b, and all others as one
+        for i, code in zip(walk.ids.tolist(), spread.tolist(), strict=True):
+            assert numbers.setdefault(i, code) == code
